@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,19 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def bucket(modulus: int) -> Column:
+    """crc32 of the id as text, modulo: what the held-out splits go by."""
+    return F.crc32(F.col("doc_id").cast("string")) % F.lit(modulus)
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, bucket(3) != 1)
+    return langid.predict(docs, model).withColumn("held_out", bucket(3) == 1)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -25,7 +39,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_bpe": op10_bpe}
+    return {"op1_langid": op1_langid, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
