@@ -32,6 +32,12 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", bucket(3) == 1)
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -39,7 +45,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op10_bpe": op10_bpe}
+    return {"op1_langid": op1_langid, "op3_minhash": op3_minhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
