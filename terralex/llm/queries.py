@@ -38,6 +38,12 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix
+
+    return suffix.without_repeats(table(spark, sf_dir, "documents"), text=False)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -57,7 +63,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op3_minhash": op3_minhash, "op6_pii": op6_pii, "op7_decontam": op7_decontam, "op10_bpe": op10_bpe}
+    return {"op1_langid": op1_langid, "op3_minhash": op3_minhash, "op4_suffix": op4_suffix, "op6_pii": op6_pii, "op7_decontam": op7_decontam, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
