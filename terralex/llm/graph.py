@@ -35,7 +35,7 @@ def components(edges: DataFrame, shelf: Shelf, name: str) -> DataFrame:
         if sign == before or not sign[0]:
             break
         k += 1
-        new = shelf.put(_small(_large(now).distinct()).distinct(), f"{name}-{k}")
+        new = shelf.put(_small(_large(now)).distinct(), f"{name}-{k}")
         shelf.drop(f"{name}-{k - 1}")
         now, before = new, sign
     return now.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())

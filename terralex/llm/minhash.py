@@ -9,8 +9,9 @@ corrected for registers that agree by accident because they are short, and pairs
 
 Equal sets are one class from the start, by a 128-bit sum over the set. A band with many members isn't expanded into
 pairs: members are tried against one pivot of the band, a new one each round, and members that are already in one
-component need no trial. What is then still open, pairs of one band in different components that were never tried, is
-tried pair by pair. So no link that the bands show is lost. With 48 bands of 4 registers a pair at J = 0.75 shares no
+component need no trial. Members of bands that still hold several components are joined on the rarest shingles of their
+full sets (an exact prefix filter), and each such pair of different components is tried. So no link that the bands show
+is lost. With 48 bands of 4 registers a pair at J = 0.75 shares no
 band with probability (1 - 0.75**4)**48 = 1.2e-8.
 
 Edge cases: null and empty texts and texts without words have an empty set and are linked with nothing; a null id is
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import BLACK, LOWERED, U64, mix, runs, span_hashes, steps, utf8
@@ -32,8 +33,8 @@ from .store import Shelf
 
 #: Words of a shingle; least similarity as a percentage; registers, registers of a band, bits kept after the first one.
 WORDS, PERCENT, REGISTERS, ROWS, MANTISSA = 5, 75, 192, 4, 10
-#: Pivot rounds before the open pairs are tried one by one, at most.
-PIVOT_ROUNDS = 4
+#: Rounds in which the members of a band are tried against one of them.
+PIVOT_ROUNDS = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -119,39 +120,27 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """(key, id): one row for each band of each class."""
+    """(key, id, n): one row for each band of each class."""
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("registers"), b * width + 1, F.lit(width))))
-    return reps.select(F.explode(keys).alias("key"), "id")
+    return reps.select(F.explode(keys).alias("key"), "id", "n")
 
 
-def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and estimated similarity don't rule a link out."""
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
+def checked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) with 100 * |A and B| >= PERCENT * |A or B|: estimated on the registers, then verified on the full sets."""
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"), F.col("text").alias(f"t{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = PERCENT / 100
         for batch in batches:
-            n = batch.num_rows
-            if n:
-                ra, rb = (np.frombuffer(utf8(batch.column(c))[0].tobytes(), np.uint16).reshape(n, REGISTERS) for c in (4, 5))
-                na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (2, 3))
-                e = accident(na, nb)
-                j = ((ra == rb).mean(1) - e) / (1 - e)
-                t = PERCENT / 100
-                good = j >= t - 6 * np.sqrt(t * (1 - t) / np.minimum(REGISTERS, np.minimum(na, nb)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
-
-    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a bigint, b bigint")
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) with 100 * |A and B| >= PERCENT * |A or B| on the full sets."""
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (da, oa), (db, ob) = utf8(batch.column(2)), utf8(batch.column(3))
+            if not batch.num_rows:
+                continue
+            ra, rb = (np.frombuffer(utf8(batch.column(c))[0].tobytes(), np.uint16).reshape(-1, REGISTERS) for c in (4, 5))
+            na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (2, 3))
+            e = accident(na, nb)
+            good = ((ra == rb).mean(1) - e) / (1 - e) >= t - 6 * np.sqrt(t * (1 - t) / np.minimum(REGISTERS, np.minimum(na, nb)))
+            batch = batch.filter(pa.array(good))
+            (da, oa), (db, ob) = utf8(batch.column(6)), utf8(batch.column(7))
             good = np.zeros(batch.num_rows, bool)
             for i, j in steps(oa + ob):
                 (va, pa_), (vb, pb) = (shingle_sets(d[o[i] : o[j]], o[i : j + 1] - o[i]) for d, o in ((da, oa), (db, ob)))
@@ -160,53 +149,75 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     s = np.sort(np.concatenate([x, y]))
                     common = int((s[1:] == s[:-1]).sum())
                     good[i + k] = common > 0 and 100 * common >= PERCENT * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.select("a", "b", "na", "nb", "ra", "rb", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_size(x: str, y: str) -> Column:
+    return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
+
+
+def shingles(classes: DataFrame) -> DataFrame:
+    """(id, shingle): the full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for i, j in steps(offsets):
+                values, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False)[i:j], np.diff(at))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values.view(np.int64))], names=["id", "shingle"])
+
+    return classes.select("id", "text").mapInArrow(run, "id bigint, shingle bigint")
+
+
+def open_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components whose rarest shingles meet: all that can still be links.
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    Sets of n shingles with similarity t share one of their n - ceil(t * n) + 1 rarest, in any order common to all.
+    Near copies below the threshold have their own shingles there, so the pairs stay few where bands would show all.
+    """
+    rows = shingles(classes)
+    ranked = rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("x"))
+    size = F.size("x")
+    first = ranked.select("id", size.alias("n"), F.explode(F.slice("x", F.lit(1), (size - F.ceil(size * PERCENT / 100) + 1).cast("int"))).alias("x")).where("x.df > 1").select("id", "n", F.col("x.shingle").alias("shingle"))
+    first = first.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    a, b = (first.select("shingle", *(F.col(k).alias(f"{k}_{x}") for k in ("id", "n", "c"))) for x in "ab")
+    return a.join(b, "shingle").where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & similar_size("n_a", "n_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row: the least id of its group, and whether it is the row's own."""
     shelf = Shelf(docs.sparkSession, "minhash")
-    # rows of the cut texts are read twice; shelves hold 400 bytes a document, and whole texts only of candidates
+    # a shelf holds 400 bytes a document, and whole texts only of documents that share a band with another
     rows = shelf.put(sketch(docs, id_col, text_col), "sketch")
     reps = shelf.put(rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_id").agg(F.min(F.struct("doc_id", "registers")).alias("x")).select(F.col("x.doc_id").alias("id"), F.col("n_shingles").alias("n"), "set_id", F.col("x.registers").alias("registers")), "reps")
     keyed = bands(reps)
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     multi = shelf.put(keyed.join(shared, "key"), "multi")
-    texts = shelf.put(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).join(multi.select("id").distinct(), "id").dropDuplicates(["id"]), "texts")
-    labels, tried, links = None, None, None
-    for k in range(PIVOT_ROUNDS + 1):
-        left = multi.withColumn("c", F.col("id")) if labels is None else multi.join(labels.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("p")).where("lo < hi")
-        todo = shelf.put(left.join(mixed.select("key", "n", F.col("p.id").alias("pivot"), F.col("p.c").alias("pc")), "key"), f"open-{k}")
-        size, pairs = todo.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if not size:
-            shelf.drop(f"open-{k}")
-            break
-        last = k == PIVOT_ROUNDS or k and pairs <= 20 * size
-        if last:  # the open pairs of each band
-            a, b = (todo.select("key", F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-            new = a.join(b, "key").where("a < b and ca != cb").select("a", "b").distinct()
-        else:
-            new = todo.where("c != pc").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        if tried is not None:
-            new = new.join(tried, ["a", "b"], "left_anti")
-        new = shelf.put(new, f"tried-{k}")
-        tried = new if tried is None else tried.unionByName(new)
-        found = verified(likely(new, reps), texts)
-        links = shelf.put(found if labels is None else found.unionByName(labels.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b"))), f"links-{k}")
-        labels = components(links, shelf, f"components-{k}")
-        shelf.drop(f"open-{k}", f"links-{k}")
-        if last:
-            break
-    shelf.drop("multi", "texts", *(f"tried-{i}" for i in range(PIVOT_ROUNDS + 1)))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    classes = shelf.put(reps.drop("set_id").join(multi.select("id").distinct(), "id").join(texts, "id").dropDuplicates(["id"]), "classes")
+    label, links = None, None
+    for k in range(PIVOT_ROUNDS):
+        now = multi.withColumn("c", F.col("id")) if label is None else multi.join(label, "id", "left").withColumn("c", F.coalesce("c", "id"))
+        pivots = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(*([F.xxhash64("id", F.lit(k))] * (k > 0)), "id", "n", "c")).alias("p")).where("lo < hi").select("key", "p.*")
+        pairs = now.join(pivots.select("key", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc")), "key").where((F.col("c") != F.col("pc")) & similar_size("n", "pn"))
+        found = shelf.put(checked(pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct(), classes), f"links-{k}")
+        links = found if links is None else links.unionByName(found)
+        # what is surely connected, in one step; the components come from all links
+        label = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("c"))
+    grouped = components(links, shelf, "near")
+    now = multi.join(grouped, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    ids = now.join(mixed, "key").select("id").distinct()
+    more = shelf.put(checked(open_pairs(classes.join(ids, "id"), grouped), classes), "links-open")
+    if more.limit(1).count():
+        grouped = components(more.unionByName(grouped.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b"))), shelf, "all")
+    shelf.drop("multi", "classes")
     out = rows.select("doc_id", "n_shingles", "set_id").join(reps.select("n", "set_id", "id").withColumnRenamed("n", "n_shingles"), ["n_shingles", "set_id"], "left")
     # a row with a null id is no member, though its set may be some class's
-    out = out.withColumn("id", F.when(F.col("doc_id").isNotNull(), F.col("id")))
-    if labels is not None:
-        out = out.join(labels, "id", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("bigint"))
+    out = out.withColumn("id", F.when(F.col("doc_id").isNotNull(), F.col("id"))).join(grouped, "id", "left")
     component = F.coalesce("component", "id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
