@@ -32,6 +32,13 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", bucket(3) == 1)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    scored = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), bucket(5) != 0)
+    return scored.withColumn("held_out", bucket(5) == 0)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minhash
 
@@ -56,6 +63,18 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import rules
+
+    return rules.clean(table(spark, sf_dir, "documents"), text=False)
+
+
+def op9_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lengths
+
+    return lengths.suffix_sums(lengths.histogram(table(spark, sf_dir, "documents"), *tokenizer()))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -63,7 +82,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op3_minhash": op3_minhash, "op4_suffix": op4_suffix, "op6_pii": op6_pii, "op7_decontam": op7_decontam, "op10_bpe": op10_bpe}
+    return {f.__name__: f for f in (op1_langid, op2_quality, op3_minhash, op4_suffix, op6_pii, op7_decontam, op8_rules, op9_lengths, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
