@@ -51,6 +51,12 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.without_repeats(table(spark, sf_dir, "documents"), text=False)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -82,7 +88,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_quality, op3_minhash, op4_suffix, op6_pii, op7_decontam, op8_rules, op9_lengths, op10_bpe)}
+    return {f.__name__: f for f in (op1_langid, op2_quality, op3_minhash, op4_suffix, op5_warc, op6_pii, op7_decontam, op8_rules, op9_lengths, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
