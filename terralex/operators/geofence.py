@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .spatial import nearest
 
 #: Circles of a fence that are judged for a position. Most circles that are sent to all tasks; beyond it they are joined by fence.
 NEAREST, BROADCAST_CIRCLES = 3, 20_000
@@ -24,23 +25,23 @@ def steps(moves: DataFrame) -> DataFrame:
 
 
 def classify(moved: DataFrame, circles: DataFrame, k: int = NEAREST) -> DataFrame:
-    """(move_id, point_id, fence, key, status) of steps against circles: the k nearest by center of each fence.
+    """(move_id, point_id, fence, key, status) of steps against circles: the k nearest by center of the step's fence, or of each fence if steps have no column fence.
 
     in, in: INSIDE. in, out: EXIT and OUTSIDE. out, in: ENTER and INSIDE. out, out: CROSS if the step meets the circle,
     else OUTSIDE. At the first sighting the position before is outside and can't cross.
-    A step meets every circle of every fence, as the nearest are wanted whatever their distance: circles are few, so they
-    are broadcast below a checked number, and moves are what grows.
+    Up to a checked number, circles are broadcast and each step meets those of its fence. Beyond it the nearest circles
+    come from the grid.
     """
     own = circles.select("fence", "key", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), "radius")
-    few = circles.limit(BROADCAST_CIRCLES + 1).count() <= BROADCAST_CIRCLES
+    if "fence" not in moved.columns:  # fence names are few beside circles and moves
+        moved = moved.crossJoin(F.broadcast(circles.select("fence").distinct()))
     at = lambda p: (F.col(f"{p}lat"), F.col(f"{p}lon"), F.col("c_lat"), F.col("c_lon"))
-    d = F.round(geo.equirect(*at("")), 9)
-    if few:
-        pairs = moved.crossJoin(F.broadcast(own))
+    if circles.limit(BROADCAST_CIRCLES + 1).count() <= BROADCAST_CIRCLES:
+        pairs = moved.join(F.broadcast(own), "fence").withColumn("d", F.round(geo.equirect(*at("")), 6))
+        ranked = pairs.withColumn("n", F.row_number().over(Window.partitionBy("move_id", "fence").orderBy("d", "key"))).where(F.col("n") <= k)
     else:
-        fences = own.groupBy("fence").agg(F.collect_list(F.struct("key", "c_lat", "c_lon", "radius")).alias("all"))
-        pairs = moved.join(fences).select(*moved.columns, "fence", F.explode("all").alias("c")).select(*moved.columns, "fence", "c.*")
-    ranked = pairs.withColumn("d", d).withColumn("n", F.row_number().over(Window.partitionBy("move_id", "fence").orderBy("d", "key"))).where(F.col("n") <= k)
+        found = nearest(moved.select(F.struct("move_id", "fence").alias("query_id"), "fence", "lat", "lon"), circles.select(F.col("key").alias("id"), "fence", "lat", "lon"), k, by=("fence",))
+        ranked = moved.join(found.select("query_id.move_id", "query_id.fence", F.col("id").alias("key")), ["move_id", "fence"]).join(own, ["fence", "key"])
     now = geo.in_circle(*at(""), F.col("radius"))
     before = F.coalesce(geo.in_circle(*at("old_"), F.col("radius")), F.lit(False))
     meets = geo.crosses_circle(F.col("old_lat"), F.col("old_lon"), F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"), F.col("radius"))

@@ -64,16 +64,16 @@ def nearby(queries: DataFrame, places: DataFrame, feature: str | None, km: float
     return page(within(queries, places, km, feature), k, offset)
 
 
-def nearest(queries: DataFrame, places: DataFrame, k: int = 1, metric: str = "equirect", start_km: float = 2.0) -> DataFrame:
-    """(query_id, id, dist, rank): exactly the k nearest places of each query (all of them if there are fewer).
+def nearest(queries: DataFrame, places: DataFrame, k: int = 1, metric: str = "equirect", start_km: float = 2.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, id, dist, rank): exactly the k nearest places of each query (all of them if there are fewer). With `by`, of the places that agree with it in these columns.
 
     A round joins queries with the places around them. A query that has k places within the round's radius is answered, as
     no place outside can be nearer; the others go on with four times the radius. The pseudo-distance bounds latitudes only,
     so for it the cells are bands of latitude.
     """
     dist = METRICS[metric](F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon"))
-    left = queries.select("query_id", F.col("lat").alias("qlat"), F.col("lon").alias("qlon")).where("qlat is not null and qlon is not null")
-    known = places.select("id", "lat", "lon").where("lat is not null and lon is not null")
+    left = queries.select("query_id", *by, F.col("lat").alias("qlat"), F.col("lon").alias("qlon")).where("qlat is not null and qlon is not null")
+    known = places.select("id", *by, "lat", "lon").where("lat is not null and lon is not null")
     most = math.pi * geo.EARTH_KM if metric == "haversine" else 400.0 * geo.EARTH_KM
     km, done = start_km if metric == "haversine" else start_km * geo.EARTH_KM / DEGREE, None
     while True:
@@ -86,7 +86,7 @@ def nearest(queries: DataFrame, places: DataFrame, k: int = 1, metric: str = "eq
             size, d = km / geo.EARTH_KM, km / geo.EARTH_KM
             a = left.select("*", F.explode(F.sequence(F.floor((F.col("qlat") - d + 90.0) / size), F.floor((F.col("qlat") + d + 90.0) / size))).alias("cell"))
             b = known.select("*", F.floor((F.col("lat") + 90.0) / size).alias("cell"))
-        hits = a.join(b, "cell").withColumn("dist", dist)
+        hits = a.join(b, ["cell", *by]).withColumn("dist", dist)
         hits = hits if last else hits.where(F.col("dist") <= km)
         ranked = kept(page(hits.select("query_id", "id", "dist"), k))
         full = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")

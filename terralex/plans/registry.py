@@ -5,11 +5,415 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..functions.text import tokens
+from ..operators import address, autocomplete, boolean, dedup, geofence, lm, rank, spatial, spell
+from ..operators import index as ix
+from ..sources import mapdata
+from . import inputs as i
+from . import sql as q
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable:
+    """Registers a query under its function's name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+# Index
+
+
+@query(f"WITH {q.POS} SELECT doc_id, CAST(p - 1 AS INTEGER) AS pos, term FROM pos")
+def tokens_of_documents(spark, d):
+    return i.table(spark, d, "documents").select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
+
+
+@query(f"WITH {q.INDEX} SELECT field, term, doc_id, tf FROM postings")
+def term_freq(spark, d):
+    return i.index(spark, d).postings
+
+
+@query(f"WITH {q.INDEX} SELECT term, df FROM df")
+def doc_freq(spark, d):
+    return i.index(spark, d).df
+
+
+@query(f"WITH {q.INDEX} SELECT term, count(*) AS df FROM postings WHERE field = 'name' GROUP BY term")
+def doc_freq_name(spark, d):
+    return ix.doc_freq(i.index(spark, d).postings, "name")
+
+
+@query(f"WITH {q.INDEX} SELECT field, doc_id, len FROM lens")
+def field_lengths(spark, d):
+    return i.index(spark, d).lengths
+
+
+@query(f"WITH {q.INDEX} SELECT field, n_docs, total, round(avg_len, 6) AS avg_len FROM stats")
+def field_stats(spark, d):
+    return i.index(spark, d).stats.withColumn("avg_len", F.round("avg_len", 6))
+
+
+@query(f"WITH {q.INDEX} SELECT n, round(avgdl, 6) AS avgdl FROM corpus")
+def corpus_stats(spark, d):
+    return i.index(spark, d).corpus.withColumn("avgdl", F.round("avgdl", 6))
+
+
+@query(f"WITH {q.INDEX} SELECT field, term, doc_id, CAST(2 * tf AS BIGINT) AS tf FROM postings")
+def postings_merge(spark, d):
+    """Two segments with the same documents: frequencies add up."""
+    p = i.index(spark, d).postings
+    return ix.merge([p, p])
+
+
+@query(f"WITH {q.INDEX} SELECT field, doc_id, tf FROM postings WHERE term = 'the'")
+def posting_list(spark, d):
+    return ix.posting_list(i.index(spark, d).postings, "the").select("field", "doc_id", "tf")
+
+
+@query("""WITH r AS (SELECT user_id, event_id, event_type,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS run FROM events)
+SELECT user_id, min(event_id) AS "start", event_type, count(*) AS n FROM r GROUP BY user_id, event_type, run""")
+def rle_runs(spark, d):
+    return ix.run_lengths(i.table(spark, d, "events"), "user_id", "event_id", "event_type")
+
+
+# Ranking
+
+
+@query(f"WITH {q.INDEX}, {q.SEARCHES}, {q.BM25F} {q.page()}")
+def bm25f_search(spark, d):
+    return rank.search(i.index(spark, d), i.searches(spark, d))
+
+
+@query(f"WITH {q.INDEX}, {q.SEARCHES}, {q.BM25F} {q.page(5, 10)}")
+def bm25f_paged(spark, d):
+    return rank.search(i.index(spark, d), i.searches(spark, d), k=5, offset=10)
+
+
+@query(f"WITH {q.INDEX}, {q.SEARCHES_TWICE}, {q.BM25F} {q.page()}")
+def bm25f_repeated_term(spark, d):
+    """Each query written twice: every occurrence counts."""
+    return rank.search(i.index(spark, d), i.searches(spark, d).withColumn("query", F.concat_ws(" ", "query", "query")))
+
+
+@query(f"WITH {q.INDEX}, {q.SEARCHES}, {q.BM25_PLUS} {q.page()}")
+def bm25plus_search(spark, d):
+    return rank.search(i.index(spark, d), i.searches(spark, d), model="BM25_PLUS")
+
+
+@query(f"WITH {q.INDEX}, {q.SEARCHES}, {q.TF_IDF} {q.page()}")
+def tfidf_search(spark, d):
+    return rank.search(i.index(spark, d), i.searches(spark, d), model="TF_IDF_COSINE")
+
+
+@query(f"WITH {q.INDEX}, {q.SEARCHES}, {q.BM25F} SELECT h.*, name, address FROM ({q.page()}) h JOIN docs USING (doc_id)")
+def search_documents(spark, d):
+    index = i.index(spark, d)
+    return rank.with_documents(index, rank.search(index, i.searches(spark, d)))
+
+
+# Language model
+
+
+def _grams(n: int):
+    return lambda spark, d: lm.counts(i.token_lists(i.docs(spark, d)), n)
+
+
+for _n, _name in enumerate(("unigrams", "bigrams", "trigrams", "quadgrams"), 1):
+    QUERIES[_name] = _grams(_n)
+    ORACLES[_name] = f"WITH {q.TOK}, lt AS (SELECT t FROM tok), {q.grams(_n)} SELECT * FROM ng{_n}"
+
+
+def _contexts(spark, d):
+    """Every position of every query, with the three words before."""
+    seq = i.searches(spark, d).select(lm.padded(tokens(F.col("query")), lm.ORDER).alias("t"))
+    at = F.transform(F.sequence(F.lit(lm.ORDER), F.size("t") - 1), lambda k: F.struct(*(F.get(F.col("t"), k - j).alias(f"h{j}") for j in (3, 2, 1)), F.get(F.col("t"), k).alias("w")))
+    return seq.select(F.explode(at).alias("x")).select("x.*").distinct()
+
+
+def _model(spark, d):
+    return lm.Model.build(i.token_lists(i.docs(spark, d)))
+
+
+_LM = f"WITH {q.TOK}, lt AS (SELECT t FROM tok), {q.SEARCHES}, sq AS (SELECT query_id AS seq_id, t FROM qtok), {q.lm()}"
+
+
+@query(f"{_LM} SELECT DISTINCT h3, h2, h1, w, round(p1, 9) AS p1, round(p2, 9) AS p2, round(p3, 9) AS p3, round(p4, 9) AS p4 FROM se")
+def ngram_mle(spark, d):
+    return _model(spark, d).estimates(_contexts(spark, d)).select("h3", "h2", "h1", "w", *(F.round(f"p{n}", 9).alias(f"p{n}") for n in range(1, 5)))
+
+
+@query(f"{_LM} SELECT DISTINCT h3, h2, h1, w, round(p, 9) AS p FROM sb")
+def stupid_backoff(spark, d):
+    return _model(spark, d).backoff(_contexts(spark, d)).withColumn("p", F.round("p", 9))
+
+
+@query(f"{_LM} SELECT seq_id, round(logp, 6) AS logp FROM sl")
+def sequence_logprob(spark, d):
+    seq = i.searches(spark, d).select(F.col("query_id").alias("seq_id"), tokens(F.col("query")).alias("tokens"))
+    return _model(spark, d).score(seq).withColumn("logp", F.round("logp", 6))
+
+
+# Spelling and autocompletion, over part names
+
+
+def _part_model(spark, d):
+    return lm.Model.build(i.token_lists(i.parts(spark, d)))
+
+
+@query(f"WITH {q.PARTS}, {q.MISSPELT} SELECT DISTINCT m.term AS word, v.term, CAST(levenshtein(m.term, v.term) AS INTEGER) AS edits FROM mterms m JOIN vocab v ON levenshtein(m.term, v.term) <= 2")
+def spell_candidates(spark, d):
+    index = ix.Index.build(i.parts(spark, d))
+    return spell.candidates(rank.query_terms(i.misspelt(spark, d)), index.vocabulary)
+
+
+@query(f"WITH {q.PARTS}, {q.MISSPELT}, {q.CORRECTED}, sq AS (SELECT struct_pack(query_id := query_id, cand := cand) AS seq_id, t FROM cands), {q.lm()}, {q.BEST} SELECT query_id, array_to_string(t, ' ') AS query, round(logp, 6) AS logp FROM best WHERE rank = 1")
+def spell_best_query(spark, d):
+    index = ix.Index.build(i.parts(spark, d))
+    return spell.corrected(i.misspelt(spark, d), index.vocabulary, _part_model(spark, d)).withColumn("logp", F.round("logp", 6))
+
+
+@query(f"WITH {q.PARTS}, {q.MISSPELT}, {q.CORRECTED}, sq AS (SELECT struct_pack(query_id := query_id, cand := cand) AS seq_id, t FROM cands), {q.lm()}, {q.BEST}, qt AS (SELECT query_id, unnest(t) AS term FROM best WHERE rank = 1), {q.BM25F} {q.page()}")
+def search_with_correction(spark, d):
+    index = ix.Index.build(i.parts(spark, d))
+    return rank.search(index, spell.corrected(i.misspelt(spark, d), index.vocabulary, _part_model(spark, d)))
+
+
+@query(f"WITH {q.PARTS} SELECT term FROM vocab WHERE starts_with(term, 'b')")
+def prefix_terms(spark, d):
+    return autocomplete.prefix_terms(ix.Index.build(i.parts(spark, d)).vocabulary, "b")
+
+
+_COMPLETE = f"WITH {q.PARTS}, {q.TYPED}, sq AS (SELECT struct_pack(query_id := query_id, cand := cand) AS seq_id, t FROM cands), {q.lm()}, {q.BEST}"
+
+
+@query(f"{_COMPLETE} SELECT query_id, array_to_string(t, ' ') AS query, rank FROM best WHERE rank <= 3")
+def autocomplete_candidates(spark, d):
+    index = ix.Index.build(i.parts(spark, d))
+    return autocomplete.candidates(i.typed(spark, d), index.vocabulary, _part_model(spark, d)).select("query_id", F.array_join("tokens", " ").alias("query"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"{_COMPLETE}, {q.CONJUNCTIVE} SELECT query_id, place, doc_id, cand, score FROM placed WHERE place <= 10")
+def autocomplete_search(spark, d):
+    index = ix.Index.build(i.parts(spark, d))
+    return autocomplete.autocomplete(index, i.typed(spark, d), _part_model(spark, d))
+
+
+# Boolean queries and set operations
+
+
+@query(f"WITH {q.INDEX} SELECT doc_id FROM postings WHERE term IN ('the', 'of', 'and') GROUP BY doc_id HAVING count(DISTINCT term) = 3")
+def boolean_and(spark, d):
+    index = i.index(spark, d)
+    return boolean.matches(index.docs, index.postings, "the AND of AND and")
+
+
+@query(f"WITH {q.INDEX} SELECT DISTINCT doc_id FROM postings WHERE term IN ('la', 'und')")
+def boolean_or(spark, d):
+    index = i.index(spark, d)
+    return boolean.matches(index.docs, index.postings, "la OR und")
+
+
+@query(f"WITH {q.INDEX} SELECT doc_id FROM docs EXCEPT (SELECT doc_id FROM postings WHERE term = 'the' INTERSECT SELECT doc_id FROM postings WHERE term = 'of')")
+def boolean_not(spark, d):
+    index = i.index(spark, d)
+    return boolean.matches(index.docs, index.postings, "NOT (the AND of)")
+
+
+@query(f"WITH {q.INDEX} SELECT doc_id, min(tf) AS tf FROM postings WHERE field = 'address' AND term IN ('the', 'of') GROUP BY doc_id HAVING count(*) = 2")
+def posting_intersection(spark, d):
+    return boolean.intersection(i.index(spark, d).postings, ["the", "of", "the"], "address")
+
+
+@query(f"WITH {q.INDEX} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS tf FROM postings WHERE term = 'the' GROUP BY doc_id")
+def posting_union(spark, d):
+    p = i.index(spark, d).postings
+    return boolean.union([ix.posting_list(p, "the", f) for f in ix.FIELDS])
+
+
+# Geometry
+
+
+def _pairs(spark, d):
+    return i.places(spark, d).join(i.points(spark, d).select("query_id", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "s_nationkey"), F.col("c_nationkey") == F.col("s_nationkey"))
+
+
+def _four():
+    return F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon")
+
+
+@query(f"WITH {q.GEO} SELECT id, query_id, round({q.haversine('qlat', 'qlon', 'lat', 'lon')}, 6) AS km FROM pairs")
+def haversine_pairs(spark, d):
+    return _pairs(spark, d).select("id", "query_id", F.round(geo.haversine(*_four()), 6).alias("km"))
+
+
+@query(f"WITH {q.GEO} SELECT id, query_id, round({q.equirect('qlat', 'qlon', 'lat', 'lon')}, 6) AS km FROM pairs")
+def equirect_pairs(spark, d):
+    return _pairs(spark, d).select("id", "query_id", F.round(geo.equirect(*_four()), 6).alias("km"))
+
+
+@query(f"""WITH {q.GEO}, m AS (SELECT id, query_id, radians(qlon) AS l1, radians(qlat) AS a, radians(lat) AS b, radians(lon - qlon) AS dl FROM pairs),
+n AS (SELECT *, cos(b) * cos(dl) AS x, cos(b) * sin(dl) AS y FROM m)
+SELECT id, query_id, round(degrees(atan2(sin(a) + sin(b), sqrt((cos(a) + x) * (cos(a) + x) + y * y))), 6) AS lat, round(degrees(l1 + atan2(y, cos(a) + x)), 6) AS lon FROM n""")
+def midpoint(spark, d):
+    la, lo = geo.midpoint(*_four())
+    return _pairs(spark, d).select("id", "query_id", F.round(la, 6).alias("lat"), F.round(lo, 6).alias("lon"))
+
+
+@query(f"WITH {q.GEO}, g AS (SELECT c_nationkey, list_sort(list(lat)) AS a, list_sort(list(lon)) AS o FROM places GROUP BY c_nationkey) SELECT c_nationkey, round(a[len(a) // 2 + 1], 6) AS lat, round(o[len(o) // 2 + 1], 6) AS lon FROM g")
+def upper_median_center(spark, d):
+    return i.places(spark, d).groupBy("c_nationkey").agg(F.round(geo.upper_median(F.collect_list("lat")), 6).alias("lat"), F.round(geo.upper_median(F.collect_list("lon")), 6).alias("lon"))
+
+
+@query(f"WITH {q.GEO} SELECT id, query_id FROM pairs WHERE {q.haversine('qlat', 'qlon', 'lat', 'lon')} <= 0.2 + query_id % 20")
+def circle_contains(spark, d):
+    return _pairs(spark, d).where(geo.in_circle(F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"), (F.lit(0.2) + F.col("query_id") % 20))).select("id", "query_id")
+
+
+@query(f"WITH {q.GEO}, s AS (SELECT id, query_id, -6.5 AS a1, 106.0 AS o1, lat AS a2, lon AS o2, qlat AS ca, qlon AS co, (0.2 + query_id % 20)::DOUBLE AS r FROM pairs) SELECT id, query_id FROM s WHERE {q.crosses('a1', 'o1', 'a2', 'o2', 'ca', 'co', 'r')}")
+def segment_circle(spark, d):
+    """Lines from one corner of the region to each place, against circles."""
+    return _pairs(spark, d).where(geo.crosses_circle(F.lit(-6.5), F.lit(106.0), F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"), (F.lit(0.2) + F.col("query_id") % 20).cast("double"))).select("id", "query_id")
+
+
+@query(f"WITH {q.GEO} SELECT id, query_id AS box_id FROM places a, points b WHERE a.lat - 0.02 < b.lat + 0.03 AND b.lat - 0.03 < a.lat + 0.02 AND a.lon - 0.02 < b.lon + 0.03 AND b.lon - 0.03 < a.lon + 0.02")
+def bbox_overlap_join(spark, d):
+    a = mapdata.point_boxes(i.places(spark, d), 0.02)
+    b = mapdata.point_boxes(i.points(spark, d), 0.03).select(F.col("query_id").alias("box_id"), *(F.col(c).alias(f"b_{c}") for c in dedup.BOX))
+    return spatial.box_join(a, b).select("id", "box_id")
+
+
+@query(f"WITH {q.GEO}, {q.AREAS}, {q.INSIDE} SELECT id, area_id FROM inside WHERE inside AND in_box")
+def point_in_polygon(spark, d):
+    return spatial.polygon_join(i.places(spark, d), i.areas(spark, d)).select("id", "area_id")
+
+
+@query(f"WITH {q.GEO}, {q.AREAS}, {q.INSIDE} SELECT id, area_id, level, inside FROM inside WHERE near_box")
+def admin_lookup(spark, d):
+    return address.areas_at(i.places(spark, d), i.areas(spark, d)).select("id", "area_id", "level", "inside")
+
+
+@query(f"WITH {q.GEO}, {q.AREAS}, {q.INSIDE}, {q.ADDRESS} SELECT id, address, city FROM addressed")
+def address_assembly(spark, d):
+    k = F.col("id")
+    places = i.places(spark, d).select("id", "lat", "lon", F.when(k % 2 == 0, F.concat(F.lit("Street "), k % 9)).alias("street"), F.when(k % 3 == 0, F.lit("12345")).alias("postcode"), F.when(k % 4 != 0, (k % 100).cast("string")).alias("house"))
+    streets = i.points(spark, d).select(F.col("query_id").alias("id"), F.col("s_name").alias("name"), "lat", "lon")
+    return address.addresses(places, i.areas(spark, d), streets)
+
+
+# Nearest places
+
+
+@query(f"WITH {q.GEO} {q.nearest(q.equirect('q.lat', 'q.lon', 'p.lat', 'p.lon'), 5)}")
+def knn(spark, d):
+    return spatial.nearest(i.points(spark, d), i.places(spark, d), 5)
+
+
+@query(f"WITH {q.GEO} {q.nearest(q.haversine('q.lat', 'q.lon', 'p.lat', 'p.lon'), 5)}")
+def knn_haversine(spark, d):
+    return spatial.nearest(i.points(spark, d), i.places(spark, d), 5, metric="haversine")
+
+
+@query(f"WITH {q.GEO} SELECT query_id, id, dist FROM ({q.nearest(q.equirect('q.lat', 'q.lon', 'p.lat', 'p.lon'), 1)})")
+def reverse_geocode(spark, d):
+    return spatial.reverse_geocode(i.points(spark, d), i.places(spark, d))
+
+
+_NEAR = q.haversine("q.lat", "q.lon", "p.lat", "p.lon")
+
+
+@query(f"WITH {q.GEO} {q.nearest(_NEAR, 10, where=f'c_mktsegment = {chr(39)}BUILDING{chr(39)} AND {_NEAR} <= 5')}")
+def nearby_places(spark, d):
+    return spatial.nearby(i.points(spark, d), i.places(spark, d), "segment=BUILDING", 5.0, 10)
+
+
+# Geofences
+
+
+@query(f"WITH {q.GEO}, {q.FENCES} SELECT move_id, point_id, fence, key, status FROM judged")
+def geofence_events(spark, d):
+    return geofence.classify(geofence.steps(i.moves(i.table(spark, d, "events"))), i.circles(spark, d))
+
+
+@query(f"WITH {q.GEO}, {q.FENCES} SELECT move_id, point_id, fence, key, status FROM judged")
+def geofence_stream(spark, d):
+    """The same events from a stream with state, written by micro-batches and read back."""
+    import uuid
+
+    from ..sources.scratch import shared_folder
+    from ..streaming.geofence import watch
+
+    at = f"{shared_folder(spark)}/terralex-stream-{uuid.uuid4().hex}"
+    schema = i.table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    watch(i.moves(stream), i.circles(spark, d), f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("batch")
+
+
+@query("""WITH c AS (SELECT event_type AS fence, user_id AS key, event_id AS seq, -6.0 - (event_id % 997) / 1000.0 AS lat, 106.0 + (event_id % 1009) / 1000.0 AS lon,
+    CASE WHEN event_id % 7 <> 0 THEN (0.2 + event_id % 20)::DOUBLE END AS radius FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY fence, key ORDER BY seq DESC) AS n FROM c)
+SELECT fence, key, round(lat, 6) AS lat, round(lon, 6) AS lon, round(radius, 6) AS radius FROM r WHERE n = 1 AND radius IS NOT NULL""")
+def fence_upsert(spark, d):
+    k = F.col("event_id")
+    changes = i.table(spark, d, "events").select(F.col("event_type").alias("fence"), F.col("user_id").alias("key"), k.alias("seq"), i.lat(k).alias("lat"), i.lon(k).alias("lon"), F.when(k % 7 != 0, (F.lit(0.2) + k % 20).cast("double")).alias("radius"))
+    return geofence.upsert(changes).select("fence", "key", *(F.round(c, 6).alias(c) for c in ("lat", "lon", "radius")))
+
+
+# Map objects
+
+
+@query(f"WITH {q.TAGGED} SELECT id, type FROM tagged")
+def place_type(spark, d):
+    return i.tagged(spark, d).select("id", mapdata.place_type(F.col("tags")).alias("type"))
+
+
+@query(f"WITH {q.TAGGED} SELECT id, name FROM tagged")
+def display_name(spark, d):
+    return i.tagged(spark, d).select("id", mapdata.display_name(F.col("tags")).alias("name"))
+
+
+@query(f"WITH {q.TAGGED} SELECT id, features FROM tagged")
+def feature_tags(spark, d):
+    return i.tagged(spark, d).select("id", F.array_join(mapdata.features(F.col("tags")), ",").alias("features"))
+
+
+@query(f"WITH {q.TAGGED} SELECT id FROM tagged WHERE name <> '' AND features <> ''")
+def way_admission(spark, d):
+    return mapdata.admitted(i.tagged(spark, d), mapdata.WAY_KEYS).select("id")
+
+
+@query(None)
+def way_dedup(spark, d):
+    return dedup.unique_ways(i.ways(spark, d)).select("id", "name")
+
+
+@query(f"""WITH {q.GEO} SELECT p.id, n.n_name AS name FROM places p JOIN nation n ON p.c_nationkey = n.n_nationkey
+WHERE NOT (p.lat BETWEEN -6.3 - (n.n_nationkey % 5) * 0.1 AND -6.0 - (n.n_nationkey % 5) * 0.1 AND p.lon BETWEEN 106.1 + (n.n_nationkey // 5) * 0.1 AND 106.5 + (n.n_nationkey // 5) * 0.1)""")
+def node_dedup(spark, d):
+    nodes = i.places(spark, d).join(i.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.lower("n_name").alias("name"), F.col("n_name").alias("own")), "c_nationkey")
+    return dedup.unique_nodes(nodes, i.named_boxes(spark, d)).select("id", F.col("own").alias("name"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS doc_id FROM orders")
+def dense_ids(spark, d):
+    return dedup.numbered(i.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "o_orderkey").select("o_orderkey", "doc_id")
