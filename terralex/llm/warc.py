@@ -10,7 +10,7 @@ at which a valid member (or, in plain archives, a version line with sound header
 between as a quarantined gap with the reason. Nothing after a damaged record is lost.
 
 Edge cases: a null html is an empty payload; equal payloads under `SMALL` bytes are all responses; a null page_id is written
-and read as null and refers to no other record; repeated rows are records of their own (of rows with the least page_id one is the response, the others revisit it);
+and read as null and refers to no other record; repeated rows are records of their own (those with the response's page_id and payload are responses, too);
 URLs may hold any characters (line breaks are percent-encoded); empty tables give no archive; extra columns are left out.
 """
 
@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Shelf
@@ -52,23 +52,21 @@ def page_record(page: int | None, url: str, html: bytes, digest: str, refers: in
     if refers is None:
         return record("response", uri, http + html, headers, name(page))
     headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:uuid:{name(refers)}>", "WARC-Refers-To-Page-ID": str(refers)}
-    return record("revisit", uri, http, headers, str(uuid.uuid4()) if page == refers else name(page))
+    return record("revisit", uri, http, headers, name(page))
 
 
 def deduplicated(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html binary, digest, refers_to): which records revisit which. Least ids come from a partial aggregation by digest; the join back is split where a digest is hot."""
+    """(page_id, url, html binary, digest, refers_to): which records revisit which.
+
+    Ids and digests alone are grouped and joined, with partial aggregation by digest; the pages themselves only meet the
+    short rows of revisits, so html moves once at most.
+    """
     html = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html")).withColumn("digest", F.sha2("html", 256))
-    large = F.length("html") >= SMALL
-    # rows of one id are told apart by a number; there are few of them, so the window's groups are small
-    least = rows.where(large & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    out = rows.join(least, "digest", "left").withColumn("least", F.when(large, F.col("least")))
-    twice = rows.where("page_id is not null").groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("page_id", F.lit(True).alias("again"))
-    out = out.join(twice, "page_id", "left")
-    single = out.where("again is null").withColumn("k", F.lit(1)).select("page_id", "url", "html", "digest", "least", "k")
-    several = out.where("again").withColumn("k", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))).select("page_id", "url", "html", "digest", "least", "k")
-    revisit = F.col("least").isNotNull() & F.col("page_id").isNotNull() & ((F.col("page_id") != F.col("least")) | (F.col("k") > 1))
-    return single.unionByName(several).select("page_id", "url", "html", "digest", F.when(revisit, F.col("least")).alias("refers_to"))
+    short = rows.where((F.length("html") >= SMALL) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    least = short.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last")
+    revisits = short.join(least, "digest").where("page_id <> refers_to").distinct()
+    return rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
 
 
 def write(rows: DataFrame, folder: str) -> DataFrame:
