@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -26,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a leaf of the tree: so short a string is encoded by plain merges.
-LEAF = 8
+LEAF = 6
 #: Entries of the per-worker memory of byte strings; when full it is emptied, so memory is bounded and results are not touched.
 MEMO = 400_000
+PACKED = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -88,42 +90,45 @@ class Codec:
         """Canonical tokens of the bytes of a window. Windows are a few tokens wide whatever the text's length."""
         if (i := self.ranks.get(piece)) is not None:
             return (i,)
-        return self.merge(piece)
+        if len(piece) > 24:
+            return self.merge(piece)
+        if (known := self.memo.get(piece)) is None:
+            if len(self.memo) >= self.limit:
+                self.memo.clear()
+            known = self.memo[piece] = self.merge(piece)
+        return known
 
-    def stable(self, a: int, b: int) -> bool:
-        """Whether the pair is canonical: its bytes encode to it."""
+    def pair(self, a: int, b: int) -> tuple[int, ...]:
+        """Tokens of the bytes of two tokens; the pair is canonical if these are the two."""
         if (known := self.pairs.get((a, b))) is None:
             if len(self.pairs) >= self.limit:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.window(self.bytes_of[a] + self.bytes_of[b]) == (a, b)
+            known = self.pairs[a, b] = self.window(self.bytes_of[a] + self.bytes_of[b])
         return known
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The canonical list of two neighbours' bytes together."""
-        if not left or not right or self.stable(left[-1], right[0]):
+        if not left or not right:
+            return left + right
+        inner = self.pair(left[-1], right[0])
+        if inner == (left[-1], right[0]):
             return left + right
         i, j, of = 1, 1, self.bytes_of
         while True:
-            inner = self.window(b"".join(of[t] for t in left[-i:]) + b"".join(of[t] for t in right[:j]))
-            low = i == len(left) or self.stable(left[-i - 1], inner[0])
-            high = j == len(right) or self.stable(inner[-1], right[j])
+            low = i == len(left) or self.pair(x := left[-i - 1], inner[0]) == (x, inner[0])
+            high = j == len(right) or self.pair(inner[-1], x := right[j]) == (inner[-1], x)
             if low and high:
                 return left[: len(left) - i] + inner + right[j:]
             i, j = min(len(left), i * (2 - low)), min(len(right), j * (2 - high))
+            inner = self.window(b"".join([of[t] for t in left[-i:]] + [of[t] for t in right[:j]]))
 
     def piece(self, raw: bytes) -> tuple[int, ...]:
         """Tokens of one match. A whole match that is a token stands for itself."""
-        if (known := self.memo.get(raw)) is None:
-            if len(self.memo) >= self.limit:
-                self.memo.clear()
-            known = self.memo[raw] = self.window(raw) if raw in self.ranks else self.tree(raw)
-        return known
+        return (i,) if (i := self.ranks.get(raw)) is not None else self.tree(raw)
 
     def tree(self, raw: bytes) -> tuple[int, ...]:
         if len(raw) <= self.leaf:
-            if (known := self.memo.get(raw)) is None:
-                known = self.memo[raw] = self.window(raw)
-            return known
+            return self.window(raw)
         if len(raw) > 4096:  # a long match: its levels are lists, joined from the leaves upwards, so no deep slices are copied
             return tuple(self.reduce([self.tree(raw[i : i + 2048]) for i in range(0, len(raw), 2048)]))
         half = len(raw) // 2
@@ -141,7 +146,7 @@ class Codec:
             if (known := words.get(m)) is None:
                 if len(words) >= self.limit:
                     words.clear()
-                known = words[m] = np.array(self.piece(m.encode()), "<u4").tobytes()
+                known = words[m] = PACKED[len(ids)](*ids) if len(ids := self.piece(m.encode())) < len(PACKED) else np.array(ids, "<u4").tobytes()
             out.append(known)
         return b"".join(out)
 
