@@ -16,7 +16,8 @@ def num(x: float | Column) -> Column:
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half = lambda x: (1.0 - F.cos(x)) / 2.0
     h = half(F.radians(lat2 - lat1)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(F.radians(lon2 - lon1))
-    return F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), h)))) * (2.0 * EARTH_KM)
+    # greatest() and least() pass over nulls, so rounding errors are cut off by cases
+    return F.asin(F.sqrt(F.when(h > 1.0, 1.0).when(h < 0.0, 0.0).otherwise(h))) * (2.0 * EARTH_KM)
 
 
 def equirect(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -19,17 +19,23 @@ DEGREE = math.pi * geo.EARTH_KM / 180
 METRICS = {"equirect": geo.equirect, "haversine": geo.haversine}
 
 
+def columns_around(size: float) -> int:
+    """Cells around the globe: a whole number of them, each at least as wide as they are high."""
+    return max(1, math.floor(360.0 / size))
+
+
 def cell(lat: Column, lon: Column, size: float) -> Column:
-    return F.struct(F.floor((lat + 90.0) / size).alias("y"), F.floor((lon + 180.0) / size).alias("x"))
+    n = columns_around(size)
+    return F.struct(F.floor((lat + 90.0) / size).alias("y"), F.pmod(F.floor((lon + 180.0) / (360.0 / n)), F.lit(n)).alias("x"))
 
 
 def cells(lo_lat: Column, lo_lon: Column, hi_lat: Column, hi_lon: Column, size: float) -> Column:
     """All cells that a box meets, around the date line if it must be."""
-    around = math.ceil(360.0 / size)
+    n = columns_around(size)
     row = F.sequence(F.floor((lo_lat + 90.0) / size), F.floor((hi_lat + 90.0) / size))
-    first, last = F.floor((lo_lon + 180.0) / size), F.floor((hi_lon + 180.0) / size)
-    columns = F.array_distinct(F.transform(F.sequence(F.lit(0).cast("bigint"), F.least(last - first, F.lit(around))), lambda k: F.pmod(first + k, F.lit(around))))
-    return F.flatten(F.transform(row, lambda y: F.transform(columns, lambda x: F.struct(y.alias("y"), x.alias("x")))))
+    first, last = F.floor((lo_lon + 180.0) / (360.0 / n)), F.floor((hi_lon + 180.0) / (360.0 / n))
+    column = F.transform(F.sequence(F.lit(0).cast("bigint"), F.least(last - first, F.lit(n - 1).cast("bigint"))), lambda k: F.pmod(first + k, F.lit(n)))
+    return F.flatten(F.transform(row, lambda y: F.transform(column, lambda x: F.struct(y.alias("y"), x.alias("x")))))
 
 
 def around(lat: Column, lon: Column, km: float) -> tuple[Column, Column, Column, Column]:
@@ -47,7 +53,7 @@ def within(queries: DataFrame, places: DataFrame, km: float, feature: str | None
     left = queries.select("query_id", F.col("lat").alias("qlat"), F.col("lon").alias("qlon")).where("qlat is not null and qlon is not null")
     left = left.select("*", F.explode(cells(*around(F.col("qlat"), F.col("qlon"), km), size)).alias("cell"))
     right = places if feature is None else places.where(F.array_contains("features", feature))
-    right = right.select("id", "lat", "lon", cell(F.col("lat"), F.pmod(F.col("lon") + 180.0, F.lit(360.0)) - 180.0, size).alias("cell"))
+    right = right.select("id", "lat", "lon", cell(F.col("lat"), F.col("lon"), size).alias("cell"))
     dist = geo.haversine(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon"))
     return left.join(right, "cell").withColumn("dist", dist).where(F.col("dist") <= km).select("query_id", "id", "dist")
 
@@ -81,7 +87,7 @@ def nearest(queries: DataFrame, places: DataFrame, k: int = 1, metric: str = "eq
         if metric == "haversine":
             size = min(45.0, max(km / DEGREE, 1e-4))
             a = left.select("*", F.explode(cells(*around(F.col("qlat"), F.col("qlon"), min(km, most)), size)).alias("cell"))
-            b = known.select("*", cell(F.col("lat"), F.pmod(F.col("lon") + 180.0, F.lit(360.0)) - 180.0, size).alias("cell"))
+            b = known.select("*", cell(F.col("lat"), F.col("lon"), size).alias("cell"))
         else:
             size, d = km / geo.EARTH_KM, km / geo.EARTH_KM
             a = left.select("*", F.explode(F.sequence(F.floor((F.col("qlat") - d + 90.0) / size), F.floor((F.col("qlat") + d + 90.0) / size))).alias("cell"))

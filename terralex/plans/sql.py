@@ -86,7 +86,7 @@ pairs AS (SELECT id, query_id, p.lat, p.lon, q.lat AS qlat, q.lon AS qlon FROM p
 
 def haversine(a: str, b: str, c: str, d: str) -> str:
     h = f"((1 - cos(radians({c} - {a}))) / 2 + cos(radians({a})) * cos(radians({c})) * (1 - cos(radians({d} - {b}))) / 2)"
-    return f"(asin(sqrt(least(1.0, greatest(0.0, {h})))) * 2 * 6371)"
+    return f"(asin(sqrt(CASE WHEN {h} > 1 THEN 1 WHEN {h} < 0 THEN 0 ELSE {h} END)) * 2 * 6371)"
 
 
 def equirect(a: str, b: str, c: str, d: str) -> str:
