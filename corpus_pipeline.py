@@ -17,38 +17,50 @@ from terralex.llm.store import Shelf
 RAW_BITS = 8.0
 
 
-def others(docs: DataFrame) -> tuple[str, ...]:
-    return tuple(c for c in docs.columns if c != "doc_id")
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns c0, c1 and so on, and the new name of each: no column of the input can clash with an operator's."""
+    new = [f"c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*new), dict(zip(docs.columns, new))
+
+
+def restored(docs: DataFrame, of: dict[str, str]) -> DataFrame:
+    return docs.select(*(F.col(new).alias(old) for old, new in of.items()))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what is `und` (null or no letter) and what no language's model codes in fewer bits than raw bytes."""
+    rows, of = numbered(docs)
     model = langid.train(docs, bucket(3) != 1)
-    seen = langid.predict(docs, model, keep=others(docs))
-    return seen.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= RAW_BITS)).select(docs.columns)
+    seen = langid.predict(rows, model, id_col=of["doc_id"], text_col=of["text"], keep=tuple(rows.columns))
+    return restored(seen.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= RAW_BITS)), of)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the least id."""
+    """Keeps of each group of near duplicates the document with the least id. Rows without an id stay."""
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a window of a benchmark item occurs."""
-    return decontam.contamination(docs, table(spark, sf_dir, "benchmark"), keep=others(docs)).where("not contaminated").select(docs.columns)
+    rows, of = numbered(docs)
+    seen = decontam.contamination(rows, table(spark, sf_dir, "benchmark"), id_col=of["doc_id"], text_col=of["text"], keep=tuple(rows.columns))
+    return restored(seen.where("not contaminated"), of)
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts [KIND] in the place of each span of personal data; n_chars is counted anew."""
-    found = pii.find(docs, keep=tuple(docs.columns)).withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-    out = found.withColumn("text", pii.redacted(found))
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    """Puts [KIND] in the place of each span of personal data; n_chars is counted anew. A null text is an empty one from here on."""
+    rows, of = numbered(docs)
+    text = of["text"]
+    found = pii.find(rows, text_col=text, keep=tuple(rows.columns)).withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    out = found.withColumn(text, pii.redacted(found, text))
+    return restored(out.withColumn(of["n_chars"], F.length(text).cast("bigint")) if "n_chars" in of else out, of)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of what they decode to."""
-    return bpe.encode(docs, *tokenizer(), keep=tuple(c for c in others(docs) if c != "text"))
+    """Token ids of each document, with digests of the ids and of what they decode to. Of columns that are named like these, these stay."""
+    made = {"n_tokens", "ids", "ids_sha256", "decoded_sha256"}
+    return bpe.encode(docs, *tokenizer(), keep=tuple(c for c in docs.columns if c.lower() not in made | {"doc_id", "text"}))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("redaction", redaction), ("tokens", tokens)]

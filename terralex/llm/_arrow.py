@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
 CHUNK = 1 << 20
@@ -17,6 +18,14 @@ CHUNK = 1 << 20
 U64 = np.uint64
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The same rows; batches sent to Python hold 8 MB from now on, unless the session says otherwise. A longer row is a batch of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(key := "spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        conf.set(key, str(8 << 20))
+    return df
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes (uint8) and offsets (int64, one more than rows) of a string or binary column; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

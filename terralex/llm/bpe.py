@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._arrow import bounded
+
 #: Bytes of a leaf of the tree: so short a string is encoded by plain merges.
 LEAF = 6
 #: Entries of the per-worker memory of byte strings; when full it is emptied, so memory is bounded and results are not touched.
@@ -168,7 +170,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
     """(id, *keep, n_tokens, ids array<int>, ids_sha256, decoded_sha256) for each row, whole texts. Without `ids`, no lists."""
     if clash := {"n_tokens", "ids", "ids_sha256", "decoded_sha256"} & {id_col, *keep}:
         raise ValueError(f"columns {sorted(clash)} can't be kept beside the result's")
-    picked = docs.select(id_col, *[c for c in keep if c not in (id_col, text_col)], F.col(text_col).cast("string").alias("__text")) if text_col not in keep else docs.select(id_col, *[c for c in keep if c != id_col], F.col(text_col).cast("string").alias("__text"))
+    picked = bounded(docs).select(id_col, *[c for c in keep if c != id_col], F.col(text_col).cast("string").alias("__text"))
     own = [f for f in picked.schema.fields if f.name != "__text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", n_tokens bigint, " + "ids array<int>, " * ids + "ids_sha256 string, decoded_sha256 string"
 

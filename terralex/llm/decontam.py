@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import LOWERED, U64, runs, span_hashes, steps, utf8
+from ._arrow import LOWERED, U64, bounded, runs, span_hashes, steps, utf8
 
 #: Words of a window. Most words of the windows that are broadcast at once.
 WINDOW, MAX_WINDOW_WORDS = 10, 4_000_000
@@ -154,7 +154,7 @@ def term_counts(docs: DataFrame, terms: np.ndarray, text_col: str = "text") -> n
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
     counts = np.zeros(len(terms), np.int64)
-    for r in docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas().itertuples():
+    for r in bounded(docs).select(F.col(text_col).cast("string")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas().itertuples():
         counts[r.term] = r.n
     return counts
 
@@ -166,7 +166,7 @@ def postings(docs: DataFrame, terms: list[str], *, id_col: str = "doc_id", text_
     keys = span_hashes(flat, ends[:-1], ends[1:], LOWERED)
     order = np.argsort(keys)
     known, names = keys[order], [terms[i] for i in order]
-    picked = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    picked = bounded(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,9 +190,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     parts = phrases(list(zip(rows["i"], rows["t"])), window)
     counts = [term_counts(docs, p.terms, text_col) for p in parts]
     shared = docs.sparkSession.sparkContext.broadcast([(p, p.order(c)) for p, c in zip(parts, counts)])
-    columns = [id_col, *[c for c in keep if c != id_col]]
-    picked = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]) + ", n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>"
+    columns, with_text = [id_col, *[c for c in keep if c not in (id_col, text_col)]], int(text_col in keep)
+    picked = bounded(docs).select(*columns, F.col(text_col).cast("string").alias("__text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]) + f", `{text_col}` string" * with_text + ", n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = shared.value
@@ -215,6 +215,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                 hit = np.concatenate([[0], np.cumsum(np.cumsum(marks[:-1]) > 0)])
                 n_hit[i:j] = hit[bounds[1:]] - hit[bounds[:-1]]
             lists = [sorted(x) for x in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in lists], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()), pa.array(n_hit > 0), pa.array(lists, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+            own = [(text_col, batch.column(batch.num_columns - 1))] * with_text
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(c for _, c in own), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in lists], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()), pa.array(n_hit > 0), pa.array(lists, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], *(n for n, _ in own), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
 
     return picked.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import steps, utf8
+from ._arrow import bounded, steps, utf8
 
 #: Expected number of documents of a language that the model learns from: the bound of the training sample.
 SAMPLE_DOCS = 1500
@@ -73,7 +73,7 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                             parts[g] = parts.get(g, 0) + k
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array(list(parts), pa.int64()), pa.array(list(parts.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    rows = docs.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
+    rows = bounded(docs).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
     return rows.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -170,9 +170,10 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     text = F.col(text_col).cast("string")
-    columns = [id_col, *[c for c in keep if c != id_col]]
-    picked = docs.select(*columns, text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-2]) + ", lang_pred string, score double, bits_per_byte double"
+    columns = [id_col, *[c for c in keep if c not in (id_col, text_col)]]
+    with_text = int(text_col in keep)
+    picked = bounded(docs).select(*columns, text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-2]) + f", `{text_col}` string" * with_text + ", lang_pred string, score double, bits_per_byte double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -187,6 +188,7 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
                 names[letters] = np.array(m.langs, object)[best[letters]]
                 score[letters] = (1 / odds.sum(1))[letters]
                 rate[letters] = (bits.min(1) / size)[letters]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(rate)], names=[*batch.schema.names[:-2], "lang_pred", "score", "bits_per_byte"])
+            own = [(text_col, batch.column(batch.num_columns - 2))] * with_text
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *(c for _, c in own), pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(rate)], names=[*batch.schema.names[:-2], *(n for n, _ in own), "lang_pred", "score", "bits_per_byte"])
 
     return picked.mapInArrow(run, schema)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._arrow import bounded
 from .bpe import codec
 
 #: Lengths of a block.
@@ -32,7 +33,7 @@ def histogram(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text
                 found[len(c.encode_raw(text.as_py() or "")) // 4] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["n_tokens", "n_docs"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "n_tokens bigint, n_docs bigint").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return bounded(docs).select(F.col(text_col).cast("string")).mapInArrow(run, "n_tokens bigint, n_docs bigint").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def suffix_sums(lengths: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import BLACK, PLAIN, runs, span_hashes, steps, utf8
+from ._arrow import BLACK, PLAIN, bounded, runs, span_hashes, steps, utf8
 from .langid import sampled
 from .rules import LOWER, SYMBOLS, TERMINAL, UPPER, line_spans, repeats
 from .store import Shelf
@@ -72,7 +72,7 @@ def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 ends = pa.array(np.arange(j - i + 1, dtype=np.int32) * np.int32(len(FEATURES)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=["doc_id", "x"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, x array<double>")
+    return bounded(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, x array<double>")
 
 
 @dataclass

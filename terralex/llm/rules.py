@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import BLACK, LOWERED, PLAIN, U64, mix, runs, span_hashes, steps, utf8
+from ._arrow import BLACK, LOWERED, PLAIN, U64, bounded, mix, runs, span_hashes, steps, utf8
 
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 LONG, LINKS, KEPT_SHARE = 40, 8, 0.5
@@ -131,7 +131,7 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", text: bool = True) -> DataFrame:
     """(id, counts, base_failed, kept, n_lines, n_bad_lines, clean_text) for each row; clean_text (only with `text`) has the lines that pass."""
-    picked = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    picked = bounded(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     schema = f"`{id_col}` {picked.schema[0].dataType.simpleString()}, " + ", ".join(f"{c} {'boolean' if c in ('base_failed', 'kept') else 'bigint'}" for c in COLUMNS) + ", clean_text string" * text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

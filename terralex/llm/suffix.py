@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import PLAIN, U64, mix, steps, utf8
+from ._arrow import PLAIN, U64, bounded, mix, steps, utf8
 
 #: Bytes of a string that counts as repeated; of the strings whose least hash deals windows out; depth of the first sort.
 LENGTH, KMER, SHALLOW = 100, 32, 24
@@ -304,7 +304,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary, spans array<struct<start,end>>) for each row. Without `text`, no kept bytes and spans."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spans = removed(rows, counted_keys(rows, buckets), buckets).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary, spans array<struct<start:bigint,end:bigint>>" * text
 

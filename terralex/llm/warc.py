@@ -29,6 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._arrow import bounded
 from .store import Shelf
 
 #: Payload bytes after which a task starts a new archive; least payload of a revisit; most bytes of one record.
@@ -93,7 +94,7 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
             done.append((f"{folder}/{name}", n, size))
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "n_records", "n_bytes"])
 
-    return rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "path string, n_records bigint, n_bytes bigint")
+    return bounded(rows).select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "path string, n_records bigint, n_bytes bigint")
 
 
 @dataclass
