@@ -7,12 +7,11 @@ Registers are banded: equal bands make candidates. A pair's J is then estimated
 corrected for registers that agree by accident because they are short, and pairs far below the threshold are left out
 (six standard errors). The rest is verified on the full sets.
 
-Equal sets are one class from the start, by a 128-bit sum over the set. A band with many members isn't expanded into
-pairs: members are tried against one pivot of the band, a new one each round, and members that are already in one
-component need no trial. Members of bands that still hold several components are joined on the rarest shingles of their
-full sets (an exact prefix filter), and each such pair of different components is tried. So no link that the bands show
-is lost. With 48 bands of 4 registers a pair at J = 0.75 shares no
-band with probability (1 - 0.75**4)**48 = 1.2e-8.
+Equal sets are one class from the start, by a 128-bit sum over the set. A band isn't expanded into all its pairs. Its
+members are first tried against one of them, and links make components. Only members of one band that are in different
+components are still open. Small bands are joined; in larger ones, blocks of members meet in one group each, are compared
+as matrices of registers, and send out links only. So no link that the bands show is lost. With 48 bands of 4 registers a
+pair at J = 0.75 shares no band with probability (1 - 0.75**4)**48 = 1.2e-8.
 
 Edge cases: null and empty texts and texts without words have an empty set and are linked with nothing; a null id is
 linked with nothing and has no component; repeated rows of one id share its component; extra columns are left out.
@@ -27,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import BLACK, LOWERED, U64, mix, runs, span_hashes, steps, utf8
+from ._arrow import BLACK, LOWERED, U64, bounded, mix, runs, span_hashes, steps, utf8
 from .graph import components
 from .store import Shelf
 
 #: Words of a shingle; least similarity as a percentage; registers, registers of a band, bits kept after the first one.
 WORDS, PERCENT, REGISTERS, ROWS, MANTISSA = 5, 75, 192, 4, 10
-#: Rounds in which the members of a band are tried against one of them.
-PIVOT_ROUNDS = 2
+#: Members of a band that meet at once.
+BLOCK = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -116,19 +115,19 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
                 pack = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.itemsize * x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pack(ids), pack(regs)], names=["doc_id", "n_shingles", "set_id", "registers"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id binary, registers binary")
+    return bounded(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id binary, registers binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """(key, id, n): one row for each band of each class."""
+    """(band, key, id, n): one row for each band of each class."""
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("registers"), b * width + 1, F.lit(width))))
-    return reps.select(F.explode(keys).alias("key"), "id", "n")
+    return reps.select(F.posexplode(keys).alias("band", "key"), "id", "n")
 
 
 def checked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) with 100 * |A and B| >= PERCENT * |A or B|: estimated on the registers, then verified on the full sets."""
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"), F.col("text").alias(f"t{x}"))
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("registers").alias(f"r{x}"), F.col("text").alias(f"t{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = PERCENT / 100
@@ -159,33 +158,66 @@ def similar_size(x: str, y: str) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
 
 
-def shingles(classes: DataFrame) -> DataFrame:
-    """(id, shingle): the full sets."""
+def few(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in bands of `BLOCK` / 8 open members at most: not more pairs than a fixed number of times the rows."""
+    a, b = (rows.where(F.col("size") <= BLOCK // 8).select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "c"))) for x in "ab")
+    return a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & similar_size("n_a", "n_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for i, j in steps(offsets):
-                values, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False)[i:j], np.diff(at))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values.view(np.int64))], names=["id", "shingle"])
-
-    return classes.select("id", "text").mapInArrow(run, "id bigint, shingle bigint")
 
+def blocks(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between different components in larger bands.
 
-def open_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components whose rarest shingles meet: all that can still be links.
-
-    Sets of n shingles with similarity t share one of their n - ceil(t * n) + 1 rarest, in any order common to all.
-    Near copies below the threshold have their own shingles there, so the pairs stay few where bands would show all.
+    A band's members are those of its leading component and the rest. Both are cut into blocks by a hash of the id, so a
+    group is two blocks, whatever the band's size: the rest meets itself and the leading component, which needn't meet itself.
+    Within a group, registers are compared as matrices; a pair is looked at in its first common band only, and not at all
+    once the two components are linked there. What passes is verified on the full sets, and only links come out.
     """
-    rows = shingles(classes)
-    ranked = rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("x"))
-    size = F.size("x")
-    first = ranked.select("id", size.alias("n"), F.explode(F.slice("x", F.lit(1), (size - F.ceil(size * PERCENT / 100) + 1).cast("int"))).alias("x")).where("x.df > 1").select("id", "n", F.col("x.shingle").alias("shingle"))
-    first = first.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    a, b = (first.select("shingle", *(F.col(k).alias(f"{k}_{x}") for k in ("id", "n", "c"))) for x in "ab")
-    return a.join(b, "shingle").where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & similar_size("n_a", "n_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    large = rows.where(F.col("size") > BLOCK // 8)
+    counts = large.groupBy("key").agg(F.count_if(F.col("c") != F.col("lead")).alias("rest"), F.count_if(F.col("c") == F.col("lead")).alias("led"))
+    n = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    part = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
+    group = lambda kind, x, y: F.struct(F.lit(kind).alias("led"), x.alias("x"), y.alias("y"))
+    upto = lambda k: F.when(k > 0, F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    own_rest, own_led = part(F.greatest(n("rest"), F.lit(1))), part(F.greatest(n("led"), F.lit(1)))
+    of_rest = F.concat(F.transform(upto(n("rest")), lambda t: group(False, F.least(t, own_rest), F.greatest(t, own_rest))), F.transform(upto(n("led")), lambda m: group(True, own_rest, m)))
+    of_led = F.transform(upto(n("rest")), lambda t: group(True, t, own_led))
+    dealt = large.join(counts, "key").select("key", "band", "id", "c", F.when(F.col("c") == F.col("lead"), -1).otherwise(own_rest).alias("own"), F.explode(F.when(F.col("c") == F.col("lead"), of_led).otherwise(of_rest)).alias("g"))
+    dealt = dealt.join(classes, "id").select("key", "g.led", "g.x", "g.y", "band", "id", "c", "own", "n", "registers", "text")
+
+    def meet(table: pa.Table) -> pa.Table:
+        led, x, y, band = (table.column(c)[0].as_py() for c in ("led", "x", "y", "band"))
+        ids, comp, own, n = (table.column(c).to_numpy() for c in ("id", "c", "own", "n"))
+        regs = np.frombuffer(utf8(table.column("registers"))[0].tobytes(), np.uint16).reshape(-1, REGISTERS)
+        keys = regs.view(np.uint64).reshape(len(regs), -1)
+        data, offsets = utf8(table.column("text"))
+        left = np.flatnonzero(own == x)
+        right = np.flatnonzero(own == (-1 if led else y))
+        sets: dict[int, np.ndarray] = {}
+
+        def full(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_sets(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))[0]
+            return sets[i]
+
+        t, found, joined = PERCENT / 100, [], set()
+        for i in left:
+            others = right[right > i] if not led and x == y else right
+            others = others[(comp[others] != comp[i]) & (100 * np.minimum(n[others], n[i]) >= PERCENT * np.maximum(n[others], n[i]))]
+            if not len(others):
+                continue
+            others = others[(keys[others] == keys[i]).argmax(1) == band]
+            e = accident(n[others].astype(float), np.full(len(others), float(n[i])))
+            j = ((regs[others] == regs[i]).mean(1) - e) / (1 - e)
+            for o in others[j >= t - 6 * np.sqrt(t * (1 - t) / np.minimum(REGISTERS, np.minimum(n[others], n[i])))]:
+                if (pair := (min(comp[i], comp[o]), max(comp[i], comp[o]))) not in joined:
+                    s = np.sort(np.concatenate([full(i), full(o)]))
+                    common = int((s[1:] == s[:-1]).sum())
+                    if 100 * common >= PERCENT * (len(s) - common):
+                        joined.add(pair)
+                        found.append((min(ids[i], ids[o]), max(ids[i], ids[o])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return dealt.groupBy("key", "led", "x", "y").applyInArrow(meet, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,23 +231,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     multi = shelf.put(keyed.join(shared, "key"), "multi")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     classes = shelf.put(reps.drop("set_id").join(multi.select("id").distinct(), "id").join(texts, "id").dropDuplicates(["id"]), "classes")
-    label, links = None, None
-    for k in range(PIVOT_ROUNDS):
-        now = multi.withColumn("c", F.col("id")) if label is None else multi.join(label, "id", "left").withColumn("c", F.coalesce("c", "id"))
-        pivots = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(*([F.xxhash64("id", F.lit(k))] * (k > 0)), "id", "n", "c")).alias("p")).where("lo < hi").select("key", "p.*")
-        pairs = now.join(pivots.select("key", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc")), "key").where((F.col("c") != F.col("pc")) & similar_size("n", "pn"))
-        found = shelf.put(checked(pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct(), classes), f"links-{k}")
-        links = found if links is None else links.unionByName(found)
-        # what is surely connected, in one step; the components come from all links
-        label = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("c"))
+    # first, each member of a band against the least one: nearly all links of near copies show here
+    pivots = multi.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"))
+    pairs = multi.join(pivots.select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na")), "key").where((F.col("id") != F.col("a")) & similar_size("n", "na")).select("a", F.col("id").alias("b"), "na", F.col("n").alias("nb")).distinct()
+    links = shelf.put(checked(pairs, classes), "links")
     grouped = components(links, shelf, "near")
-    now = multi.join(grouped, "id", "left").withColumn("c", F.coalesce("component", "id"))
-    mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    ids = now.join(mixed, "key").select("id").distinct()
-    more = shelf.put(checked(open_pairs(classes.join(ids, "id"), grouped), classes), "links-open")
+    # then what is open: members of one band in different components
+    now = multi.join(grouped, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("id"), "c")).alias("p")).where("lo < hi").select("key", "size", F.col("p.c").alias("lead"))
+    rest = shelf.put(now.join(mixed, "key"), "open")
+    more = shelf.put(checked(few(rest), classes).unionByName(blocks(rest, classes)), "links-open")
     if more.limit(1).count():
         grouped = components(more.unionByName(grouped.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b"))), shelf, "all")
-    shelf.drop("multi", "classes")
+    shelf.drop("multi", "classes", "links", "open", "links-open")
     out = rows.select("doc_id", "n_shingles", "set_id").join(reps.select("n", "set_id", "id").withColumnRenamed("n", "n_shingles"), ["n_shingles", "set_id"], "left")
     # a row with a null id is no member, though its set may be some class's
     out = out.withColumn("id", F.when(F.col("doc_id").isNotNull(), F.col("id"))).join(grouped, "id", "left")
