@@ -29,14 +29,14 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, bucket(3) != 1)
-    return langid.predict(docs, model).withColumn("held_out", bucket(3) == 1)
+    return langid.predict(docs, model).withColumn("held_out", F.coalesce(bucket(3) == 1, F.lit(False)))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
     scored = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), bucket(5) != 0)
-    return scored.withColumn("held_out", bucket(5) == 0)
+    return scored.withColumn("held_out", F.coalesce(bucket(5) == 0, F.lit(False)))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +92,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import SQL
+
+    return dict(SQL)
