@@ -27,5 +27,6 @@ def deletions(term: Column) -> Column:
 
 
 def ngrams(sequence: Column, n: int) -> Column:
-    """All runs of n items of an array."""
-    return F.when(F.size(sequence) >= n, F.transform(F.sequence(F.lit(1), F.size(sequence) - n + 1), lambda i: F.slice(sequence, i, F.lit(n)))).otherwise(F.array().cast("array<array<string>>"))
+    """All runs of n items of an array. Give a column, not an expression: a lambda would work an expression out again for each item."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(sequence) - n), lambda i: F.array(*(F.get(sequence, i + k) for k in range(n))))
+    return F.when(F.size(sequence) >= n, runs).otherwise(F.array().cast("array<array<string>>"))

@@ -38,8 +38,8 @@ def candidates(queries: DataFrame, vocabulary: DataFrame, model: Model, k: int =
 def conjunctive(index: Index, candidates: DataFrame) -> DataFrame:
     """(query_id, rank, doc_id, score): documents with all words in the name. A document counts as often as its least frequent word."""
     words = candidates.select("query_id", "rank", F.explode(F.array_distinct("tokens")).alias("term"), F.size(F.array_distinct("tokens")).alias("need"))
-    named = index.postings.where("field = 'name'")
-    df = doc_freq(index.postings, "name").join(words.select("term").distinct(), "term")
+    named = index.postings_of(words.select("term").distinct()).where("field = 'name'")
+    df = doc_freq(named, "name")
     length = index.lengths.where("field = 'name'").select("doc_id", "len")
     average = index.stats.where("field = 'name'").select("avg_len")
     rows = named.join(words, "term").join(df, "term").join(length, "doc_id").crossJoin(F.broadcast(average)).crossJoin(F.broadcast(index.corpus))  # one row each

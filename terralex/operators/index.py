@@ -49,10 +49,17 @@ class Index:
     docs: DataFrame
     postings: DataFrame
     lengths: DataFrame
+    tokens: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame) -> Index:
-        return cls(docs, postings(docs), field_lengths(docs))
+        return cls(docs, postings(docs), field_lengths(docs), occurrences(docs))
+
+    def postings_of(self, terms: DataFrame) -> DataFrame:
+        """Postings of some terms (distinct term). Where postings aren't stored, other tokens are left out before any are counted."""
+        if self.tokens is None:
+            return self.postings.join(terms, "term", "left_semi")
+        return self.tokens.join(terms, "term", "left_semi").groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
     @cached_property
     def stats(self) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams
@@ -18,48 +18,68 @@ def padded(tokens: Column, n: int) -> Column:
 
 def counts(docs: DataFrame, n: int, tokens: str = "tokens") -> DataFrame:
     """(w1 .. wn, c): n-grams of the token lists with n start marks and one end mark."""
-    grams = docs.select(F.explode(ngrams(padded(F.col(tokens), n), n)).alias("g"))
+    grams = docs.select(padded(F.col(tokens), n).alias("p")).select(F.explode(ngrams(F.col("p"), n)).alias("g"))
     return grams.select(*(F.col("g")[i].alias(f"w{i + 1}") for i in range(n))).groupBy(*(f"w{i + 1}" for i in range(n))).agg(F.count(F.lit(1)).alias("c"))
 
 
+def occurrences(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(g): all n-grams of orders 1 to 4 of the token lists, one row for each time; an order has as many start marks as it has words."""
+    orders = range(1, ORDER + 1)
+    marked = docs.select(*(padded(F.col(tokens), n).alias(f"p{n}") for n in orders))
+    return marked.select(F.explode(F.concat(*(ngrams(F.col(f"p{n}"), n) for n in orders))).alias("g"))
+
+
 @dataclass
 class Model:
-    """Count tables of orders 1 to 4."""
+    """N-gram counts: a stored table (g, c), or the documents that they are taken from when they are needed."""
 
-    grams: dict[int, DataFrame]
+    docs: DataFrame | None
+    stored: DataFrame | None = None
+    tokens: str = "tokens"
 
     @classmethod
     def build(cls, docs: DataFrame, tokens: str = "tokens") -> Model:
-        return cls({n: counts(docs, n, tokens) for n in range(1, ORDER + 1)})
+        return cls(docs, None, tokens)
 
-    @property
-    def total(self) -> DataFrame:
-        return self.grams[1].agg(F.sum("c").alias("total"))
+    def table(self) -> DataFrame:
+        """(g, c) of all n-grams."""
+        return self.stored if self.stored is not None else occurrences(self.docs, self.tokens).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
 
     def save(self, path: str) -> None:
-        for n, df in self.grams.items():
-            df.write.mode("overwrite").parquet(f"{path}/ng{n}")
+        """One table, sorted by n-gram within its files."""
+        self.table().repartition("g").sortWithinPartitions("g").write.mode("overwrite").parquet(path)
 
     @classmethod
-    def load(cls, spark, path: str) -> Model:
-        return cls({n: spark.read.parquet(f"{path}/ng{n}") for n in range(1, ORDER + 1)})
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        return cls(None, spark.read.parquet(path))
+
+    def lookup(self, needed: DataFrame) -> DataFrame:
+        """(g, c) of the n-grams in needed (distinct g) that occur. Others are left out before anything is counted, so only what is asked for is shuffled."""
+        if self.stored is not None:
+            return self.stored.join(needed, "g")
+        return occurrences(self.docs, self.tokens).join(needed, "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+
+    @property
+    def total(self) -> DataFrame:
+        """One row: the number of words with marks."""
+        if self.stored is not None:
+            return self.stored.where(F.size("g") == 1).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"))
+        return self.docs.agg(F.coalesce(F.sum(F.size(F.col(self.tokens)) + 2), F.lit(0)).alias("total"))
 
     def estimates(self, rows: DataFrame) -> DataFrame:
         """rows (h3, h2, h1, w, ...) with p1 .. p4: likelihood estimates of w after 0 to 3 words; 0 where the context is unseen.
 
-        Distinct rows are looked up, so a context that many rows share is joined once.
+        Each distinct row asks for seven counts; all of them come from one join.
         """
-        out = rows.select("h3", "h2", "h1", "w").distinct()
-        for n in range(ORDER, 0, -1):
-            keys = [f"h{i}" for i in range(n - 1, 0, -1)] + ["w"]
-            own = self.grams[n].select(*(F.col(f"w{i + 1}").alias(k) for i, k in enumerate(keys)), F.col("c").alias(f"c{n}"))
-            out = out.join(own, keys, "left")
-            if n > 1:
-                context = self.grams[n - 1].select(*(F.col(f"w{i + 1}").alias(k) for i, k in enumerate(keys[:-1])), F.col("c").alias(f"d{n}"))
-                out = out.join(context, keys[:-1], "left")
-        out = out.crossJoin(F.broadcast(self.total))  # one row
+        names = ("h3", "h2", "h1", "w")
+        asked = {f"c{n}": names[-n:] for n in range(1, ORDER + 1)} | {f"d{n}": names[-n:-1] for n in range(2, ORDER + 1)}
+        slots = F.array(*(F.struct(F.lit(k).alias("slot"), F.array(*v).alias("g")) for k, v in asked.items()))
+        own = rows.select(*names).distinct()
+        wanted = own.select(*names, F.explode(slots).alias("x")).select(*names, "x.slot", "x.g")
+        found = wanted.join(self.lookup(wanted.select("g").distinct()), "g", "left")
+        out = found.groupBy(*names).agg(*(F.max(F.when(F.col("slot") == k, F.col("c"))).alias(k) for k in asked)).crossJoin(F.broadcast(self.total))  # one row
         p = {n: F.coalesce(F.col(f"c{n}") / F.col(f"d{n}"), F.lit(0.0)) for n in range(2, ORDER + 1)} | {1: F.coalesce(F.col("c1") / F.col("total"), F.lit(0.0))}
-        return out.select("h3", "h2", "h1", "w", *(p[n].alias(f"p{n}") for n in range(1, ORDER + 1)))
+        return out.select(*names, *(p[n].alias(f"p{n}") for n in range(1, ORDER + 1)))
 
     def backoff(self, rows: DataFrame) -> DataFrame:
         """(h3, h2, h1, w, p): the estimate of the highest order that isn't 0, discounted for each order left out; 0 for an unknown word."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .index import Index
+from .index import Index, doc_freq
 
 #: Fixed values of the models.
 DELTA, K1, B = 1.0, 1.2, 0.98
@@ -32,10 +32,10 @@ def top(scored: DataFrame, k: int = 10, offset: int = 0, by: str = "query_id", d
     return rows.withColumn("rank", F.row_number().over(order).cast("bigint")).where((F.col("rank") > offset) & (F.col("rank") <= offset + k))
 
 
-def _weighted(index: Index, terms: DataFrame, weights: dict[str, float]) -> tuple[DataFrame, Column]:
+def _weighted(index: Index, posted: DataFrame, terms: DataFrame, weights: dict[str, float]) -> tuple[DataFrame, Column]:
     """Postings of the terms with field lengths and averages, and BM25F's part of a row."""
     w = F.coalesce(*(F.when(F.col("field") == f, F.lit(v)) for f, v in weights.items()))
-    rows = index.postings.where(F.col("field").isin(*weights)).join(terms, "term").join(index.lengths, ["field", "doc_id"]).join(F.broadcast(index.stats.select("field", "avg_len")), "field")  # a row for each field
+    rows = posted.where(F.col("field").isin(*weights)).join(terms, "term").join(index.lengths, ["field", "doc_id"]).join(F.broadcast(index.stats.select("field", "avg_len")), "field")  # a row for each field
     part = w * F.col("tf") / (1.0 + FIELD_B * (F.col("len") / F.col("avg_len") - 1.0))
     return rows, part / (K1_FIELDS + part)
 
@@ -47,15 +47,17 @@ def idf_fields(n: Column, df: Column) -> Column:
 def bm25f(index: Index, terms: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): each occurrence of a query term counts; fields saturate one by one."""
     times = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    known = times.join(index.df, "term").crossJoin(F.broadcast(index.corpus))  # corpus has one row
-    rows, part = _weighted(index, known, {"name": NAME_WEIGHT, "address": ADDRESS_WEIGHT})
+    posted = index.postings_of(times.select("term").distinct())
+    known = times.join(doc_freq(posted), "term").crossJoin(F.broadcast(index.corpus))  # corpus has one row
+    rows, part = _weighted(index, posted, known, {"name": NAME_WEIGHT, "address": ADDRESS_WEIGHT})
     return rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * part * idf_fields(F.col("n"), F.col("df"))).alias("score"))
 
 
 def _by_document(index: Index, terms: DataFrame) -> DataFrame:
     """Term frequencies over both fields, with document frequency and corpus numbers."""
-    times = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")).join(index.df, "term")
-    tf = index.postings.join(times, "term").groupBy("query_id", "term", "doc_id", "times", "df").agg(F.sum("tf").alias("tf"))
+    times = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    posted = index.postings_of(times.select("term").distinct())
+    tf = posted.join(times.join(doc_freq(posted), "term"), "term").groupBy("query_id", "term", "doc_id", "times", "df").agg(F.sum("tf").alias("tf"))
     return tf.crossJoin(F.broadcast(index.corpus))
 
 

@@ -14,9 +14,10 @@ def model(spark):
 
 
 def test_counts(model):
-    assert [model.grams[n].count() for n in range(1, 5)] == [8, 13, 16, 17]
+    rows = model.table().collect()
+    assert [sum(len(r.g) == n for r in rows) for n in range(1, 5)] == [8, 13, 16, 17]
     assert model.total.first().total == 19
-    assert {r.w1: r.c for r in model.grams[1].collect()} == {"<s>": 3, "</s>": 3, "3": 1, "4": 1, "5": 5, "6": 4, "11": 1, "12": 1}
+    assert {r.g[0]: r.c for r in rows if len(r.g) == 1} == {"<s>": 3, "</s>": 3, "3": 1, "4": 1, "5": 5, "6": 4, "11": 1, "12": 1}
 
 
 def test_estimates_and_backoff(model, spark):
@@ -35,6 +36,13 @@ def test_sequences(model, spark):
     assert got[2] is None and got[3] is not None
 
 
+def test_stored_model(model, spark, tmp_path):
+    model.save(str(tmp_path))
+    again = lm.Model.load(spark, str(tmp_path))
+    seq = spark.createDataFrame([(1, ["5", "5", "12", "11"]), (2, ["6"])], "seq_id long, tokens array<string>")
+    assert again.total.first().total == 19 and {r.seq_id: r.logp for r in again.score(seq).collect()} == pytest.approx({r.seq_id: r.logp for r in model.score(seq).collect()})
+
+
 def test_candidates_within_two_edits(spark):
     from itertools import product
 
