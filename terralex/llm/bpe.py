@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from ._arrow import bounded
 
 #: Bytes of a leaf of the tree: so short a string is encoded by plain merges.
-LEAF = 6
-#: Entries of the per-worker memory of byte strings; when full it is emptied, so memory is bounded and results are not touched.
-MEMO = 400_000
+LEAF = 4
+#: Most entries of each of a worker's memories; results don't depend on it.
+MEMO = 600_000
 PACKED = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
@@ -41,20 +41,34 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Memory(dict):
+    """Remembers what a function makes of a key. When half full it becomes the old generation, from which keys that come again are taken over, so what is frequent stays."""
+
+    def __init__(self, make: Callable, limit: int) -> None:
+        self.make, self.half, self.old = make, max(1, limit // 2), {}
+
+    def __missing__(self, key):
+        value = self.old[key] if key in self.old else self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Codec:
     """Encoder and decoder for one vocabulary and one splitting pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, memo: int = MEMO) -> None:
         import regex
 
-        self.ranks, self.leaf, self.limit = ranks, max(1, leaf), memo
+        self.ranks, self.leaf = ranks, max(1, leaf)
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             self.bytes_of[i] = token
         self.split = regex.compile(pattern).findall
-        self.memo: dict[bytes, tuple[int, ...]] = {}
-        self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.words, self.sizes = Memory(self.packed, memo), Memory(lambda m: len(self.piece(m.encode())), memo)
+        self.short, self.pairs = Memory(self.merge, memo), Memory(lambda ab: self.window(self.bytes_of[ab[0]] + self.bytes_of[ab[1]]), memo)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Plain merges: the adjacent pair of lowest rank, leftmost first, until none is left. A heap keeps long windows at n log n."""
@@ -92,21 +106,11 @@ class Codec:
         """Canonical tokens of the bytes of a window. Windows are a few tokens wide whatever the text's length."""
         if (i := self.ranks.get(piece)) is not None:
             return (i,)
-        if len(piece) > 24:
-            return self.merge(piece)
-        if (known := self.memo.get(piece)) is None:
-            if len(self.memo) >= self.limit:
-                self.memo.clear()
-            known = self.memo[piece] = self.merge(piece)
-        return known
+        return self.short[piece] if len(piece) <= 24 else self.merge(piece)
 
     def pair(self, a: int, b: int) -> tuple[int, ...]:
         """Tokens of the bytes of two tokens; the pair is canonical if these are the two."""
-        if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) >= self.limit:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.window(self.bytes_of[a] + self.bytes_of[b])
-        return known
+        return self.pairs[a, b]
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The canonical list of two neighbours' bytes together."""
@@ -141,16 +145,17 @@ class Codec:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0]
 
+    def packed(self, match: str) -> bytes:
+        ids = self.piece(match.encode())
+        return PACKED[len(ids)](*ids) if len(ids) < len(PACKED) else np.array(ids, "<u4").tobytes()
+
     def encode_raw(self, text: str) -> bytes:
         """Tokens as little-endian unsigned 32-bit integers. Borders of matches are stable, so their lists are concatenated."""
-        words, out = self.words, []
-        for m in self.split(text):
-            if (known := words.get(m)) is None:
-                if len(words) >= self.limit:
-                    words.clear()
-                known = words[m] = PACKED[len(ids)](*ids) if len(ids := self.piece(m.encode())) < len(PACKED) else np.array(ids, "<u4").tobytes()
-            out.append(known)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, self.split(text)))
+
+    def count(self, text: str) -> int:
+        """Number of tokens."""
+        return sum(map(self.sizes.__getitem__, self.split(text)))
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_raw(text or ""), "<u4").tolist()

@@ -30,7 +30,7 @@ def histogram(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text
         c, found = codec(path, pattern), Counter()
         for batch in batches:
             for text in batch.column(0):
-                found[len(c.encode_raw(text.as_py() or "")) // 4] += 1
+                found[c.count(text.as_py() or "")] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["n_tokens", "n_docs"])
 
     return bounded(docs).select(F.col(text_col).cast("string")).mapInArrow(run, "n_tokens bigint, n_docs bigint").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
