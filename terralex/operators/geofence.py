@@ -9,7 +9,7 @@ from ..functions import geo
 from .spatial import nearest
 
 #: Circles of a fence that are judged for a position. Most circles that are sent to all tasks; beyond it they are joined by fence.
-NEAREST, BROADCAST_CIRCLES = 3, 20_000
+NEAREST, BROADCAST_CIRCLES = 3, 256
 
 
 def upsert(changes: DataFrame) -> DataFrame:
