@@ -40,9 +40,8 @@ def conjunctive(index: Index, candidates: DataFrame) -> DataFrame:
     words = candidates.select("query_id", "rank", F.explode(F.array_distinct("tokens")).alias("term"), F.size(F.array_distinct("tokens")).alias("need"))
     named = index.postings_of(words.select("term").distinct()).where("field = 'name'")
     df = doc_freq(named, "name")
-    length = index.lengths.where("field = 'name'").select("doc_id", "len")
     average = index.stats.where("field = 'name'").select("avg_len")
-    rows = named.join(words, "term").join(df, "term").join(length, "doc_id").crossJoin(F.broadcast(average)).crossJoin(F.broadcast(index.corpus))  # one row each
+    rows = named.join(words, "term").join(df, "term").crossJoin(F.broadcast(average)).crossJoin(F.broadcast(index.corpus))  # one row each
     part = NAME_WEIGHT * F.col("tf") / (1.0 + FIELD_B * (F.col("len") / F.col("avg_len") - 1.0))
     score = part / (K1_FIELDS + part) * idf_fields(F.col("n"), F.col("df"))
     out = rows.groupBy("query_id", "rank", "doc_id", "need").agg(F.count(F.lit(1)).alias("has"), F.min("tf").alias("times"), F.sum(score).alias("score")).where("has = need")

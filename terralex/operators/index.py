@@ -14,9 +14,11 @@ FIELDS = ("name", "address")
 
 
 def occurrences(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(field, term, doc_id): one row for each token."""
-    each = F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("terms")) for f in fields))
-    return docs.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.field", F.explode("x.terms").alias("term"))
+    """(field, term, doc_id, len, dl): one row for each token, with the tokens of its field and of the document."""
+    held = docs.select("doc_id", *(tokens(F.col(f)).alias(f) for f in fields))
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.size(f).cast("bigint").alias("len"), F.col(f).alias("terms")) for f in fields))
+    dl = sum((F.size(f) for f in fields[1:]), F.size(fields[0])).cast("bigint")
+    return held.select("doc_id", dl.alias("dl"), F.explode(each).alias("x")).select("doc_id", "dl", "x.field", "x.len", F.explode("x.terms").alias("term"))
 
 
 def postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -56,10 +58,12 @@ class Index:
         return cls(docs, postings(docs), field_lengths(docs), occurrences(docs))
 
     def postings_of(self, terms: DataFrame) -> DataFrame:
-        """Postings of some terms (distinct term). Where postings aren't stored, other tokens are left out before any are counted."""
-        if self.tokens is None:
-            return self.postings.join(terms, "term", "left_semi")
-        return self.tokens.join(terms, "term", "left_semi").groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+        """(field, term, doc_id, len, dl, tf) of some terms (distinct term). Where postings aren't stored, other tokens are left out before any are counted."""
+        keys = ["field", "term", "doc_id", "len", "dl"]
+        if self.tokens is not None:
+            return self.tokens.join(terms, "term", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
+        total = self.lengths.groupBy("doc_id").agg(F.sum("len").alias("dl"))
+        return self.postings.join(terms, "term", "left_semi").join(self.lengths, ["field", "doc_id"]).join(total, "doc_id").select(*keys, "tf")
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -68,7 +72,7 @@ class Index:
     @cached_property
     def corpus(self) -> DataFrame:
         """One row: n (all documents) and avgdl (tokens over all documents)."""
-        return self.docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(self.lengths.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("words"))).select("n", (F.col("words") / F.greatest("n", F.lit(1))).alias("avgdl"))
+        return self.docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(self.stats.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("words"))).select("n", (F.col("words") / F.greatest("n", F.lit(1))).alias("avgdl"))
 
     @cached_property
     def df(self) -> DataFrame:

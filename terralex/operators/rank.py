@@ -35,7 +35,7 @@ def top(scored: DataFrame, k: int = 10, offset: int = 0, by: str = "query_id", d
 def _weighted(index: Index, posted: DataFrame, terms: DataFrame, weights: dict[str, float]) -> tuple[DataFrame, Column]:
     """Postings of the terms with field lengths and averages, and BM25F's part of a row."""
     w = F.coalesce(*(F.when(F.col("field") == f, F.lit(v)) for f, v in weights.items()))
-    rows = posted.where(F.col("field").isin(*weights)).join(terms, "term").join(index.lengths, ["field", "doc_id"]).join(F.broadcast(index.stats.select("field", "avg_len")), "field")  # a row for each field
+    rows = posted.where(F.col("field").isin(*weights)).join(terms, "term").join(F.broadcast(index.stats.select("field", "avg_len")), "field")  # a row for each field
     part = w * F.col("tf") / (1.0 + FIELD_B * (F.col("len") / F.col("avg_len") - 1.0))
     return rows, part / (K1_FIELDS + part)
 
@@ -57,14 +57,13 @@ def _by_document(index: Index, terms: DataFrame) -> DataFrame:
     """Term frequencies over both fields, with document frequency and corpus numbers."""
     times = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     posted = index.postings_of(times.select("term").distinct())
-    tf = posted.join(times.join(doc_freq(posted), "term"), "term").groupBy("query_id", "term", "doc_id", "times", "df").agg(F.sum("tf").alias("tf"))
+    tf = posted.join(times.join(doc_freq(posted), "term"), "term").groupBy("query_id", "term", "doc_id", "dl", "times", "df").agg(F.sum("tf").alias("tf"))
     return tf.crossJoin(F.broadcast(index.corpus))
 
 
 def bm25_plus(index: Index, terms: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) over distinct query terms; the numerator adds K1 + 1 and the term frequency."""
-    length = index.lengths.groupBy("doc_id").agg(F.sum("len").alias("dl"))
-    rows = _by_document(index, terms).join(length, "doc_id")
+    rows = _by_document(index, terms)
     idf = F.log10(F.col("n") + 1) - F.log10("df")
     score = idf * (DELTA + ((K1 + 1.0) + F.col("tf")) / (K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")) + F.col("tf")))
     return rows.groupBy("query_id", "doc_id").agg(F.sum(score).alias("score"))
