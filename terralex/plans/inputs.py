@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators.index import Index
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+from ..sources.tables import spread, table
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
     """documents: the first eight tokens are the name, the others the address."""
-    t = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
+    t = spread(table(spark, d, "documents")).select("doc_id", tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.array_join(F.slice("t", 1, 8), " ").alias("name"), F.array_join(F.slice("t", F.lit(9), F.greatest(F.size("t") - 8, F.lit(0))), " ").alias("address"))
 
 
