@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; large rows are spread over the cores if they come in one small file."""
+    df = tables.table(spark, sf_dir, name)
+    return tables.spread(df) if name in ("documents", "pages") else df
 
 
 def tokenizer() -> tuple[str, str]:
