@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named, as in tests."""
-    if not (named := spark.conf.get("spark.checkpoint.dir", None)):
-        if not (jdir := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terralex-"))
-            jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = jdir.get()
-    return named.rstrip("/")
+from ..sources.scratch import shared_folder
 
 
 class Shelf:
     """Tables of one run. `drop` removes what later steps no longer read."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.root = spark, f"{folder(spark)}/terralex-{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/terralex-{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path := f"{self.root}/{name}")
