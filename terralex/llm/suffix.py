@@ -6,7 +6,8 @@ is the least hash of the `KMER`-byte strings in it, which equal windows share an
 to the next. So a document is a sequence of runs of windows with one key.
 
 1. Keys that occur once in the corpus are found by counting, with partial counts from each batch; their windows need no sorting.
-2. The other runs travel with their bytes to the bucket of their key. Runs of equal bytes are one, the earliest.
+2. The other runs travel with their bytes to the bucket of their key. Runs of equal bytes are one, the earliest, and of a
+   key that is frequent in a batch only windows that are new to the batch travel: step 3 is done there first.
 3. In a bucket, deep-shallow sorting orders the windows. Multikey quicksort with 8-byte characters goes down to the depth
    `SHALLOW`. Groups that are still equal there have long common prefixes and are ordered by blind tries, all of them at once,
    level by level: members are compared with the group's reference leaf; where they part from it (position and byte) is the
@@ -33,6 +34,8 @@ from ._arrow import PLAIN, U64, bounded, mix, steps, utf8
 
 #: Bytes of a string that counts as repeated; of the strings whose least hash deals windows out; depth of the first sort.
 LENGTH, KMER, SHALLOW = 100, 32, 24
+#: Different runs of a key in one batch from which on they are worked off before they travel.
+COMBINE = 8
 
 
 def keys_of(data: np.ndarray, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, int]:
@@ -154,6 +157,32 @@ def repeats(texts: list[bytes], rank: np.ndarray, length: int = LENGTH) -> list[
     return [(int(order[run[a]]), int(inner[a]), int(inner[a]) + int(b - a) - 1) for a, b in zip(at, stop) if gone[a]]
 
 
+def earliest(held: dict[bytes, tuple[int, int]], text: bytes, me: tuple[int, int], gone: list[tuple[int, int, int]], length: int) -> None:
+    """Keeps of runs with equal bytes the earliest place (doc, start); the windows of the other are removed."""
+    if (other := held.setdefault(text, me)) != me:
+        lo, hi = min(other, me), max(other, me)
+        held[text] = lo
+        gone.append((hi[0], hi[1], hi[1] + len(text) - length))
+
+
+def combined(held: dict[bytes, tuple[int, int]], gone: list[tuple[int, int, int]], length: int) -> Iterator[tuple[bytes, tuple[int, int]]]:
+    """What is left of runs when windows that equal an earlier one's are removed: shorter runs with their places."""
+    texts, places = list(held), np.array(list(held.values()), np.int64)
+    rank = np.empty(len(texts), np.int64)
+    rank[np.lexsort((places[:, 1], places[:, 0]))] = np.arange(len(texts))
+    at = [0] * len(texts)
+    for r, a, b in repeats(texts, rank, length):
+        doc, start = places[r].tolist()
+        gone.append((doc, start + a, start + b))
+        if a > at[r]:
+            yield texts[r][at[r] : a - 1 + length], (doc, start + at[r])
+        at[r] = b + 1
+    for r, text in enumerate(texts):
+        if at[r] <= len(text) - length:
+            doc, start = places[r].tolist()
+            yield text[at[r] :], (doc, start + at[r])
+
+
 NULL_ID = -(1 << 63)
 
 
@@ -232,7 +261,8 @@ def removed(docs: DataFrame, keys: DataFrame, buckets: int, length: int = LENGTH
             data, offsets = utf8(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             lists = [np.frombuffer(b"".join(x), U64) for x in batch.column(2).to_pylist()]
-            where, out = {}, ([], [], [], [], [])
+            found: dict[int, dict[bytes, tuple[int, int]]] = {}
+            gone: list[tuple[int, int, int]] = []
             for i, j in steps(offsets):
                 raw = data[offsets[i] : offsets[j]]
                 key, row, first, last, _ = key_runs(raw, offsets[i : j + 1] - offsets[i], length)
@@ -242,54 +272,40 @@ def removed(docs: DataFrame, keys: DataFrame, buckets: int, length: int = LENGTH
                     if b > a and len(lists[i + r]):
                         known, at = np.sort(lists[i + r]), int(offsets[i + r] - offsets[i])
                         for x in a + np.flatnonzero(known[np.minimum(np.searchsorted(known, key[a:b]), len(known) - 1)] == key[a:b]):
-                            text = raw[first[x] : last[x] + length].tobytes()
-                            me = (int(ids[i + r]), int(first[x]) - at)
-                            k = int((int(key[x]) >> 7) % buckets)
-                            # equal bytes within a batch are one run, the earliest; the others are removed now
-                            before = where.get(text)
-                            if before is None:
-                                where[text] = (k, me)
-                                continue
-                            lo, hi = min(before[1], me), max(before[1], me)
-                            where[text] = (k, lo)
-                            if hi > lo:
-                                out[0].append(-1 - hi[0] % buckets)
-                                out[1].append(np.array([hi[0]], np.int64).tobytes())
-                                out[2].append(np.array([hi[1], hi[1] + len(text) - length], np.int64).tobytes())
-                                out[3].append(b"")
-                                out[4].append(b"")
+                            earliest(found.setdefault(int(key[x]), {}), raw[first[x] : last[x] + length].tobytes(), (int(ids[i + r]), int(first[x]) - at), gone, length)
+            out: tuple[list, ...] = ([], [], [], [], [])
             by: dict[int, list[tuple[bytes, tuple[int, int]]]] = {}
-            for text, (k, me) in where.items():
-                by.setdefault(k, []).append((text, me))
+            for key, held in found.items():
+                # a key that is frequent here is worked off here: only windows that are new to the batch travel
+                by.setdefault((key >> 7) % buckets, []).extend(combined(held, gone, length) if len(held) >= COMBINE else held.items())
             for k, runs_ in by.items():
                 out[0].append(k)
                 out[1].append(np.array([m[0] for _, m in runs_], np.int64).tobytes())
                 out[2].append(np.array([m[1] for _, m in runs_], np.int64).tobytes())
                 out[3].append(np.array([len(t) for t, _ in runs_], np.int64).tobytes())
                 out[4].append(b"".join(t for t, _ in runs_))
+            if gone:  # negative buckets only pass on what is removed already
+                out[0].append(-1 - gone[0][0] % buckets)
+                out[1].append(np.array([g[0] for g in gone], np.int64).tobytes())
+                out[2].append(np.array([g[1:] for g in gone], np.int64).tobytes())
+                out[3].append(b"")
+                out[4].append(b"")
             yield pa.RecordBatch.from_arrays(_rows(*out), names=["bucket", "docs", "firsts", "sizes", "texts"])
 
     def reduce(table: pa.Table) -> pa.Table:
-        first: dict[bytes, tuple[int, int]] = {}
+        held: dict[bytes, tuple[int, int]] = {}
         gone: list[tuple[int, int, int]] = []
         for d, f, n, t in zip(*(table.column(x).to_pylist() for x in ("docs", "firsts", "sizes", "texts"))):
             if not n:
-                (doc,), (a, b) = np.frombuffer(d, np.int64).tolist(), np.frombuffer(f, np.int64).tolist()
-                gone.append((doc, a, b))
+                gone += [(doc, *pair) for doc, pair in zip(np.frombuffer(d, np.int64).tolist(), np.frombuffer(f, np.int64).reshape(-1, 2).tolist())]
                 continue
             at = 0
             for doc, start, size in zip(*(np.frombuffer(x, np.int64).tolist() for x in (d, f, n))):
-                text, me = t[at : at + size], (doc, start)
+                earliest(held, t[at : at + size], (doc, start), gone, length)
                 at += size
-                if (other := first.setdefault(text, me)) != me:
-                    lo, hi = min(other, me), max(other, me)
-                    first[text] = lo
-                    gone.append((hi[0], hi[1], hi[1] + size - length))
-        if first:
-            texts, places = list(first), np.array(list(first.values()), np.int64)
-            rank = np.empty(len(texts), np.int64)
-            rank[np.lexsort((places[:, 1], places[:, 0]))] = np.arange(len(texts))
-            gone += [(int(places[r, 0]), int(places[r, 1]) + a, int(places[r, 1]) + b) for r, a, b in repeats(texts, rank, length)]
+        if held:
+            for _ in combined(held, gone, length):
+                pass
         by: dict[int, list[int]] = {}
         for doc, a, b in gone:
             by.setdefault(doc, []).extend((a, b))

@@ -47,8 +47,9 @@ def corpus(seed):
     return rows + rows[:5] + ["a" * 500, "ab" * 300, "x" * 99, shared[4] + shared[4], None, "", "line of text here\n" * 30]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,combine", [(1, 8), (2, 1), (3, 3)])
+def test_equals_brute_force(spark, monkeypatch, seed, combine):
+    monkeypatch.setattr(suffix, "COMBINE", combine)
     rows = list(enumerate(corpus(seed)))
     random.Random(seed).shuffle(rows)
     got = suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).orderBy("doc_id").collect()
