@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 U64 = np.uint64
 

@@ -6,8 +6,9 @@ the test terms over all documents. A query, that is a window of consecutive item
 postings of its rarest term, shifted by that term's offset, and is intersected with the shifted lists of the next rarer
 terms until nothing is left or all terms agree. What is left are exact phrase matches. Documents are never shuffled.
 
-The benchmark's windows go to every task, so their size is checked: more than `MAX_WINDOW_WORDS` words are split into
-parts that are matched one after another against the same documents, each within that bound.
+The benchmark's windows go to every task, so their size is checked. More than `MAX_WINDOW_WORDS` words are split into
+parts that are matched one after another against the same documents, each within that bound. A benchmark of more than
+`MAX_BENCHMARK` bytes is refused: give it in several calls.
 
 Edge cases: null and empty texts have no words and are never hit; an item with fewer words than the window, but not
 none, is one window; equal windows of several items count for each of them; a null item_id counts as no item; an empty benchmark hits nothing;
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from ._arrow import LOWERED, U64, bounded, runs, span_hashes, steps, utf8
 
-#: Words of a window. Most words of the windows that are broadcast at once.
-WINDOW, MAX_WINDOW_WORDS = 10, 4_000_000
+#: Words of a window. Most words of the windows that are matched at once. Most bytes of a benchmark, as its windows go to every task.
+WINDOW, MAX_WINDOW_WORDS, MAX_BENCHMARK = 10, 4_000_000, 64 << 20
 
 
 def is_word() -> np.ndarray:
@@ -186,6 +187,8 @@ def postings(docs: DataFrame, terms: list[str], *, id_col: str = "doc_id", text_
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep, n_words, n_hit, n_items, items_sha256, contaminated, items) for each row of docs."""
+    if (size := benchmark.agg(F.sum(F.octet_length(F.col(item_text).cast("string")))).first()[0] or 0) > MAX_BENCHMARK:
+        raise ValueError(f"the benchmark has {size} bytes, more than {MAX_BENCHMARK}: its windows go to every task, so give it in several calls")
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").toPandas()
     parts = phrases(list(zip(rows["i"], rows["t"])), window)
     counts = [term_counts(docs, p.terms, text_col) for p in parts]

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from terralex.llm import decontam
 
@@ -55,6 +56,12 @@ def test_parts_of_a_large_benchmark(monkeypatch):
     assert len(parts) > 2 and sum(len(w) for p in parts for w in p.words) >= 21
 
 
+def test_a_benchmark_too_large_is_refused(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(decontam, "MAX_BENCHMARK", 10)
+    with pytest.raises(ValueError):
+        decontam.contamination(odd_docs, spark.createDataFrame([(1, "more than ten bytes")], "item_id long, text string"))
+
+
 def test_postings_and_proximity(spark):
     rows = spark.createDataFrame([(1, "The cat. the CAT sat"), (2, None), (3, "sat")], "doc_id long, text string")
     got = {(r.term, r.doc_id): r.positions for r in decontam.postings(rows, ["cat", "sat", "dog"]).collect()}
