@@ -42,9 +42,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a window of a benchmark item occurs."""
+    """Drops documents in which a window of a benchmark item occurs. Proximity matches drop nothing."""
     rows, of = numbered(docs)
-    seen = decontam.contamination(rows, table(spark, sf_dir, "benchmark"), id_col=of["doc_id"], text_col=of["text"], keep=tuple(rows.columns))
+    seen = decontam.contamination(rows, table(spark, sf_dir, "benchmark"), id_col=of["doc_id"], text_col=of["text"], keep=tuple(rows.columns), near=False)
     return restored(seen.where("not contaminated"), of)
 
 

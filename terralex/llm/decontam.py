@@ -1,10 +1,15 @@
 """Benchmark decontamination with a positional inverted index.
 
-The index is dealt by documents: each shard (a run of documents of one Arrow batch) holds for each test term the sorted
-list of its positions. Terms are those of the benchmark only; others can't take part in a match. A first pass counts
-the test terms over all documents. A query, that is a window of consecutive item words or a pair of terms, starts from the
-postings of its rarest term, shifted by that term's offset, and is intersected with the shifted lists of the next rarer
-terms until nothing is left or all terms agree. What is left are exact phrase matches. Documents are never shuffled.
+The index is a table in the shared folder, dealt by documents: a row holds a document's test terms and the sorted list of
+positions of each. Terms are those of the benchmark only; others can't take part in a match. Counts of the test terms over
+all documents and all matches come from that table; texts are read once. Rows of a batch are joined to a shard, which has
+one sorted list for each term. A window of consecutive item words starts from the postings of its rarest term, shifted
+by that term's offset, and is intersected with the shifted lists of the next rarer terms until nothing is left or all terms
+agree. What is left are exact phrase matches. Documents are never shuffled.
+
+Proximity matches are places where a window of `NEAR_WORDS` words or more stands with one word left out, one other word
+in the place of an inner one, or one more word between two. One half of such a window is whole, so halves are looked up like
+phrases, and the other half's lists are intersected at shifts of -1, 0 and 1. Exact matches count as proximity matches.
 
 The benchmark's windows go to every task, so their size is checked. More than `MAX_WINDOW_WORDS` words are split into
 parts that are matched one after another against the same documents, each within that bound. A benchmark of more than
@@ -27,9 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import LOWERED, U64, bounded, runs, span_hashes, steps, utf8
+from .store import Shelf
 
 #: Words of a window. Most words of the windows that are matched at once. Most bytes of a benchmark, as its windows go to every task.
 WINDOW, MAX_WINDOW_WORDS, MAX_BENCHMARK = 10, 4_000_000, 64 << 20
+#: Least words of a window with proximity matches: of a shorter one too little would be left. Most positions of a shard, but for a longer document.
+NEAR_WORDS, MAX_PLACES = 5, 1 << 17
 
 
 def is_word() -> np.ndarray:
@@ -93,20 +101,62 @@ def phrases(items: list[tuple[object, str]], window: int = WINDOW) -> list[Phras
     return parts
 
 
+@dataclass
+class Halves:
+    """The distinct first (sign 1) or last (sign -1) halves of windows; members[at[k]:at[k+1]] are the windows with half k."""
+
+    sign: int
+    words: np.ndarray
+    order: np.ndarray
+    at: np.ndarray
+    members: np.ndarray
+
+    @classmethod
+    def of(cls, windows: np.ndarray, counts: np.ndarray, sign: int) -> Halves:
+        cut = windows.shape[1] // 2
+        words, which = np.unique(windows[:, :cut] if sign > 0 else windows[:, cut:], axis=0, return_inverse=True)
+        which = which.reshape(-1)
+        return cls(sign, words, np.argsort(counts[words], axis=1, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(words)))]), np.argsort(which, kind="stable"))
+
+
+def found_in(terms: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the hashes that are test terms, and the numbers of these terms."""
+    if not len(terms):
+        return (np.zeros(0, np.int64),) * 2
+    place = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
+    where = np.flatnonzero(terms[place] == hashes)
+    return where, place[where]
+
+
 class Shard:
     """A positional inverted index over the words of some documents: postings of term t are order[at[t]:at[t+1]]."""
 
     def __init__(self, hashes: np.ndarray, bounds: np.ndarray, terms: np.ndarray) -> None:
-        place = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
-        self.where = np.flatnonzero(terms[place] == hashes)
-        self.term = np.full(len(hashes), -1, np.int32)
-        self.term[self.where] = place[self.where]
-        found = self.term[self.where]
-        self.order = self.where[np.argsort(found, kind="stable")]
-        self.counts = np.bincount(found, minlength=len(terms))
+        self._fill(*found_in(terms, hashes), bounds, len(terms))
+
+    @classmethod
+    def of(cls, where: np.ndarray, term: np.ndarray, bounds: np.ndarray, n_terms: int) -> Shard:
+        """From stored postings; positions of one term ascend."""
+        shard = cls.__new__(cls)
+        shard._fill(where, term, bounds, n_terms)
+        return shard
+
+    def _fill(self, where: np.ndarray, term: np.ndarray, bounds: np.ndarray, n_terms: int) -> None:
+        by = np.argsort(term, kind="stable")
+        self.order = where[by]
+        self.counts = np.bincount(term, minlength=n_terms)
         self.at = np.concatenate([[0], np.cumsum(self.counts)])
-        self.bounds = bounds
-        self.doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        self.bounds, self.span = bounds, int(bounds[-1]) + 1
+        self.keys = term[by].astype(np.int64) * self.span + self.order
+
+    def doc_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, at, "right") - 1
+
+    def has(self, term: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each position, from 0 to the number of words, is in the postings of its term."""
+        key = term * np.int64(self.span) + at
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.keys[k] == key
 
     def phrase(self, words: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, first position) of each place where all words of a window stand in order within one document."""
@@ -120,42 +170,100 @@ class Shard:
         w = np.repeat(live, n)
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         start = self.order[np.repeat(self.at[rarest[live]], n) + inner] - order[w, 0]
-        ok = (start >= 0) & (start + size <= len(self.term))
+        ok = (start >= 0) & (start + size < self.span)
         w, start = w[ok], start[ok]
         for k in range(1, size):
-            ok = self.term[start + order[w, k]] == words[w, order[w, k]]
+            ok = self.has(words[w, order[w, k]], start + order[w, k])
             w, start = w[ok], start[ok]
-        ok = self.doc[start] == self.doc[start + size - 1]
+        ok = self.doc_of(start) == self.doc_of(start + size - 1)
         return w[ok], start[ok]
 
+    def close(self, windows: np.ndarray, halves: Halves) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, first position, end) of each place that one half of a window stands in and the other but for one word."""
+        size, known, sign = windows.shape[1], halves.words.shape[1], halves.sign
+        k, start = self.phrase(halves.words, halves.order)
+        n = halves.at[k + 1] - halves.at[k]
+        w = halves.members[np.repeat(halves.at[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        # from here on, words are numbered away from the window's outer end: word 0 stands at base, word i at base + sign * i
+        base = np.repeat(start if sign > 0 else start + known - 1, n)
+        words, doc = windows[w][:, ::sign], self.doc_of(base)
+        low, high = self.bounds[doc], self.bounds[doc + 1]
+
+        def agree(shift: int) -> np.ndarray:
+            at = base[:, None] + sign * (np.arange(known, size) + shift)
+            inside = (at >= low[:, None]) & (at < high[:, None])
+            return inside & self.has(words[:, known:].astype(np.int64), np.where(inside, at, 0))
+
+        if not len(w):
+            return (np.zeros(0, np.int64),) * 3
+        left_out, same, added = (agree(shift) for shift in (-1, 0, 1))
+        number = np.arange(known, size)[None, :]
+        run = known + np.cumprod(same, axis=1).sum(axis=1)  # how many words agree before the first that doesn't
+        past, whole = number > run[:, None], run == size
+        kinds = [
+            (size, whole | ((run < size - 1) & (same | ~past).all(axis=1))),
+            (size - 1, ~whole & (left_out | ~past).all(axis=1)),
+            (size + 1, (added | (number < np.minimum(run, size - 1)[:, None])).all(axis=1)),
+        ]
+        hits = [(w[ok], base[ok] if sign > 0 else base[ok] - length + 1, length) for length, ok in kinds]
+        return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]), np.concatenate([h[1] + h[2] for h in hits])
+
+    def covered(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How many words of each document stand in the places [start, end)."""
+        out = np.zeros(len(self.bounds) - 1, np.int64)
+        if len(start):
+            by = np.argsort(start, kind="stable")
+            start, reach = start[by], np.maximum.accumulate(end[by])
+            new = reach - np.maximum(start, np.concatenate([start[:1], reach[:-1]]))
+            np.add.at(out, self.doc_of(start), np.maximum(new, 0))
+        return out
+
     def near(self, a: int, b: int, within: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of positions of terms a and b, each a with the nearest later b, at most `within` words apart in one document."""
         x, y = (np.sort(self.order[self.at[t] : self.at[t + 1]]) for t in (a, b))
         k = np.searchsorted(y, x, "right")
         x, k = x[k < len(y)], k[k < len(y)]
         y = y[k]
-        ok = (y - x <= within) & (self.doc[x] == self.doc[y])
+        ok = (y - x <= within) & (self.doc_of(x) == self.doc_of(y))
         return x[ok], y[ok]
 
 
-def term_counts(docs: DataFrame, terms: np.ndarray, text_col: str = "text") -> np.ndarray:
-    """How often each test term occurs in all documents. A task sends one number for each term at most."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+def indexed(picked: DataFrame, terms: np.ndarray) -> DataFrame:
+    """The index: all columns but the last, a text, with n_words and the document's test terms by number, how often each occurs, and their positions, term after term."""
+    shared = picked.sparkSession.sparkContext.broadcast(terms)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:-1]) + "n_words bigint, terms array<int>, counts array<int>, positions array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        total = np.zeros(len(known), np.int64)
         for batch in batches:
-            data, offsets = utf8(batch.column(0))
+            data, offsets = utf8(batch.column(batch.num_columns - 1))
             for i, j in steps(offsets):
-                h, _ = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                total += np.bincount(place[known[place] == h], minlength=len(known))
+                h, bounds = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                where, term = found_in(known, h)
+                doc = np.searchsorted(bounds, where, "right") - 1
+                key = doc * max(1, len(known)) + term
+                by = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[by], prepend=-1))
+                rows = np.arange(j - i + 1)
+                ends = np.searchsorted(doc[by][first], rows)
+                lists = [(ends, term[by][first]), (ends, np.diff(first, append=len(by))), (np.searchsorted(doc, rows), (where - bounds[doc])[by])]
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), pa.array(np.diff(bounds)), *(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v, pa.int32())) for at, v in lists)], names=[*batch.schema.names[:-1], "n_words", "terms", "counts", "positions"])
+
+    return bounded(picked).mapInArrow(run, schema)
+
+
+def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
+    """How often each test term occurs in all documents. A task sends one number for each term at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            np.add.at(total, batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy())
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
-    counts = np.zeros(len(terms), np.int64)
-    for r in bounded(docs).select(F.col(text_col).cast("string")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas().itertuples():
+    counts = np.zeros(n_terms, np.int64)
+    for r in bounded(index).select("terms", "counts").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas().itertuples():
         counts[r.term] = r.n
     return counts
 
@@ -178,47 +286,61 @@ def postings(docs: DataFrame, terms: list[str], *, id_col: str = "doc_id", text_
                 out: list[tuple[str, int, list[int]]] = []
                 for t in range(len(known)):
                     at = shard.order[shard.at[t] : shard.at[t + 1]]
-                    for d in np.unique(shard.doc[at]):
-                        out.append((names[t], i + int(d), (at[shard.doc[at] == d] - bounds[d]).tolist()))
+                    doc = shard.doc_of(at)
+                    for d in np.unique(doc):
+                        out.append((names[t], i + int(d), (at[doc == d] - bounds[d]).tolist()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), batch.column(0).take(pa.array([x[1] for x in out], pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.int32()))], names=["term", id_col, "positions"])
 
     return picked.mapInArrow(run, f"term string, `{id_col}` {picked.schema[0].dataType.simpleString()}, positions array<int>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, n_words, n_hit, n_items, items_sha256, contaminated, items) for each row of docs."""
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: tuple[str, ...] = (), near: bool = True) -> DataFrame:
+    """(id, *keep, n_words, n_hit, n_items, items_sha256, contaminated, items) for each row of docs; if `near`, also (n_near, near_items): words in and items of exact and proximity matches."""
     if (size := benchmark.agg(F.sum(F.octet_length(F.col(item_text).cast("string")))).first()[0] or 0) > MAX_BENCHMARK:
         raise ValueError(f"the benchmark has {size} bytes, more than {MAX_BENCHMARK}: its windows go to every task, so give it in several calls")
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").toPandas()
     parts = phrases(list(zip(rows["i"], rows["t"])), window)
-    counts = [term_counts(docs, p.terms, text_col) for p in parts]
-    shared = docs.sparkSession.sparkContext.broadcast([(p, p.order(c)) for p, c in zip(parts, counts)])
-    columns, with_text = [id_col, *[c for c in keep if c not in (id_col, text_col)]], int(text_col in keep)
-    picked = bounded(docs).select(*columns, F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]) + f", `{text_col}` string" * with_text + ", n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>"
+    terms = np.unique(np.concatenate([np.zeros(0, U64), *(p.terms for p in parts)]))
+    columns = [id_col, *[c for c in keep if c not in (id_col, text_col)], *([text_col] if text_col in keep else [])]
+    types = [(F.col(c).cast("string") if c == text_col and k else F.col(c)).alias(f"c{k}") for k, c in enumerate(columns)]
+    index = Shelf(docs.sparkSession, "decontam").put(indexed(docs.select(*types, F.col(text_col).cast("string").alias("text")), terms), "postings")
+    counts = term_counts(index, len(terms)) if parts else np.zeros(0, np.int64)
+    queries: list[tuple[Phrases, list[np.ndarray], list[list[Halves]]]] = []
+    for p in parts:
+        p.words = [np.searchsorted(terms, p.terms)[w] for w in p.words]
+        queries.append((p, p.order(counts), [[Halves.of(w, counts, sign) for sign in (1, -1)] if near and w.shape[1] >= NEAR_WORDS else [] for w in p.words]))
+    shared, n_terms = docs.sparkSession.sparkContext.broadcast(queries), len(terms)
+    own = index.schema.fields[: len(columns)]
+    schema = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip(columns, own)) + ", n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>" + ", n_near bigint, near_items array<string>" * near
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = shared.value
         for batch in batches:
-            data, offsets = utf8(batch.column(batch.num_columns - 1))
-            n_words, n_hit, found = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [set() for _ in range(batch.num_rows)]
-            for i, j in steps(offsets):
-                h, bounds = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                n_words[i:j] = np.diff(bounds)
-                marks = np.zeros(len(h) + 1, np.int64)
-                for p, orders in loaded:
-                    shard = Shard(h, bounds, p.terms)
-                    for words, items, order in zip(p.words, p.items, orders):
+            n_words, (terms_, counts_, positions) = batch.column(len(columns)).to_numpy(), batch.columns[len(columns) + 1 :]
+            groups, places = (np.concatenate([[0], np.cumsum(np.diff(c.offsets.to_numpy()))]) for c in (terms_, positions))
+            terms_, counts_, positions = (c.flatten().to_numpy() for c in (terms_, counts_, positions))
+            n_hit, n_near = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            found, close = ([set() for _ in range(batch.num_rows)] for _ in range(2))
+            for i, j in steps(places, MAX_PLACES):
+                a, z = groups[i], groups[j]
+                bounds = np.concatenate([[0], np.cumsum(n_words[i:j])])
+                where = positions[places[i] : places[j]] + np.repeat(bounds[:-1], np.diff(places[i : j + 1]))
+                shard = Shard.of(where, np.repeat(terms_[a:z], counts_[a:z]), bounds, n_terms)
+                exact, loose = [], []
+                for p, orders, halves in loaded:
+                    for words, items, order, both in zip(p.words, p.items, orders, halves):
                         w, start = shard.phrase(words, order)
-                        np.add.at(marks, start, 1)
-                        np.add.at(marks, start + words.shape[1], -1)
-                        if len(w):
-                            for k, d in np.unique(np.stack([w, shard.doc[start]], 1), axis=0).tolist():
-                                found[i + d].update(p.ids[x] for x in items[k])
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(marks[:-1]) > 0)])
-                n_hit[i:j] = hit[bounds[1:]] - hit[bounds[:-1]]
-            lists = [sorted(x) for x in found]
-            own = [(text_col, batch.column(batch.num_columns - 1))] * with_text
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(c for _, c in own), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in lists], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()), pa.array(n_hit > 0), pa.array(lists, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], *(n for n, _ in own), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
-
-    return picked.mapInArrow(run, schema)
+                        seen = [(found, w, start, start + words.shape[1])] + [(close, *shard.close(words, h)) for h in both]
+                        for names, w, start, end in seen:
+                            (exact if names is found else loose).append((start, end))
+                            for k, d in np.unique(np.stack([w, shard.doc_of(start)], 1), axis=0).tolist() if len(w) else ():
+                                names[i + d].update(p.ids[x] for x in items[k])
+                for spans, out in ((exact, n_hit), (exact + loose, n_near)):
+                    if spans:
+                        out[i:j] = shard.covered(*(np.concatenate(x) for x in zip(*spans)))
+            lists, all_lists = [sorted(x) for x in found], [sorted(x | y) for x, y in zip(found, close)]
+            more = [pa.array(n_near), pa.array(all_lists, pa.list_(pa.string()))] if near else []
+            names = [*columns, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", *(["n_near", "near_items"] if near else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns) + 1], pa.array(n_hit), pa.array([len(x) for x in lists], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()), pa.array(n_hit > 0), pa.array(lists, pa.list_(pa.string())), *more], names=names)
+
+    return bounded(index).mapInArrow(run, schema)
