@@ -25,6 +25,11 @@ def searches(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 1, 4), " ").alias("query"))
 
 
+def whole_searches(spark: SparkSession, d: str) -> DataFrame:
+    """benchmark: all tokens of an item are a query."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(tokens(F.col("text")), " ").alias("query"))
+
+
 def parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("name"), F.concat("p_type", F.lit(" "), "p_brand").alias("address"))
 

@@ -131,6 +131,40 @@ def search_documents(spark, d):
     return rank.with_documents(index, rank.search(index, i.searches(spark, d)))
 
 
+# Ranking by whole benchmark texts
+
+
+@query(f"WITH {q.INDEX}, {q.WHOLE}, {q.BM25F} {q.page()}")
+def bm25f_search_whole(spark, d):
+    return rank.search(i.index(spark, d), i.whole_searches(spark, d))
+
+
+@query(f"WITH {q.INDEX}, {q.WHOLE}, {q.BM25F} {q.page(5, 10)}")
+def bm25f_paged_whole(spark, d):
+    return rank.search(i.index(spark, d), i.whole_searches(spark, d), k=5, offset=10)
+
+
+@query(f"WITH {q.INDEX}, {q.WHOLE_TWICE}, {q.BM25F} {q.page()}")
+def bm25f_repeated_term_whole(spark, d):
+    return rank.search(i.index(spark, d), i.whole_searches(spark, d).withColumn("query", F.concat_ws(" ", "query", "query")))
+
+
+@query(f"WITH {q.INDEX}, {q.WHOLE}, {q.BM25_PLUS} {q.page()}")
+def bm25plus_search_whole(spark, d):
+    return rank.search(i.index(spark, d), i.whole_searches(spark, d), model="BM25_PLUS")
+
+
+@query(f"WITH {q.INDEX}, {q.WHOLE}, {q.TF_IDF} {q.page()}")
+def tfidf_search_whole(spark, d):
+    return rank.search(i.index(spark, d), i.whole_searches(spark, d), model="TF_IDF_COSINE")
+
+
+@query(f"WITH {q.INDEX}, {q.WHOLE}, {q.BM25F} SELECT h.*, name, address FROM ({q.page()}) h JOIN docs USING (doc_id)")
+def search_documents_whole(spark, d):
+    index = i.index(spark, d)
+    return rank.with_documents(index, rank.search(index, i.whole_searches(spark, d)))
+
+
 # Language model
 
 
@@ -143,9 +177,9 @@ for _n, _name in enumerate(("unigrams", "bigrams", "trigrams", "quadgrams"), 1):
     ORACLES[_name] = f"WITH {q.TOK}, lt AS (SELECT t FROM tok), {q.grams(_n)} SELECT * FROM ng{_n}"
 
 
-def _contexts(spark, d):
+def _contexts(searches):
     """Every position of every query, with the three words before."""
-    seq = i.searches(spark, d).select(lm.padded(tokens(F.col("query")), lm.ORDER).alias("t"))
+    seq = searches.select(lm.padded(tokens(F.col("query")), lm.ORDER).alias("t"))
     at = F.transform(F.sequence(F.lit(lm.ORDER), F.size("t") - 1), lambda k: F.struct(*(F.get(F.col("t"), k - j).alias(f"h{j}") for j in (3, 2, 1)), F.get(F.col("t"), k).alias("w")))
     return seq.select(F.explode(at).alias("x")).select("x.*").distinct()
 
@@ -159,12 +193,12 @@ _LM = f"WITH {q.TOK}, lt AS (SELECT t FROM tok), {q.SEARCHES}, sq AS (SELECT que
 
 @query(f"{_LM} SELECT DISTINCT h3, h2, h1, w, round(p1, 9) AS p1, round(p2, 9) AS p2, round(p3, 9) AS p3, round(p4, 9) AS p4 FROM se")
 def ngram_mle(spark, d):
-    return _model(spark, d).estimates(_contexts(spark, d)).select("h3", "h2", "h1", "w", *(F.round(f"p{n}", 9).alias(f"p{n}") for n in range(1, 5)))
+    return _model(spark, d).estimates(_contexts(i.searches(spark, d))).select("h3", "h2", "h1", "w", *(F.round(f"p{n}", 9).alias(f"p{n}") for n in range(1, 5)))
 
 
 @query(f"{_LM} SELECT DISTINCT h3, h2, h1, w, round(p, 9) AS p FROM sb")
 def stupid_backoff(spark, d):
-    return _model(spark, d).backoff(_contexts(spark, d)).withColumn("p", F.round("p", 9))
+    return _model(spark, d).backoff(_contexts(i.searches(spark, d))).withColumn("p", F.round("p", 9))
 
 
 @query(f"{_LM} SELECT seq_id, round(logp, 6) AS logp FROM sl")
@@ -173,6 +207,25 @@ def sequence_logprob(spark, d):
     return _model(spark, d).score(seq).withColumn("logp", F.round("logp", 6))
 
 
+_LM_WHOLE = f"WITH {q.TOK}, lt AS (SELECT t FROM tok), {q.WHOLE}, sq AS (SELECT query_id AS seq_id, t FROM qtok), {q.lm()}"
+
+
+@query(f"{_LM_WHOLE} SELECT DISTINCT h3, h2, h1, w, round(p1, 9) AS p1, round(p2, 9) AS p2, round(p3, 9) AS p3, round(p4, 9) AS p4 FROM se")
+def ngram_mle_whole(spark, d):
+    return _model(spark, d).estimates(_contexts(i.whole_searches(spark, d))).select("h3", "h2", "h1", "w", *(F.round(f"p{n}", 9).alias(f"p{n}") for n in range(1, 5)))
+
+
+@query(f"{_LM_WHOLE} SELECT DISTINCT h3, h2, h1, w, round(p, 9) AS p FROM sb")
+def stupid_backoff_whole(spark, d):
+    return _model(spark, d).backoff(_contexts(i.whole_searches(spark, d))).withColumn("p", F.round("p", 9))
+
+
+@query(f"{_LM_WHOLE} SELECT seq_id, round(logp, 6) AS logp FROM sl")
+def sequence_logprob_whole(spark, d):
+    seq = i.whole_searches(spark, d).select(F.col("query_id").alias("seq_id"), tokens(F.col("query")).alias("tokens"))
+    return _model(spark, d).score(seq).withColumn("logp", F.round("logp", 6))
+
+
 # Spelling and autocompletion, over part names
 
 

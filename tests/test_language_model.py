@@ -82,3 +82,17 @@ def test_autocomplete(spark, places):
     q = spark.createDataFrame([(1, "Monumen Nasi"), (2, "Kebun Binatang Ra"), (3, "unknown Ra"), (4, ""), (5, "mon")], "query_id long, query string")
     got = [(r.query_id, r.place, r.doc_id) for r in autocomplete.autocomplete(index, q, model).orderBy("query_id", "place").collect()]
     assert got == [(1, 1, 3), (2, 1, 2), (5, 1, 3), (5, 2, 4)]
+
+
+def test_whole_benchmark_texts_are_scored(spark, sf):
+    import re
+
+    from terralex.plans import registry
+
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    asked = set()
+    for r in items:
+        t = ["<s>"] * 4 + re.findall("[a-z0-9]+", r.text.lower()) + ["</s>"]
+        asked |= {tuple(t[k - 3 : k + 1]) for k in range(4, len(t))}
+    assert max(len(r.text.split()) for r in items) > 4
+    assert {(r.h3, r.h2, r.h1, r.w) for r in registry.queries()["stupid_backoff_whole"](spark, sf).collect()} == asked
