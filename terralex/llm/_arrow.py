@@ -6,6 +6,7 @@ without making a Python object for each row. All helpers treat null as empty.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,25 +53,6 @@ def steps(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, made longer when a longer text comes."""
-
-    BASE = 0x9E3779B97F4A7C15 | 1
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = 1 << (n - 1).bit_length()
-            with np.errstate(over="ignore"):
-                self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, U64), np.full(n - 1, b, U64)])) for b in (self.BASE, pow(self.BASE, -1, 1 << 64)))
-        return self.up, self.down
-
-
-POWERS = Powers()
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose output bits all depend on all input bits."""
     with np.errstate(over="ignore"):
@@ -79,15 +61,14 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> U64(31))
 
 
-def byte_values(lower: bool) -> np.ndarray:
-    """A 64-bit value for each byte; A-Z have those of a-z if `lower`."""
-    own = np.arange(256)
-    if lower:
-        own[65:91] += 32
-    return mix((own.astype(U64) + U64(1)) * U64(0xD1342543DE82EF95))
+def folded() -> np.ndarray:
+    """Each byte as it is hashed where A-Z count as a-z."""
+    out = np.arange(256, dtype=np.uint8)
+    out[65:91] += 32
+    return out
 
 
-LOWERED, PLAIN = byte_values(True), byte_values(False)
+LOWERED = folded()
 
 
 def is_black() -> np.ndarray:
@@ -119,16 +100,35 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[starts:ends], equal for equal byte strings wherever they stand."""
-    up, down = POWERS.of(len(data) + 1)
+#: Spans of more bytes than this are hashed one by one.
+SHORT = 64
+#: Keeps the first n of a word's eight bytes.
+KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], U64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of data[starts:ends], equal for equal byte strings wherever they stand; A-Z count as a-z if `lower`.
+
+    Short spans are mixed in eight bytes at a time, all of them at once; long ones have a keyed digest. So strings differ in their
+    hashes as chance has it, whatever they have in common.
+    """
+    size = ends - starts
+    data = LOWERED[data] if lower else data
+    raw = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.ndarray((len(data) + 1,), "<u8", raw, strides=(1,))
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, U64)
-        np.cumsum(values[data] * up[: len(data)], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+        out = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(0x5851F42D4C957F2D))
+        live = np.flatnonzero((size > 0) & (size <= SHORT))
+        at = starts[live]
+        while len(live):
+            left = ends[live] - at
+            out[live] = mix((out[live] ^ (word[at] & KEEP[np.minimum(left, 8)])) * U64(0xD1342543DE82EF95) + U64(0x2545F4914F6CDD1D))
+            more = left > 8
+            live, at = live[more], at[more] + 8
+    for i in np.flatnonzero(size > SHORT):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def hex_digest(raw: bytes) -> str:
-    import hashlib
-
     return hashlib.sha256(raw).hexdigest()

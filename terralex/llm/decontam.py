@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import LOWERED, U64, bounded, runs, span_hashes, steps, utf8
+from ._arrow import U64, bounded, runs, span_hashes, steps, utf8
 from .store import Shelf
 
 #: Words of a window. Most words of the windows that are matched at once. Most bytes of a benchmark, as its windows go to every task.
@@ -53,7 +53,7 @@ WORD = is_word()
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, row after row, and where each row's begin."""
     starts, ends, rows = runs(WORD[data], offsets)
-    return span_hashes(data, starts, ends, LOWERED), np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(offsets) - 1))])
+    return span_hashes(data, starts, ends, True), np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(offsets) - 1))])
 
 
 @dataclass
@@ -272,7 +272,7 @@ def postings(docs: DataFrame, terms: list[str], *, id_col: str = "doc_id", text_
     """(term, doc_id, positions array<int>): the index itself, for the given terms."""
     raw = [t.encode() for t in terms]
     flat, ends = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    keys = span_hashes(flat, ends[:-1], ends[1:], LOWERED)
+    keys = span_hashes(flat, ends[:-1], ends[1:], True)
     order = np.argsort(keys)
     known, names = keys[order], [terms[i] for i in order]
     picked = bounded(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import BLACK, PLAIN, bounded, runs, span_hashes, steps, utf8
+from ._arrow import BLACK, bounded, runs, span_hashes, steps, utf8
 from .langid import sampled
 from .rules import LOWER, SYMBOLS, TERMINAL, UPPER, line_spans, repeats
 from .store import Shelf
@@ -43,7 +43,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     count = lambda what: per(doc_of_byte[what[data]])
     words, chars = per(doc), per(doc, ends - starts)
     share = lambda a, b: np.sqrt(a / np.maximum(b, 1))
-    h = span_hashes(data, starts, ends, PLAIN)
+    h = span_hashes(data, starts, ends)
     later, _ = repeats(doc, h)
     s = np.lexsort((h, doc))
     edge = np.flatnonzero(np.append(True, (h[s][1:] != h[s][:-1]) | (doc[s][1:] != doc[s][:-1]))) if len(h) else np.zeros(0, np.int64)
@@ -51,7 +51,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     np.maximum.at(most, doc[s][edge], np.diff(np.append(edge, len(h))))
     ls, le = line_spans(data, offsets)
     line_doc = np.searchsorted(offsets, ls, "right") - 1
-    dup, _ = repeats(line_doc, span_hashes(data, ls, le, PLAIN))
+    dup, _ = repeats(line_doc, span_hashes(data, ls, le))
     last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
     upper, lower, lines = count(UPPER), count(LOWER), per(line_doc)
     return np.stack([

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import BLACK, LOWERED, PLAIN, U64, bounded, mix, runs, span_hashes, steps, utf8
+from ._arrow import BLACK, U64, bounded, mix, runs, span_hashes, steps, utf8
 
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 LONG, LINKS, KEPT_SHARE = 40, 8, 0.5
@@ -44,7 +44,7 @@ SYMBOLS, TERMINAL, UPPER, LOWER, SEPARATORS = _set(b"#*$%&|<>"), _set(b".!?:;\"'
 def _list() -> np.ndarray:
     raw = [w.encode() for w in BOILERPLATE]
     ends = np.cumsum([0, *map(len, raw)])
-    return np.sort(span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends[:-1], ends[1:], LOWERED))
+    return np.sort(span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends[:-1], ends[1:], True))
 
 
 def repeats(groups: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,9 +87,9 @@ def judge(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     words_in = per(line, lines)
     worded = np.flatnonzero(words_in)
     line_doc = np.searchsorted(offsets, ls, "right") - 1
-    later, _ = repeats(line_doc[worded], span_hashes(data, ls[worded], le[worded], PLAIN))
+    later, _ = repeats(line_doc[worded], span_hashes(data, ls[worded], le[worded]))
     out["n_dup_lines"] = per(line_doc[worded][later], rows)
-    h = span_hashes(data, starts, ends, PLAIN)
+    h = span_hashes(data, starts, ends)
     out["n_repeat_words"] = np.zeros(rows, np.int64)
     n = len(h) - WINDOW + 1
     if n > 0:
@@ -111,7 +111,7 @@ def judge(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
     closed = per(line[TERMINAL[last]], lines)
     links = per(line[(ends - starts == 1) & SEPARATORS[last]], lines)
-    known = per(line[np.isin(span_hashes(data, starts, ends - (TERMINAL[last] | (last == 44)), LOWERED), _list())], lines)
+    known = per(line[np.isin(span_hashes(data, starts, ends - (TERMINAL[last] | (last == 44)), True), _list())], lines)
     bad = (words_in >= LONG) & (closed == 0)
     bad |= (words_in >= 5) & (upper > 0.7 * (upper + lower))
     bad |= (links > 0.15 * words_in) | (links >= LINKS)

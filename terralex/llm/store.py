@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from ..sources.scratch import shared_folder
 
@@ -19,6 +19,12 @@ class Shelf:
         df.write.mode("overwrite").parquet(path := f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def measured(self, df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
+        """The table and some aggregates of its rows, taken while it is written."""
+        seen = Observation()
+        out = self.put(df.observe(seen, *(c.alias(k) for k, c in sums.items())), name)
+        return out, seen.get
+
     def drop(self, *names: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         for name in names:

@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import PLAIN, U64, bounded, mix, steps, utf8
+from ._arrow import U64, bounded, mix, steps, utf8
 
 #: Bytes of a string that counts as repeated; of the strings whose least hash deals windows out; depth of the first sort.
 LENGTH, KMER, SHALLOW = 100, 32, 24
 #: Different runs of a key in one batch from which on they are worked off before they travel.
 COMBINE = 8
 
+BYTES = mix((np.arange(256).astype(U64) + U64(1)) * U64(0xD1342543DE82EF95))
+
 
 def keys_of(data: np.ndarray, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashes of the k-mers, the key of the window at each start (windows across documents aren't told apart here), and k-mers of a window."""
@@ -44,7 +46,7 @@ def keys_of(data: np.ndarray, length: int = LENGTH, kmer: int = KMER) -> tuple[n
     if n < length:
         return np.zeros(0, U64), np.zeros(0, U64), 1
     with np.errstate(over="ignore"):
-        h, size = PLAIN[data], 1
+        h, size = BYTES[data], 1
         while size < kmer:  # hashes of strings twice as long
             h = (h[:-size] * U64(0x9E3779B97F4A7C15)) ^ (h[size:] + (h[:-size] >> U64(29)))
             size *= 2

@@ -76,6 +76,29 @@ def test_odd_texts(spark, odd_docs, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
+def test_rows_of_one_id_share_what_can_be_reached(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"{x}{rng.randrange(1000)}" for _ in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (9, b), (12, c), (5, c), (20, "x y"), (21, "x y"), (22, "x z")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (5, 1), (5, 1), (5, 1), (9, 1), (12, 1), (20, 20), (21, 20), (22, 22)]
+    # an id with several texts of which the least id's is not the one in question
+    near = a.split()
+    near[0] = "other"
+    rows = [(1, b), (1, a), (7, " ".join(near)), (8, "w" + b)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, c in brute(rows).items()}
+
+
+def test_words_with_a_pattern_of_their_own_are_told_apart(spark):
+    x = "a"
+    for _ in range(10):
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    got = minhash.near_duplicates(spark.createDataFrame([(1, x), (2, y), (3, x[:32]), (4, y[:32])], "doc_id long, text string")).collect()
+    assert all(r.kept for r in got)
+
+
 def test_registers_and_estimate():
     rng = np.random.default_rng(4)
     for j in (0.3, 0.75, 0.95):
@@ -89,7 +112,9 @@ def test_registers_and_estimate():
     assert minhash.accident(np.array([5000.0]), np.array([300.0]))[0] < 0.001
 
 
-def test_chain_components(spark):
+@pytest.mark.parametrize("finish", [0, 1 << 20])
+def test_chain_components(spark, monkeypatch, finish):
+    monkeypatch.setattr(graph, "FINISH", finish)
     rng = random.Random(2)
     ids = rng.sample(range(10**6), 300)
     edges = [(ids[k], ids[k + 1]) for k in range(199)] + [(ids[200], x) for x in ids[201:]] + [(ids[0], ids[0])]
