@@ -3,11 +3,13 @@
 Each language has a tree of byte contexts of orders 0 to 3. A node's statistics give a byte seen there n / (N + D), with
 N bytes and D different ones, and the escape D / (N + D); an escape goes to the node without the oldest byte, in which
 the bytes seen before are excluded and the others' probabilities are scaled to one. Below order 0 all bytes are alike.
-The statistics are frozen after fitting, so a text's code length is the exact sum over its bytes of -log2 P(byte | context)
-and each (node, byte) has one entry in a table. The language with the shortest code wins.
+The statistics are frozen after fitting, so a text's code length is the exact sum over its bytes of -log2 P(byte | context).
+The language with the shortest code wins.
 
-Nodes are kept for contexts seen at least `min_count` times, the most frequent first up to the table's bound; a context
-without a node uses its longest suffix that has one (the order is variable).
+A tree is kept as sorted arrays: the bits of each string of bytes that was seen, and for each node the bits of an escape from
+it, from which what it excludes is taken off already. A byte that a node hasn't seen costs these and its bits in the next
+shorter context. A context that was never seen costs nothing and gives way to its longest suffix that was (the order is
+variable). Trees are fitted apart from one another, one task a language, and no node is left out.
 
 Edge cases: text that is null or has no letter gets `und` and score 0; ties go to the first language in sorted order;
 with nothing to learn from, all is `und`; repeated rows get equal results; other columns of the input don't matter.
@@ -25,18 +27,18 @@ from pyspark.sql import functions as F
 
 from ._arrow import bounded, steps, utf8
 
-#: Expected number of documents of a language that the model learns from: the bound of the training sample.
-SAMPLE_DOCS = 1500
-#: Bytes of the table of code lengths, and most nodes, whatever the input's size.
-TABLE_BYTES, MAX_NODES = 48 << 20, 8000
+#: Expected number of documents of a language that the model learns from, and most languages: the bounds of the training sample.
+SAMPLE_DOCS, MOST_LANGS = 1500, 1000
+#: Orders of the contexts.
+ORDERS = range(4)
 
 
-def sampled(rows: DataFrame, by: str, id_col: str, each: int) -> DataFrame:
-    """About `each` rows of every value of `by`, chosen by a hash of the id, with one narrow count before.
+def sampled(rows: DataFrame, by: str, id_col: str, each: int, most: int = MOST_LANGS) -> DataFrame:
+    """About `each` rows of every value of `by`, chosen by a hash of the id, with one narrow count before. Of more values than `most`, the most frequent ones.
 
     The share kept of a value is each / its count, so the expected size is bounded and no row is moved to choose it.
     """
-    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).limit(most).collect()}
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))]) if counts else None
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return rows.where(draw < share[F.col(by)]) if share is not None else rows.limit(0)
@@ -77,92 +79,100 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class Tree:
+    """One language's contexts. Of order k, `grams[k]` are strings of k + 1 bytes (the context and the byte after it) with `bits`, `nodes[k]` are contexts with `escapes`; both are sorted numbers."""
+
+    grams: list[np.ndarray]
+    bits: list[np.ndarray]
+    nodes: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    def cost(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each string of four."""
+        out, open_ = np.zeros(len(codes)), np.arange(len(codes))
+        for k in reversed(ORDERS):
+            own = codes[open_] & ((1 << 8 * (k + 1)) - 1)
+            at, hit = found(self.grams[k], own)
+            out[open_[hit]] += self.bits[k][at[hit]]
+            open_, own = open_[~hit], own[~hit]
+            at, hit = found(self.nodes[k], own >> 8)
+            out[open_[hit]] += self.escapes[k][at[hit]]
+        out[open_] += 8
+        return out
+
+
+def found(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values in a sorted array, and which of them are there."""
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return at, known[at] == values
+
+
+def fit(code: np.ndarray, n: np.ndarray) -> Tree:
+    """The tree of strings of four bytes (as numbers) that were seen n times."""
+    grams, bits, nodes, escapes = [], [], [], []
+    shorter, chance = np.arange(256), np.full(256, 1 / 256)
+    for k in ORDERS:
+        own, at = np.unique(code & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        times = np.bincount(at, n)
+        contexts_, of = np.unique(own >> 8, return_inverse=True)
+        total, kinds = np.bincount(of, times), np.bincount(of).astype(float)
+        low = chance[np.searchsorted(shorter, own & ((1 << 8 * k) - 1 if k else 255))]
+        left = 1 - np.bincount(of, low)
+        kinds = np.where((kinds < 256) & (left > 1e-12), kinds, 0)
+        p = times / (total + kinds)[of]
+        some = kinds > 0
+        escape = np.where(some, kinds / (total + kinds) / np.where(some, left, 1), 1)
+        grams.append(own)
+        bits.append(-np.log2(p))
+        nodes.append(contexts_)
+        escapes.append(-np.log2(escape))
+        shorter, chance = own, p
+    return Tree(grams, bits, nodes, escapes)
+
+
 @dataclass
 class Model:
-    """Frozen statistics: `symbol` of each byte, `state` of each three symbols, bits of (state, symbol) for each language."""
+    """Frozen statistics of each language."""
 
     langs: list[str]
-    symbol: np.ndarray
-    pad: int
-    state: np.ndarray
-    bits: np.ndarray
+    trees: list[Tree]
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Code length in bits of each row under each language."""
-        out, a = np.zeros((len(offsets) - 1, len(self.langs))), self.bits.shape[1]
-        table = self.bits.reshape(-1, len(self.langs))
+        """Code length in bits of each row under each language. Each string of four bytes of a step is looked up once."""
+        out = np.zeros((len(offsets) - 1, len(self.langs)))
         for i, j in steps(offsets):
             own = offsets[i : j + 1] - offsets[i]
             if own[-1]:
-                x = self.symbol[data[offsets[i] : offsets[j]]]
-                c1, c2, c3 = contexts(x, own, self.pad)
+                x = data[offsets[i] : offsets[j]].astype(np.uint32)
+                c1, c2, c3 = contexts(x, own, 0)
+                codes, at = np.unique(c3 << 24 | c2 << 16 | c1 << 8 | x, return_inverse=True)
+                table = np.stack([t.cost(codes.astype(np.int64)) for t in self.trees], 1)
                 full = np.flatnonzero(own[1:] > own[:-1])
-                at = self.state[(c3 * a + c2) * a + c1] * np.int32(a) + x
-                out[i + full] = np.add.reduceat(table[at], own[:-1][full], axis=0, dtype=np.float64)
+                out[i + full] = np.add.reduceat(table[at], own[:-1][full], axis=0)
         return out
 
 
-def fit(grams: list[tuple[str, int, int]], min_count: int = 8, table_bytes: int = TABLE_BYTES, max_nodes: int = MAX_NODES) -> Model | None:
-    """The model of (lang, gram, n) rows; None without rows."""
-    if not grams:
-        return None
-    langs = sorted({g[0] for g in grams})
-    at = {lang: k for k, lang in enumerate(langs)}
-    who, code, n = np.array([at[g[0]] for g in grams]), np.array([g[1] for g in grams], np.int64), np.array([g[2] for g in grams], np.float64)
-    places = [(code >> s) & 255 for s in (24, 16, 8, 0)]
-    seen = np.unique(np.concatenate([*places, [0]]))
-    symbol = np.zeros(256, np.int32)  # 0: any byte never seen
-    symbol[seen] = np.arange(1, len(seen) + 1)
-    a, weight = len(seen) + 1, np.ones(len(seen) + 1)
-    weight[0] = 256 - len(seen)
-    p = [symbol[x].astype(np.int64) for x in places]
-    keys = [np.zeros(len(code), np.int64), p[2], p[1] * a + p[2], (p[0] * a + p[1]) * a + p[2]]  # the context at each order
-    cap = max(a + 1, min(max_nodes, table_bytes // (a * len(langs) * 4)))
-    every = []  # (count, order, key) of each context
-    for order in range(4):
-        ids, where = np.unique(keys[order], return_inverse=True)
-        total = np.bincount(where, n)
-        every += [(total[k], order, int(ids[k])) for k in np.flatnonzero(total >= (min_count if order > 1 else 0))]
-    every.sort(key=lambda x: (x[1] > 1, -x[0], x[1], x[2]))
-    number: list[dict[int, int]] = [{}, {}, {}, {}]
-    tables: list[np.ndarray] = []
-    lowest = np.full((a, len(langs)), 1 / 256)
-    kept = sorted(every[:cap], key=lambda x: (x[1], x[2]))
-    counted = []
-    for order in range(4):
-        ids = np.array([k for _, o, k in kept if o == order], np.int64)
-        c = np.zeros((len(ids), a, len(langs)))
-        if len(ids):
-            where = np.minimum(np.searchsorted(ids, keys[order]), len(ids) - 1)
-            hit = ids[where] == keys[order]
-            np.add.at(c, (where[hit], p[3][hit], who[hit]), n[hit])
-        counted.append((ids, c))
-    for order, (ids, c) in enumerate(counted):
-        for key, mine in zip(ids.tolist(), c):
-            parent = lowest if order == 0 else tables[number[order - 1].get(key % a ** (order - 1) if order > 1 else 0, 0)]
-            total, kinds = mine.sum(0), (mine > 0).sum(0)
-            rest = np.where(mine > 0, 0, parent)
-            left = (rest * weight[:, None]).sum(0)
-            escape = np.where(left > 0, kinds, 0)
-            low = rest * (escape / np.where(left > 0, left, 1))
-            known = (mine + low) / np.maximum(total + escape, 1)
-            number[order][key] = len(tables)
-            tables.append(np.where(total > 0, known, parent))
-    state = np.zeros((a, a, a), np.int32)
-    for key, k in number[1].items():
-        state[:, :, key] = k
-    for key, k in number[2].items():
-        state[:, key // a, key % a] = k
-    for key, k in number[3].items():
-        state[key // (a * a), key // a % a, key % a] = k
-    return Model(langs, symbol, int(symbol[0]), state.ravel(), -np.log2(np.array(tables)).astype(np.float32))
+def fitted(grams: DataFrame) -> DataFrame:
+    """(lang, kind, codes, bits) of (lang, gram, n): each language's arrays, two rows for each order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tree = fit(table.column("gram").to_numpy(), table.column("n").to_numpy().astype(float))
+        rows = [(table.column("lang")[0].as_py(), 2 * k + e, c, b) for k in ORDERS for e, (c, b) in enumerate(((tree.grams[k], tree.bits[k]), (tree.nodes[k], tree.escapes[k])))]
+        return pa.table({"lang": [r[0] for r in rows], "kind": pa.array([r[1] for r in rows], pa.int32()), "codes": [r[2].astype("<i8").tobytes() for r in rows], "bits": [r[3].astype("<f8").tobytes() for r in rows]})
+
+    return grams.groupBy("lang").applyInArrow(run, "lang string, kind int, codes binary, bits binary")
 
 
 def train(docs: DataFrame, where: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = SAMPLE_DOCS) -> Model | None:
-    """A model of the documents that `where` holds for and that have text and a language. Grams come to the driver: their number is bounded by the sample."""
-    rows = docs.where(where & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    grams = count_grams(sampled(rows, "lang", id_col, each), "lang", "text").toPandas()
-    return fit(list(zip(grams["lang"].tolist(), grams["gram"].tolist(), grams["n"].tolist())))
+    """A model of the documents that `where` holds for and that have text and a language. Trees come to the driver: their size is bounded by the sample."""
+    rows = docs.where(where & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    parts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+    for r in fitted(count_grams(sampled(rows, "lang", id_col, each), "lang", "text")).collect():
+        parts.setdefault(r["lang"], {})[r["kind"]] = (np.frombuffer(r["codes"], "<i8"), np.frombuffer(r["bits"], "<f8"))
+    langs = sorted(parts)
+    column = lambda p, kind, c: [p[2 * k + kind][c] for k in ORDERS]
+    return Model(langs, [Tree(column(p, 0, 0), column(p, 0, 1), column(p, 1, 0), column(p, 1, 1)) for p in map(parts.get, langs)]) if langs else None
 
 
 def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -91,12 +91,15 @@ def registers(values: np.ndarray, offsets: np.ndarray, k: int = REGISTERS, bits:
     return out
 
 
+def spread(n: np.ndarray, k: int = REGISTERS) -> np.ndarray:
+    """For sets of n shingles the probability of each number of leading zeros of a register."""
+    a, z = np.maximum(n / k, 1)[:, None], np.arange(40)
+    return np.exp(-a * 2.0 ** -(z + 1)) - np.exp(-a * 2.0**-z)
+
+
 def accident(n: np.ndarray, m: np.ndarray, k: int = REGISTERS, bits: int = MANTISSA) -> np.ndarray:
     """Probability that registers of unlike least hashes agree, for sets of n and m shingles."""
-    a, b = np.maximum(n / k, 1)[:, None], np.maximum(m / k, 1)[:, None]
-    z = np.arange(40)
-    low, high = 2.0 ** -(z + 1), 2.0**-z
-    return ((np.exp(-a * low) - np.exp(-a * high)) * (np.exp(-b * low) - np.exp(-b * high))).sum(1) / 2**bits
+    return (spread(n, k) * spread(m, k)).sum(1) / 2**bits
 
 
 def only(raw: np.ndarray, words: int) -> int:
@@ -239,14 +242,14 @@ def blocks(rows: DataFrame, classes: DataFrame) -> DataFrame:
                 sets[i] = shingle_sets(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))[0]
             return sets[i]
 
-        t, joined = PERCENT / 100, set()
+        t, joined, chance = PERCENT / 100, set(), spread(n.astype(float))
         for i in left:
             others = right[right > i] if not led and x == y else right
             others = others[(comp[others] != comp[i]) & (100 * np.minimum(n[others], n[i]) >= PERCENT * np.maximum(n[others], n[i]))]
             if not len(others):
                 continue
             others = others[(keys[others] == keys[i]).argmax(1) == band]
-            e = accident(n[others].astype(float), np.full(len(others), float(n[i])))
+            e = chance[others] @ chance[i] / 2**MANTISSA
             j = ((regs[others] == regs[i]).mean(1) - e) / (1 - e)
             for o in others[j >= t - 6 * np.sqrt(t * (1 - t) / np.minimum(REGISTERS, np.minimum(n[others], n[i])))]:
                 if (pair := (min(comp[i], comp[o]), max(comp[i], comp[o]))) not in joined and linked(full(i), full(o)):

@@ -49,14 +49,23 @@ def test_code_lengths_equal_the_definition():
             c[before, b] = c.get((before, b), 0) + 1
             before = (*before[1:], b)
         grams += [(lang, k[0], k[1], n) for k, n in c.items()]
-    model = langid.fit([(who, c[0] << 24 | c[1] << 16 | c[2] << 8 | b, n) for who, c, b, n in grams], min_count=0)
+    codes = {who: [(c[0] << 24 | c[1] << 16 | c[2] << 8 | b, n) for w, c, b, n in grams if w == who] for who in texts}
+    model = langid.Model(list(texts), [langid.fit(*(np.array(x) for x in zip(*codes[who]))) for who in texts])
     tests = [b"", b"abra", b"bandana", b"zz\xffz", bytes(rng.choices(b"abn ", k=60))]
     got = model.lengths(np.frombuffer(b"".join(tests), np.uint8), np.cumsum([0, *map(len, tests)]))
     for k, raw in enumerate(tests):
         for j, lang in enumerate(model.langs):
             assert got[k, j] == pytest.approx(brute(grams, lang, raw), rel=1e-5)
-    total = (np.exp2(-model.bits.astype(float)) * np.where(np.arange(model.bits.shape[1]) == 0, 256 - (model.symbol > 0).sum(), 1)[None, :, None]).sum(1)
-    assert np.allclose(total, 1, atol=1e-4)  # each node is a distribution over bytes
+    for tree in model.trees:  # each node is a distribution over bytes
+        for context in (0, ord("a"), ord("b") << 8 | ord("a"), ord("a") << 16 | ord("b") << 8 | ord("r"), 0xFFFFFF):
+            assert np.exp2(-tree.cost((context << 8) + np.arange(256))).sum() == pytest.approx(1)
+
+
+def test_a_context_that_has_seen_all_bytes():
+    raw = bytes(range(256)) * 3
+    tree = langid.fit(np.arange(256) + (7 << 8), np.ones(256))
+    assert np.exp2(-tree.cost((7 << 8) + np.arange(256))).sum() == pytest.approx(1)
+    assert np.isfinite(langid.Model(["x"], [tree]).lengths(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))).all()
 
 
 def test_held_out_accuracy(spark, sf):
