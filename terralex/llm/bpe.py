@@ -8,6 +8,8 @@ the pair encode to that pair. Tokens outside the window were canonical before, t
 only the two pairs across the window's edges have to be looked at. At the edges of the matches of the splitting pattern
 no window is needed, as each match is encoded by itself.
 
+The property holds if merges by rank make each token of its own bytes, which is checked for a vocabulary before it is used.
+
 Edge cases: null and empty texts have no tokens; any UTF-8 text has tokens, as each byte is one; repeated rows give
 repeated results; extra columns of the input are left out, but for those asked for by `keep`.
 """
@@ -30,8 +32,8 @@ from ._arrow import bounded
 
 #: Bytes of a leaf of the tree: so short a string is encoded by plain merges.
 LEAF = 4
-#: Most entries of each of a worker's memories; results don't depend on it.
-MEMO = 600_000
+#: Most entries of each of a worker's memories, and longest key that is remembered; results don't depend on them.
+MEMO, LONGEST = 600_000, 64
 PACKED = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
@@ -49,6 +51,8 @@ class Memory(dict):
 
     def __missing__(self, key):
         value = self.old[key] if key in self.old else self.make(key)
+        if len(key) > LONGEST:
+            return value
         if len(self) >= self.half:
             self.old = dict(self)
             self.clear()
@@ -161,8 +165,23 @@ class Codec:
         return np.frombuffer(self.encode_raw(text or ""), "<u4").tolist()
 
     def decode(self, ids: list[int] | np.ndarray) -> bytes:
-        """Bytes of the tokens, concatenated."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """Bytes of the tokens, put together up the tree of halves; a leaf is joined at once."""
+        if len(ids) <= 4096:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
+
+
+@lru_cache(maxsize=4)
+def proved(path: str, pattern: str) -> bool:
+    """Whether the proof holds for a vocabulary: each byte is a token, and merges by rank make each token of its own bytes."""
+    own = Codec(read_ranks(path), pattern, memo=2)
+    return all(bytes([b]) in own.ranks for b in range(256)) and all(own.merge(t) == (i,) for t, i in own.ranks.items())
+
+
+def checked(path: str, pattern: str) -> None:
+    if not proved(path, pattern):
+        raise ValueError(f"{path}: a byte is no token, or merges by rank don't make some token of its bytes, so halves can't be joined")
 
 
 @lru_cache(maxsize=4)
@@ -175,6 +194,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
     """(id, *keep, n_tokens, ids array<int>, ids_sha256, decoded_sha256) for each row, whole texts. Without `ids`, no lists."""
     if clash := {"n_tokens", "ids", "ids_sha256", "decoded_sha256"} & {id_col, *keep}:
         raise ValueError(f"columns {sorted(clash)} can't be kept beside the result's")
+    checked(path, pattern)
     picked = bounded(docs).select(id_col, *[c for c in keep if c != id_col], F.col(text_col).cast("string").alias("__text"))
     own = [f for f in picked.schema.fields if f.name != "__text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", n_tokens bigint, " + "ids array<int>, " * ids + "ids_sha256 string, decoded_sha256 string"

@@ -11,31 +11,31 @@ Proximity matches are places where a window of `NEAR_WORDS` words or more stands
 in the place of an inner one, or one more word between two. One half of such a window is whole, so halves are looked up like
 phrases, and the other half's lists are intersected at shifts of -1, 0 and 1. Exact matches count as proximity matches.
 
-The benchmark's windows go to every task, so their size is checked. More than `MAX_WINDOW_WORDS` words are split into
-parts that are matched one after another against the same documents, each within that bound. A benchmark of more than
-`MAX_BENCHMARK` bytes is refused: give it in several calls.
+The benchmark's windows go to every task. A benchmark of more than `SLICE` bytes is dealt into slices of about that size by a
+hash of the item's text. Each slice has an index and matches of its own, so no more than a slice is on the driver or in a
+broadcast at once; a document's matched places and items of all slices are then put together.
 
 Edge cases: null and empty texts have no words and are never hit; an item with fewer words than the window, but not
-none, is one window; equal windows of several items count for each of them; a null item_id counts as no item; an empty benchmark hits nothing;
+none, is one window; equal windows of several items count for each of them; the words that an item without an id hits are hit, but there is no
+id to count or list; an empty benchmark hits nothing;
 repeated rows get equal results; other columns don't matter.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import U64, bounded, runs, span_hashes, steps, utf8
 from .store import Shelf
 
-#: Words of a window. Most words of the windows that are matched at once. Most bytes of a benchmark, as its windows go to every task.
-WINDOW, MAX_WINDOW_WORDS, MAX_BENCHMARK = 10, 4_000_000, 64 << 20
+#: Words of a window. Bytes of a benchmark whose windows are matched at once.
+WINDOW, SLICE = 10, 2 << 20
 #: Least words of a window with proximity matches: of a shorter one too little would be left. Most positions of a shard, but for a longer document.
 NEAR_WORDS, MAX_PLACES = 5, 1 << 17
 
@@ -58,47 +58,40 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Phrases:
-    """Windows of equal length as rows of term numbers; `terms` are the sorted hashes of all test terms; items[k] are the numbers of the items of window k."""
+    """Distinct windows as rows of term numbers, a matrix for each length; `terms` are the sorted hashes of all test terms. The items of window k are who[at[k]:at[k+1]], indexes into ids."""
 
     terms: np.ndarray
     words: list[np.ndarray]
-    items: list[list[list[int]]]
-    ids: list[object]
+    at: list[np.ndarray]
+    who: list[np.ndarray]
+    ids: list[str | None]
 
     def order(self, counts: np.ndarray) -> list[np.ndarray]:
         """Offsets of each window's terms, from the rarest to the most common of the corpus."""
-        return [np.argsort(counts[w], axis=1, kind="stable") for w in self.words]
-
-
-def phrases(items: list[tuple[object, str]], window: int = WINDOW) -> list[Phrases]:
-    """The windows of (item_id, text) rows, in parts of bounded size."""
-    parts: list[Phrases] = []
-    now: dict[tuple[int, ...], list[int]] = {}
-    ids: list[object] = []
-
-    def close() -> None:
-        terms = np.unique(np.array([t for w in now for t in w], U64))
-        lengths = sorted({len(w) for w in now})
-        by = [[w for w in now if len(w) == n] for n in lengths]
-        parts.append(Phrases(terms, [np.searchsorted(terms, np.array(ws, U64)) for ws in by], [[now[w] for w in ws] for ws in by], list(ids)))
-        now.clear()
-        ids.clear()
-
-    size = 0
-    for item, text in items:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        h = tokens(raw, np.array([0, len(raw)]))[0].tolist()
-        if h:
-            ids.append(item)
-            for w in {tuple(h[i : i + window]) for i in range(max(1, len(h) - window + 1))}:
-                now.setdefault(w, []).append(len(ids) - 1)
-                size += len(w)
-            if size >= MAX_WINDOW_WORDS:
-                close()
-                size = 0
-    if now:
-        close()
-    return parts
+        return [rarest_first(w, counts) for w in self.words]
+
+
+def rarest_first(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.argsort(counts[words], axis=1, kind="stable").astype(np.uint16)
+
+
+def phrases(items: list[tuple[str | None, str]], window: int = WINDOW) -> Phrases:
+    """The windows of (item_id, text) rows."""
+    raw = [t.encode() for _, t in items]
+    hashes, bounds = tokens(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+    terms, number = np.unique(hashes, return_inverse=True)
+    number, sizes = number.astype(np.int32), np.diff(bounds)
+    out = Phrases(terms, [], [], [], [i for i, _ in items])
+    for n in np.unique(np.minimum(sizes[sizes > 0], window)).tolist():
+        own = np.flatnonzero(sizes >= window if n == window else sizes == n)
+        count = sizes[own] - n + 1
+        start = np.arange(count.sum()) + np.repeat(bounds[own] - np.cumsum(count) + count, count)
+        rows, which = np.unique(number[start[:, None] + np.arange(n)], axis=0, return_inverse=True)
+        pairs = np.unique(which.reshape(-1).astype(np.int64) * len(items) + np.repeat(own, count))
+        out.words.append(rows)
+        out.at.append(np.concatenate([[0], np.cumsum(np.bincount(pairs // len(items), minlength=len(rows)))]).astype(np.int32))
+        out.who.append((pairs % len(items)).astype(np.int32))
+    return out
 
 
 @dataclass
@@ -116,7 +109,7 @@ class Halves:
         cut = windows.shape[1] // 2
         words, which = np.unique(windows[:, :cut] if sign > 0 else windows[:, cut:], axis=0, return_inverse=True)
         which = which.reshape(-1)
-        return cls(sign, words, np.argsort(counts[words], axis=1, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(words)))]), np.argsort(which, kind="stable"))
+        return cls(sign, words, rarest_first(words, counts), np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(words)))]).astype(np.int32), np.argsort(which, kind="stable").astype(np.int32))
 
 
 def found_in(terms: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +147,7 @@ class Shard:
 
     def has(self, term: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Whether each position, from 0 to the number of words, is in the postings of its term."""
-        key = term * np.int64(self.span) + at
+        key = term.astype(np.int64) * self.span + at
         k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return self.keys[k] == key
 
@@ -208,15 +201,16 @@ class Shard:
         hits = [(w[ok], base[ok] if sign > 0 else base[ok] - length + 1, length) for length, ok in kinds]
         return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]), np.concatenate([h[1] + h[2] for h in hits])
 
-    def covered(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """How many words of each document stand in the places [start, end)."""
-        out = np.zeros(len(self.bounds) - 1, np.int64)
-        if len(start):
-            by = np.argsort(start, kind="stable")
-            start, reach = start[by], np.maximum.accumulate(end[by])
-            new = reach - np.maximum(start, np.concatenate([start[:1], reach[:-1]]))
-            np.add.at(out, self.doc_of(start), np.maximum(new, 0))
-        return out
+    def merged(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, start, end) of the places [start, end) where those that overlap are one; starts and ends count from the document's."""
+        if not len(start):
+            return (np.zeros(0, np.int64),) * 3
+        by = np.argsort(start, kind="stable")
+        start, reach = start[by], np.maximum.accumulate(end[by])
+        first = np.flatnonzero(np.append(True, start[1:] >= reach[:-1]))
+        start, end = start[first], reach[np.append(first[1:], len(reach)) - 1]
+        doc = self.doc_of(start)
+        return doc, start - self.bounds[doc], end - self.bounds[doc]
 
     def near(self, a: int, b: int, within: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of positions of terms a and b, each a with the nearest later b, at most `within` words apart in one document."""
@@ -294,53 +288,85 @@ def postings(docs: DataFrame, terms: list[str], *, id_col: str = "doc_id", text_
     return picked.mapInArrow(run, f"term string, `{id_col}` {picked.schema[0].dataType.simpleString()}, positions array<int>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: tuple[str, ...] = (), near: bool = True) -> DataFrame:
-    """(id, *keep, n_words, n_hit, n_items, items_sha256, contaminated, items) for each row of docs; if `near`, also (n_near, near_items): words in and items of exact and proximity matches."""
-    if (size := benchmark.agg(F.sum(F.octet_length(F.col(item_text).cast("string")))).first()[0] or 0) > MAX_BENCHMARK:
-        raise ValueError(f"the benchmark has {size} bytes, more than {MAX_BENCHMARK}: its windows go to every task, so give it in several calls")
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").toPandas()
-    parts = phrases(list(zip(rows["i"], rows["t"])), window)
-    terms = np.unique(np.concatenate([np.zeros(0, U64), *(p.terms for p in parts)]))
-    columns = [id_col, *[c for c in keep if c not in (id_col, text_col)], *([text_col] if text_col in keep else [])]
-    types = [(F.col(c).cast("string") if c == text_col and k else F.col(c)).alias(f"c{k}") for k, c in enumerate(columns)]
-    index = Shelf(docs.sparkSession, "decontam").put(indexed(docs.select(*types, F.col(text_col).cast("string").alias("text")), terms), "postings")
-    counts = term_counts(index, len(terms)) if parts else np.zeros(0, np.int64)
-    queries: list[tuple[Phrases, list[np.ndarray], list[list[Halves]]]] = []
-    for p in parts:
-        p.words = [np.searchsorted(terms, p.terms)[w] for w in p.words]
-        queries.append((p, p.order(counts), [[Halves.of(w, counts, sign) for sign in (1, -1)] if near and w.shape[1] >= NEAR_WORDS else [] for w in p.words]))
-    shared, n_terms = docs.sparkSession.sparkContext.broadcast(queries), len(terms)
-    own = index.schema.fields[: len(columns)]
-    schema = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip(columns, own)) + ", n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>" + ", n_near bigint, near_items array<string>" * near
+#: What a slice finds in a document: words [start, end) of exact matches and of all, items of exact and of proximity matches.
+FOUND = "hits array<struct<start:int,end:int>>, close array<struct<start:int,end:int>>, items array<string>, near_items array<string>"
+
+
+def matched(index: DataFrame, query: Phrases, counts: np.ndarray, n_keys: int, near: bool) -> DataFrame:
+    """index's key columns and n_words with what the query finds in each document (`FOUND`)."""
+    halves = [[Halves.of(w, counts, sign) for sign in (1, -1)] if near and w.shape[1] >= NEAR_WORDS else [] for w in query.words]
+    shared, n_terms = index.sparkSession.sparkContext.broadcast((query, query.order(counts), halves)), len(query.terms)
+    pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in index.schema.fields[: n_keys + 1]) + FOUND
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = shared.value
+        p, orders, both = shared.value
         for batch in batches:
-            n_words, (terms_, counts_, positions) = batch.column(len(columns)).to_numpy(), batch.columns[len(columns) + 1 :]
+            n_words, (terms_, counts_, positions) = batch.column(n_keys).to_numpy(), batch.columns[n_keys + 1 :]
             groups, places = (np.concatenate([[0], np.cumsum(np.diff(c.offsets.to_numpy()))]) for c in (terms_, positions))
             terms_, counts_, positions = (c.flatten().to_numpy() for c in (terms_, counts_, positions))
-            n_hit, n_near = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             found, close = ([set() for _ in range(batch.num_rows)] for _ in range(2))
+            spans: tuple[list, list] = ([], [])
             for i, j in steps(places, MAX_PLACES):
                 a, z = groups[i], groups[j]
                 bounds = np.concatenate([[0], np.cumsum(n_words[i:j])])
                 where = positions[places[i] : places[j]] + np.repeat(bounds[:-1], np.diff(places[i : j + 1]))
                 shard = Shard.of(where, np.repeat(terms_[a:z], counts_[a:z]), bounds, n_terms)
                 exact, loose = [], []
-                for p, orders, halves in loaded:
-                    for words, items, order, both in zip(p.words, p.items, orders, halves):
-                        w, start = shard.phrase(words, order)
-                        seen = [(found, w, start, start + words.shape[1])] + [(close, *shard.close(words, h)) for h in both]
-                        for names, w, start, end in seen:
-                            (exact if names is found else loose).append((start, end))
-                            for k, d in np.unique(np.stack([w, shard.doc_of(start)], 1), axis=0).tolist() if len(w) else ():
-                                names[i + d].update(p.ids[x] for x in items[k])
-                for spans, out in ((exact, n_hit), (exact + loose, n_near)):
-                    if spans:
-                        out[i:j] = shard.covered(*(np.concatenate(x) for x in zip(*spans)))
-            lists, all_lists = [sorted(x) for x in found], [sorted(x | y) for x, y in zip(found, close)]
-            more = [pa.array(n_near), pa.array(all_lists, pa.list_(pa.string()))] if near else []
-            names = [*columns, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", *(["n_near", "near_items"] if near else [])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns) + 1], pa.array(n_hit), pa.array([len(x) for x in lists], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()), pa.array(n_hit > 0), pa.array(lists, pa.list_(pa.string())), *more], names=names)
+                for words, at, who, order, pieces in zip(p.words, p.at, p.who, orders, both):
+                    w, start = shard.phrase(words, order)
+                    seen = [(found, w, start, start + words.shape[1])] + [(close, *shard.close(words, h)) for h in pieces]
+                    for names, w, start, end in seen:
+                        (exact if names is found else loose).append((start, end))
+                        for k, d in np.unique(np.stack([w, shard.doc_of(start)], 1), axis=0).tolist() if len(w) else ():
+                            names[i + d].update(p.ids[x] for x in who[at[k] : at[k + 1]])
+                for parts, out in ((exact, spans[0]), (exact + loose, spans[1])):
+                    doc, start, end = shard.merged(*(np.concatenate(x) for x in zip(*parts))) if parts else (np.zeros(0, np.int64),) * 3
+                    out.append((doc + i, start, end))
+            lists = []
+            for out in spans:
+                doc, start, end = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+                ends = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], fields=list(pair))))
+            named = [pa.array([sorted(x - {None}) for x in names], pa.list_(pa.string())) for names in (found, [x | y for x, y in zip(found, close)])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n_keys + 1], *lists, *named], names=[*batch.schema.names[: n_keys + 1], "hits", "close", "items", "near_items"])
 
     return bounded(index).mapInArrow(run, schema)
+
+
+def covered(spans: Column) -> Column:
+    """How many words stand in any of the spans."""
+    start = F.struct(F.lit(0).alias("reach"), F.lit(0).cast("bigint").alias("n"))
+    step = lambda acc, s: F.struct(F.greatest(acc["reach"], s["end"]).alias("reach"), (acc["n"] + F.greatest(s["end"] - F.greatest(s["start"], acc["reach"]), F.lit(0))).alias("n"))
+    return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["n"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: tuple[str, ...] = (), near: bool = True) -> DataFrame:
+    """(id, *keep, n_words, n_hit, n_items, items_sha256, contaminated, items) for each row of docs; if `near`, also (n_near, near_items): words in and items of exact and proximity matches."""
+    shelf = Shelf(docs.sparkSession, "decontam")
+    columns = [id_col, *[c for c in keep if c not in (id_col, text_col)], *([text_col] if text_col in keep else [])]
+    keys = [f"c{k}" for k in range(len(columns))]
+    rows = docs.select(*((F.col(c).cast("string") if c == text_col and k else F.col(c)).alias(f"c{k}") for k, c in enumerate(columns)), F.col(text_col).cast("string").alias("text"))
+    own = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
+    n = max(1, -(-(own.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // SLICE))
+    if n > 1:  # a row's matches in several slices meet by its number
+        rows = shelf.put(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    parts = []
+    for k in range(n):
+        items = (own if n == 1 else own.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k)).collect()
+        query = phrases([(r["i"], r["t"]) for r in items], window)
+        given = keys if n == 1 else ["row"]
+        index = shelf.put(indexed(rows.select(*given, "text"), query.terms), f"postings-{k}")
+        found = matched(index, query, term_counts(index, len(query.terms)) if len(query.terms) else np.zeros(0, np.int64), len(given), near)
+        parts.append(found if n == 1 else shelf.put(found, f"found-{k}"))
+    out = parts[0]
+    if n > 1:
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        gathered = [F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "close")] + [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")]
+        some = out.where(F.size("close") > 0).groupBy("row").agg(*gathered)
+        empty = {c: F.coalesce(c, F.expr(f"cast(array() as {t})")).alias(c) for c, t in zip(("hits", "close", "items", "near_items"), ("array<struct<start:int,end:int>>",) * 2 + ("array<string>",) * 2)}
+        out = rows.drop("text").join(parts[0].select("row", "n_words"), "row").join(some, "row", "left").select(*keys, "n_words", *empty.values())
+    made = [covered(F.col("hits")).alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), F.col("items")]
+    made += [covered(F.col("close")).alias("n_near"), F.col("near_items")] if near else []
+    return out.select(*(F.col(k).alias(c) for k, c in zip(keys, columns)), "n_words", *made)

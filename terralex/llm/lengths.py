@@ -17,14 +17,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrow import bounded
-from .bpe import codec
+from .bpe import checked, codec
+from .store import Shelf
 
 #: Lengths of a block.
 BLOCK = 512
 
 
 def histogram(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text") -> DataFrame:
-    """(n_tokens, n_docs)."""
+    """(n_tokens, n_docs), as a table in the shared folder: what reads it twice doesn't encode twice."""
+    checked(path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, found = codec(path, pattern), Counter()
@@ -33,7 +35,8 @@ def histogram(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text
                 found[c.count(text.as_py() or "")] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["n_tokens", "n_docs"])
 
-    return bounded(docs).select(F.col(text_col).cast("string")).mapInArrow(run, "n_tokens bigint, n_docs bigint").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    counts = bounded(docs).select(F.col(text_col).cast("string")).mapInArrow(run, "n_tokens bigint, n_docs bigint")
+    return Shelf(docs.sparkSession, "lengths").put(counts.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "histogram")
 
 
 def suffix_sums(lengths: DataFrame) -> DataFrame:
@@ -48,15 +51,13 @@ def suffix_sums(lengths: DataFrame) -> DataFrame:
     return out.select("n_tokens", "n_docs", "docs_at_least", "tokens_at_least", (F.col("all") - F.col("tokens_at_least") + F.col("n_tokens") * F.col("docs_at_least")).alias("truncated_total"))
 
 
-def truncated(sums: DataFrame, limits: DataFrame) -> DataFrame:
-    """(limit, total, n_cut) for each row of limits: tokens left if documents are cut to the limit, and how many are cut."""
-    last = sums.agg(F.max("tokens_at_least").alias("all"))
-    rows = limits.select("limit").distinct().crossJoin(F.broadcast(last))  # one row
-    # the least length above the limit has the sums that matter: a limit finds it by one aggregation over the histogram
-    marks = sums.select(F.col("n_tokens").alias("at"), "docs_at_least", "tokens_at_least")
-    found = rows.join(F.broadcast(marks), F.col("at") > F.col("limit"), "left").groupBy("limit", "all").agg(F.min(F.struct("at", "docs_at_least", "tokens_at_least")).alias("x"))
-    d, t = F.coalesce("x.docs_at_least", F.lit(0)), F.coalesce("x.tokens_at_least", F.lit(0))
-    return found.select("limit", (F.coalesce("all", F.lit(0)) - t + F.col("limit") * d).alias("total"), d.alias("n_cut"))
+def truncated(lengths: DataFrame, limits: DataFrame) -> DataFrame:
+    """(limit, total, n_cut) for each different row of limits: tokens left if documents are cut to the limit, and how many are cut. lengths is a histogram, to which the limits are added as lengths of no document."""
+    asked = limits.select("limit").distinct()
+    marked = lengths.unionByName(asked.select((F.col("limit") + 1).alias("n_tokens"), F.lit(0).cast("bigint").alias("n_docs"))).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    # at limit + 1 stand the sums over all documents that are longer than the limit
+    found = asked.withColumn("n_tokens", F.col("limit") + 1).join(suffix_sums(marked), "n_tokens")
+    return found.select("limit", (F.col("truncated_total") - F.col("docs_at_least")).alias("total"), F.col("docs_at_least").alias("n_cut"))
 
 
 def quantile(sums: DataFrame, q: float) -> int | None:

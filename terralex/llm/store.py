@@ -1,32 +1,5 @@
 """Tables written to the shared folder to cut lineage: they outlive a lost executor."""
 
-from __future__ import annotations
+from ..sources.scratch import Shelf
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
-
-from ..sources.scratch import shared_folder
-
-
-class Shelf:
-    """Tables of one run. `drop` removes what later steps no longer read."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.root = spark, f"{shared_folder(spark)}/terralex-{name}-{uuid.uuid4().hex}"
-
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(path := f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def measured(self, df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
-        """The table and some aggregates of its rows, taken while it is written."""
-        seen = Observation()
-        out = self.put(df.observe(seen, *(c.alias(k) for k, c in sums.items())), name)
-        return out, seen.get
-
-    def drop(self, *names: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        for name in names:
-            at = path(f"{self.root}/{name}")
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["Shelf"]

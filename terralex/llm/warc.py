@@ -4,10 +4,12 @@ Archives are .warc.gz files, one gzip member for each record, in the shared fold
 `ROLL` payload bytes; file names are unique to the attempt and only the names that successful tasks report are read, so
 lost executors and repeated tasks do no harm.
 
-The reader goes through an archive by random access and holds one record at a time. A record is checked: the gzip member and
+The reader goes through an archive by random access and holds one record at a time, of any length: a payload is a cell of a
+table, so it isn't longer than one. A record is checked: the gzip member and
 its CRC, the version line, the headers, the length, and the digest. After a failed check it searches for the next place
 at which a valid member (or, in plain archives, a version line with sound headers) starts, goes on there and logs the bytes
-between as a quarantined gap with the reason. Nothing after a damaged record is lost.
+between as a quarantined gap with the reason. Nothing after a damaged record is lost. Where the number of an archive's records
+is known, as in round_trip(), a reader that finds another number fails and says which gaps it has seen.
 
 Edge cases: a null html is an empty payload; equal payloads under `SMALL` bytes are all responses; a null page_id is written
 and read as null and refers to no other record; repeated rows are records of their own (those with the response's page_id and payload are responses, too);
@@ -32,13 +34,18 @@ from pyspark.sql import functions as F
 from ._arrow import bounded
 from .store import Shelf
 
-#: Payload bytes after which a task starts a new archive; least payload of a revisit; most bytes of one record.
-ROLL, SMALL, MOST = 32 << 20, 100, 1 << 30
+#: Payload bytes after which a task starts a new archive; least payload of a revisit; archives that a task reads where there are very many.
+ROLL, SMALL, ARCHIVES = 32 << 20, 100, 16
 DATE = "2024-01-01T00:00:00Z"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 BLOCK = 1 << 16
 
 
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder or file, and its path there. Hadoop's names of object stores are those of Arrow but for s3a and s3n."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def record(kind: str, uri: str, block: bytes, headers: dict[str, str], rid: str) -> bytes:
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{rid}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", *(f"{k}: {v}" for k, v in headers.items()), "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -74,7 +81,7 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
     """(path, n_records, n_bytes) of each archive written for deduplicated() rows. Read it from a table: each evaluation writes anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = opened(folder)
         fs.create_dir(root, recursive=True)
         out, name, n, size, payload, done = None, "", 0, 0, 0, []
         for batch in batches:
@@ -129,7 +136,7 @@ class Salvage:
 
     def inflated(self, at: int) -> tuple[bytes, int]:
         """Content of the gzip member at a place, and where it ends."""
-        z, out, total, pos = zlib.decompressobj(31), [], 0, at
+        z, out, pos = zlib.decompressobj(31), [], at
         while not z.eof:
             if not (block := self.bytes_at(pos, BLOCK)):
                 raise Bad("member is cut short")
@@ -138,10 +145,18 @@ class Salvage:
             except zlib.error as e:
                 raise Bad(f"member: {e}") from None
             pos += len(block)
-            if (total := total + len(out[-1])) > MOST:
-                raise Bad("record is too long")
+            if len(out) == 1 and not VERSION.match(out[0][:10].ljust(10)) and len(out[0]) >= 10:
+                raise Bad("no version line")
         return b"".join(out), pos - len(z.unused_data)
 
+    def head_at(self, place: int) -> bytes:
+        """Bytes from a version line to the end of its headers at least, if they end; lines without a colon end the search."""
+        n, head = BLOCK, self.bytes_at(place, BLOCK)
+        while VERSION.match(head) and b"\r\n\r\n" not in head and place + n < self.size and all(b":" in x for x in head.split(b"\r\n")[1:-1]):
+            n *= 4
+            head = self.bytes_at(place, n)
+        return head
+
     def parsed(self, head: bytes) -> tuple[dict[str, str], int, int]:
         """Headers, where the block begins, and its length, of bytes that begin with a version line."""
         if not VERSION.match(head):
@@ -168,10 +183,8 @@ class Salvage:
             if len(raw) != begin + n + 4 or not raw.endswith(b"\r\n\r\n"):
                 raise Bad("length doesn't fit")
         else:
-            head = self.bytes_at(place, BLOCK)
+            head = self.head_at(place)
             headers, begin, n = self.parsed(head)
-            if n > MOST:
-                raise Bad("record is too long")
             block, end = self.bytes_at(place + begin, n), place + begin + n + 4
             if len(block) != n or self.bytes_at(end - 4, 4) != b"\r\n\r\n":
                 raise Bad("length doesn't fit")
@@ -212,8 +225,8 @@ class Salvage:
             at = found.end
 
 
-def read(archives: DataFrame, *, gaps: bool = False) -> DataFrame:
-    """Records of the archives in column `path`: (path, offset, record_type, page_id, url, payload_bytes, payload_digest, refers_to, payload). With `gaps`, the quarantined gaps instead: (path, start, end, reason)."""
+def read(archives: DataFrame, *, gaps: bool = False, whole: bool = False) -> DataFrame:
+    """Records of the archives in column `path`: (path, offset, record_type, page_id, url, payload_bytes, payload_digest, refers_to, payload). With `gaps`, the quarantined gaps instead: (path, start, end, reason). With `whole`, a ValueError in the task if an archive hasn't as many records as its `n_records`."""
     schema = "path string, start bigint, end bigint, reason string" if gaps else "path string, offset bigint, record_type string, page_id bigint, url string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -221,11 +234,12 @@ def read(archives: DataFrame, *, gaps: bool = False) -> DataFrame:
         types = [pa.string(), pa.int64(), pa.int64(), pa.string()] if gaps else [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
         batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                fs, place = pafs.FileSystem.from_uri(path)
+            for path, expected in zip(*(c.to_pylist() for c in batch.columns)):
+                fs, place = opened(path)
                 with fs.open_input_file(place) as f:
-                    salvage, rows, held = Salvage(f), [], 0
+                    salvage, rows, held, n = Salvage(f), [], 0, 0
                     for r in salvage:
+                        n += 1
                         if gaps:
                             continue
                         h, (head, _, payload) = r.headers, r.block.partition(b"\r\n\r\n")
@@ -237,17 +251,18 @@ def read(archives: DataFrame, *, gaps: bool = False) -> DataFrame:
                         if held > 4 << 20:
                             yield batch_of(rows)
                             rows, held = [], 0
+                    if whole and n != expected:
+                        raise ValueError(f"{path}: {n} records of {expected}; gaps: {salvage.gaps}")
                     if gaps:
                         rows = [(path, g.start, g.end, g.reason) for g in salvage.gaps]
                     yield batch_of(rows)
 
-    return archives.select("path").mapInArrow(run, schema)
+    return archives.select("path", "n_records" if whole else F.lit(None).cast("bigint")).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) as read back from archives written for the pages."""
     shelf = Shelf(pages.sparkSession, "warc")
-    archives = shelf.put(write(deduplicated(pages), f"{shelf.root}/archives"), "paths")
-    # one task an archive, as far as there are tasks
-    spread = archives.repartition(max(1, archives.count()), "path")
-    return read(spread).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives, seen = shelf.measured(write(deduplicated(pages), f"{shelf.root}/archives"), "paths", n=F.count(F.lit(1)))
+    tasks = max(1, min(seen["n"], max(2 * pages.sparkSession.sparkContext.defaultParallelism, -(-seen["n"] // ARCHIVES))))
+    return read(archives.repartition(tasks, "path"), whole=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -21,6 +21,19 @@ def test_each_token_is_its_own_encoding(both):
     assert all(own.merge(t) == (i,) for t, i in list(own.ranks.items())[::7])
 
 
+def test_a_vocabulary_without_the_property_is_refused(tmp_path):
+    import base64
+
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"bc", b"abc"]  # b, c merge later than a, b: abc is a, b, c -> ab, c -> abc
+    lines = lambda ts: b"\n".join(base64.b64encode(t) + f" {i}".encode() for i, t in enumerate(ts))
+    (tmp_path / "good").write_bytes(lines(tokens))
+    bpe.checked(str(tmp_path / "good"), "(?s).+")
+    for name, ts in (("no byte", tokens[1:]), ("no way", [*tokens, b"xyz"])):
+        (tmp_path / name).write_bytes(lines(ts))
+        with pytest.raises(ValueError):
+            bpe.checked(str(tmp_path / name), "(?s).+")
+
+
 @pytest.mark.parametrize("leaf", [1, 2, 6, 16])
 def test_trees_equal_the_library(both, leaf):
     own, library = bpe.Codec(both[0].ranks, tokenizer()[1], leaf=leaf, memo=500), both[1]
@@ -62,14 +75,15 @@ def test_decoding_concatenates(spark):
 
 def test_histogram_and_sums(spark, both, odd_docs, no_docs):
     n = sorted(len(both[1].encode_ordinary(r.text or "")) for r in odd_docs.collect())
-    sums = lengths.suffix_sums(lengths.histogram(odd_docs, *tokenizer())).orderBy("n_tokens").collect()
+    histogram = lengths.histogram(odd_docs, *tokenizer())
+    sums = lengths.suffix_sums(histogram).orderBy("n_tokens").collect()
     assert [(r.n_tokens, r.n_docs) for r in sums] == [(k, n.count(k)) for k in sorted(set(n))]
     for r in sums:
         assert r.docs_at_least == sum(x >= r.n_tokens for x in n) and r.tokens_at_least == sum(x for x in n if x >= r.n_tokens)
         assert r.truncated_total == sum(min(x, r.n_tokens) for x in n)
     table = spark.createDataFrame(sums)
     limits = spark.createDataFrame([(k,) for k in (0, 1, 5, 100, 2500, 10**6)], "limit long")
-    assert {r.limit: (r.total, r.n_cut) for r in lengths.truncated(table, limits).collect()} == {k: (sum(min(x, k) for x in n), sum(x > k for x in n)) for k in (0, 1, 5, 100, 2500, 10**6)}
+    assert {r.limit: (r.total, r.n_cut) for r in lengths.truncated(histogram, limits).collect()} == {k: (sum(min(x, k) for x in n), sum(x > k for x in n)) for k in (0, 1, 5, 100, 2500, 10**6)}
     for q in (0.1, 0.5, 0.9, 1.0):
         assert lengths.quantile(table, q) == next(x for x in n if sum(y <= x for y in n) >= q * len(n))
     assert lengths.suffix_sums(lengths.histogram(no_docs, *tokenizer())).count() == 0 and lengths.quantile(table.limit(0), 0.5) is None

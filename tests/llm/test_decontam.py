@@ -23,11 +23,13 @@ def brute(text, items):
             for s in range(len(w) - len(window) + 1):
                 if w[s : s + len(window)] == window:
                     hit.update(range(s, s + len(window)))
-                    found.add(str(i))
+                    found |= {str(i)} - {"None"}
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-def test_equals_brute_force(spark, odd_docs, no_docs):
+@pytest.mark.parametrize("size", [decontam.SLICE, 300])
+def test_equals_brute_force(spark, odd_docs, no_docs, monkeypatch, size):
+    monkeypatch.setattr(decontam, "SLICE", size)  # 300: several slices
     rng = random.Random(0)
     word = lambda: rng.choice(["the", "of", "and", "to"]) if rng.random() < 0.7 else "".join(rng.choices("abcé", k=3))
     items = [(k, " ".join(word() for _ in range(rng.choice([0, 1, 3, 9, 10, 11, 25])))) for k in range(40)] + [(40, None), (41, "the the the the the the the the the the the"), (None, "of of of")]
@@ -39,27 +41,25 @@ def test_equals_brute_force(spark, odd_docs, no_docs):
             parts.append(rng.choice([" ", "... ", "-\n"]).join(own[rng.randrange(3) :]).upper())
         parts.append("the " * (k % 13))
         rows.append((k, " ".join(parts)))
-    named = [(i, t) for i, t in items if i is not None]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     for r in got:
-        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute(rows[r.doc_id][1], named)
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute(rows[r.doc_id][1], items)
         assert len(r["items"]) == r.n_items
     assert decontam.contamination(odd_docs, bench, keep=("text", "lang")).count() == odd_docs.count()
     assert decontam.contamination(no_docs, bench).count() == 0
     assert not any(r.contaminated for r in decontam.contamination(odd_docs, bench.limit(0)).collect())
 
 
-def test_parts_of_a_large_benchmark(monkeypatch):
-    monkeypatch.setattr(decontam, "MAX_WINDOW_WORDS", 50)
-    parts = decontam.phrases([(str(k), f"a b c d e f g h i j k{k} l{k}") for k in range(10)])
-    assert len(parts) > 2 and sum(len(w) for p in parts for w in p.words) >= 21
+def test_windows_of_items():
+    p = decontam.phrases([(str(k % 9), f"a b c d e f g h i j k{k} l{k}") for k in range(10)] + [("x", "a b"), (None, "a b"), ("y", "")])
+    assert [w.shape for w in p.words] == [(1, 2), (21, 10)] and [len(w) for w in p.who] == [2, 30]
 
 
-def test_a_benchmark_too_large_is_refused(spark, odd_docs, monkeypatch):
-    monkeypatch.setattr(decontam, "MAX_BENCHMARK", 10)
-    with pytest.raises(ValueError):
-        decontam.contamination(odd_docs, spark.createDataFrame([(1, "more than ten bytes")], "item_id long, text string"))
+def test_an_item_without_an_id_hits_words(spark):
+    bench = spark.createDataFrame([(None, "one two three"), (4, "three four")], "item_id long, text string")
+    r = decontam.contamination(spark.createDataFrame([(1, "zero one two three four")], "doc_id long, text string"), bench).first()
+    assert (r.n_hit, r.n_items, r["items"], r.contaminated) == (4, 1, ["4"], True)
 
 
 def test_postings_and_proximity(spark):
@@ -94,7 +94,9 @@ def brute_near(text, items):
     return len(hit), sorted(found)
 
 
-def test_proximity_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("size", [decontam.SLICE, 400])
+def test_proximity_equals_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(decontam, "SLICE", size)
     monkeypatch.setattr(decontam, "MAX_PLACES", 100)
     rng = random.Random(1)
     word = lambda: rng.choice(["the", "of"]) if rng.random() < 0.5 else "".join(rng.choices("abc", k=2))

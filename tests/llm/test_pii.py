@@ -52,6 +52,80 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[100] == "please call me at [PHONE] today" and clean[0] == "please call me at [PHONE] today" and clean[101] == rows[41][1]
 
 
+def test_contexts_of_seeds_and_tokens_are_cut_alike(spark):
+    rows = [(k, f"note box7 dial +1 206 555 01{k:02d} now") for k in range(40)] + [(100, "note box7 dial 2065550199 then"), (101, "a box7 sent 2065550177 x")]
+    rows += [(200 + k, f"a box7 sent 99{k:05d} x") for k in range(20)]
+    got = {r.doc_id: r.spans for r in pii.report(pii.find(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id").collect()}
+    assert got[100] == "phone:15:25" and got[101] == "" and all(got[200 + k] == "" for k in range(20))
+
+
+def test_what_is_found_induces_patterns(spark):
+    rows = [(k, f"dial +1 206 555 01{k:02d}") for k in range(40)]
+    for k in range(4):  # found after "dial" first, then believed in where they stand after "reach"
+        rows += [(100 + 10 * k + j, f"dial 20655501{k:02d}") for j in range(2)] + [(200 + 10 * k + j, f"or reach 20655501{k:02d}") for j in range(5)]
+    rows.append((400, "or reach 9995550177"))
+    got = {r.doc_id: r.spans for r in pii.report(pii.find(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id").collect()}
+    assert got[100] == "phone:5:15" and got[200] == "phone:9:19" and got[400] == "phone:9:19"
+
+
+def loop(edges, rounds=pii.ROUNDS):
+    """Belief propagation over (pattern, value, kind, n) by plain loops."""
+    total, belief = {}, {}
+    for p, _, _, n in edges:
+        total[p] = total.get(p, 0) + n
+    for _ in range(rounds):
+        held, sure = {}, {}
+        for p, v, kind, n in edges:
+            for k, b in [(kind, 1.0)] if kind else [(k, b) for (w, k), (b, _) in belief.items() if w == v]:
+                held[p, k] = held.get((p, k), 0) + n * b
+                if b >= pii.CONFIDENCE:
+                    sure.setdefault((p, k), set()).add(v)
+        score = {pk: h / (total[pk[0]] + 1) for pk, h in held.items() if len(sure.get(pk, ())) >= pii.SEEDS}
+        score = {pk: x for pk, x in score.items() if x >= pii.CONFIDENCE / 2}
+        doubts = {}
+        for p, v, kind, _ in edges:
+            if not kind:
+                for (q, k), x in score.items():
+                    if p == q:
+                        doubts.setdefault((v, k), []).append(x)
+        belief = {}
+        for vk, xs in doubts.items():
+            d = 1.0
+            for x in xs:
+                d *= 1 - min(x, 0.999)
+            belief[vk] = (1 - d, max(xs))
+    best = {}
+    for (v, k), (b, top) in belief.items():
+        if b >= pii.CONFIDENCE and top >= pii.CONFIDENCE and (b, k) > best.get(v, (0, "")):
+            best[v] = (b, k)
+    return best
+
+
+def test_scores_equal_a_plain_loop(spark):
+    import random
+
+    from terralex.llm.store import Shelf
+
+    rng = random.Random(5)
+    edges = {(f"p{rng.randrange(12)}", f"v{rng.randrange(40)}", rng.choice(["phone", "email", None, None])): rng.randint(1, 5) for _ in range(220)}
+    edges |= {("good", f"s{k}", "phone"): 4 for k in range(8)} | {("good", f"v{k}", None): 1 for k in range(6)} | {("more", f"v{k}", None): 3 for k in range(5)} | {("more", "last", None): 1}
+    rows = [(*k, n) for k, n in edges.items()]
+    got = pii.discovered(spark.createDataFrame(rows, "pattern string, value string, kind string, n long"), Shelf(spark, "t"))
+    got = {r.value: (r.belief, r.kind) for r in got.collect()}
+    want = loop(rows)
+    assert got.keys() == want.keys() and "last" in got
+    assert all(got[v][1] == want[v][1] and got[v][0] == pytest.approx(want[v][0]) for v in want)
+
+
+def test_a_text_of_some_megabytes(spark):
+    unit = "call +1 206 555 0100 or 20655501 a@b.cd, 7 "
+    text = unit * 25_000
+    r = pii.report(pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")), "doc_id").first()
+    want = brute(text)
+    assert [r[f"n_{k}"] for k in BASE] == [sum(w[0] == k for w in want) for k in BASE]
+    assert r.base_sha256 == hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in want).encode()).hexdigest()
+
+
 def test_no_python_runs(spark):
     plan = pii.base(spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -85,3 +85,22 @@ def test_gaps_are_logged(spark, tmp_path):
     archives = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "path string")
     gap = warc.read(archives, gaps=True).collect()
     assert [(g.start, g.end) for g in gap] == [(len(parts[0]), len(parts[0]) + 50)] and [r.page_id for r in warc.read(archives).collect()] == [0, 2]
+
+
+def test_headers_and_records_of_any_length(monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 64)  # headers are longer than what is read at once
+    html = b"y" * 100_000
+    raw = warc.page_record(1, "http://a.b/" + "u" * 5000, html, hashlib.sha256(html).hexdigest(), None)
+    for packed in (gzip.compress(raw), raw):
+        assert pages_in(packed + packed) == ([1, 1], [])
+    got, gaps = pages_in(b"WARC/1.1\r\nno end: " + b"z" * 1000 + raw)
+    assert got == [1] and len(gaps) == 1
+
+
+def test_a_record_that_is_lost_fails_the_round_trip(spark, tmp_path):
+    parts = [gzip.compress(r) for r in records(3)]
+    (tmp_path / "b.warc.gz").write_bytes(parts[0] + parts[1][:-3] + parts[2])
+    archives = spark.createDataFrame([(f"file://{tmp_path}/b.warc.gz", 3)], "path string, n_records long")
+    assert warc.read(archives).count() == 2
+    with pytest.raises(Exception, match="2 records of 3"):
+        warc.read(archives, whole=True).collect()
