@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from .spatial import nearest
 
-#: Circles of a fence that are judged for a position. Most circles that are sent to all tasks; beyond it they are joined by fence.
-NEAREST, BROADCAST_CIRCLES = 3, 256
+#: Circles of a fence that are judged for a position.
+NEAREST = 3
 
 
 def upsert(changes: DataFrame) -> DataFrame:
@@ -28,20 +28,16 @@ def classify(moved: DataFrame, circles: DataFrame, k: int = NEAREST) -> DataFram
     """(move_id, point_id, fence, key, status) of steps against circles: the k nearest by center of the step's fence, or of each fence if steps have no column fence.
 
     in, in: INSIDE. in, out: EXIT and OUTSIDE. out, in: ENTER and INSIDE. out, out: CROSS if the step meets the circle,
-    else OUTSIDE. At the first sighting the position before is outside and can't cross.
-    Up to a checked number, circles are broadcast and each step meets those of its fence. Beyond it the nearest circles
-    come from the grid.
+    else OUTSIDE. At the first sighting the position before is outside and can't cross. A step without a position
+    has no events; a step after one without a position is a first sighting. Circles are found by the grid, however many there are.
     """
-    own = circles.select("fence", "key", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), "radius")
-    if "fence" not in moved.columns:  # fence names are few beside circles and moves
-        moved = moved.crossJoin(F.broadcast(circles.select("fence").distinct()))
+    own = circles.select("fence", F.col("key").alias("id"), "lat", "lon", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), "radius")
+    if "fence" not in moved.columns:  # each step is judged against each fence: the result has that many rows
+        moved = moved.crossJoin(circles.select("fence").distinct())
+    steps_ = moved.select(F.struct("move_id", "fence").alias("query_id"), "point_id", "fence", "lat", "lon", "old_lat", "old_lon", F.col("lat").alias("new_lat"), F.col("lon").alias("new_lon"))
+    found = nearest(steps_, own, k, by=("fence",), keep=("point_id", "old_lat", "old_lon", "new_lat", "new_lon", "c_lat", "c_lon", "radius"))
+    ranked = found.select("query_id.move_id", "query_id.fence", F.col("id").alias("key"), "point_id", "old_lat", "old_lon", F.col("new_lat").alias("lat"), F.col("new_lon").alias("lon"), "c_lat", "c_lon", "radius")
     at = lambda p: (F.col(f"{p}lat"), F.col(f"{p}lon"), F.col("c_lat"), F.col("c_lon"))
-    if circles.limit(BROADCAST_CIRCLES + 1).count() <= BROADCAST_CIRCLES:
-        pairs = moved.join(F.broadcast(own), "fence").withColumn("d", F.round(geo.equirect(*at("")), 6))
-        ranked = pairs.withColumn("n", F.row_number().over(Window.partitionBy("move_id", "fence").orderBy("d", "key"))).where(F.col("n") <= k)
-    else:
-        found = nearest(moved.select(F.struct("move_id", "fence").alias("query_id"), "fence", "lat", "lon"), circles.select(F.col("key").alias("id"), "fence", "lat", "lon"), k, by=("fence",))
-        ranked = moved.join(found.select("query_id.move_id", "query_id.fence", F.col("id").alias("key")), ["move_id", "fence"]).join(own, ["fence", "key"])
     now = geo.in_circle(*at(""), F.col("radius"))
     before = F.coalesce(geo.in_circle(*at("old_"), F.col("radius")), F.lit(False))
     meets = geo.crosses_circle(F.col("old_lat"), F.col("old_lon"), F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"), F.col("radius"))

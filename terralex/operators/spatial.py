@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..sources.scratch import kept
+from ..sources.scratch import Shelf
 
 #: Kilometres of a degree of latitude.
 DEGREE = math.pi * geo.EARTH_KM / 180
+#: The column of the cell that is a whole band.
+BAND = -(1 << 60)
 METRICS = {"equirect": geo.equirect, "haversine": geo.haversine}
 
 
@@ -70,40 +72,93 @@ def nearby(queries: DataFrame, places: DataFrame, feature: str | None, km: float
     return page(within(queries, places, km, feature), k, offset)
 
 
-def nearest(queries: DataFrame, places: DataFrame, k: int = 1, metric: str = "equirect", start_km: float = 2.0, by: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, id, dist, rank): exactly the k nearest places of each query (all of them if there are fewer). With `by`, of the places that agree with it in these columns.
+def flattest(lo: Column, hi: Column) -> Column:
+    """The least |cos| between two numbers."""
+    zero = F.floor((lo - math.pi / 2) / math.pi) != F.floor((hi - math.pi / 2) / math.pi)
+    return F.when(zero, 0.0).otherwise(F.least(F.abs(F.cos(lo)), F.abs(F.cos(hi))))
+
+
+def plane(left: DataFrame, known: DataFrame, d: float, bands: bool) -> tuple[DataFrame, DataFrame]:
+    """Queries (qlat, qlon) and places (lat, lon) with the cells in which those within the pseudo-distance d (in degrees) meet.
+
+    The pseudo-distance scales longitudes by the cosine of the mean latitude taken as radians. Where that isn't near zero it
+    bounds longitudes, too, and cells are squares. With `bands`, places are also in a cell for their whole band of
+    latitude, which queries near a zero use.
+    """
+    c = flattest(F.col("qlat") - d / 2, F.col("qlat") + d / 2)
+    at = lambda x: F.floor((x + 720.0) / d)
+    wide = c < 0.125
+    rows, half = F.sequence(at(F.col("qlat") - d), at(F.col("qlat") + d)), d / F.greatest(c, F.lit(0.125)) * (1 + 1e-9)
+    columns = F.when(wide, F.array(F.lit(BAND))).otherwise(F.sequence(at(F.col("qlon") - half), at(F.col("qlon") + half)))
+    a = left.withColumn("y", F.explode(rows)).withColumn("x", F.explode(columns))
+    y, x = at(F.col("lat")), at(F.col("lon"))
+    b = known.withColumns({"y": y, "x": F.explode(F.array(x, F.lit(BAND)))}) if bands else known.withColumns({"y": y, "x": x})
+    return a, b
+
+
+def sphere(left: DataFrame, known: DataFrame, km: float) -> tuple[DataFrame, DataFrame]:
+    """Queries and places with the cells in which those within a distance meet."""
+    size = min(45.0, max(km / DEGREE, 1e-4))
+    a = left.select("*", F.explode(cells(*around(F.col("qlat"), F.col("qlon"), km), size)).alias("cell")).select("*", "cell.*").drop("cell")
+    return a, known.select("*", cell(F.col("lat"), F.col("lon"), size).alias("cell")).select("*", "cell.*").drop("cell")
+
+
+#: Places that are sent to all tasks, at most: 100 bytes each.
+BROADCAST_PLACES = 100_000
+
+
+def nearest(queries: DataFrame, places: DataFrame, k: int = 1, metric: str = "equirect", start_km: float | None = None, by: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, id, dist, rank, *keep): exactly the k nearest places of each query (all of them if there are fewer). With `by`, of the places that agree with it in these columns. keep: columns of either side to carry along. Queries and places without a position have no part.
 
     A round joins queries with the places around them. A query that has k places within the round's radius is answered, as
-    no place outside can be nearer; the others go on with four times the radius. The pseudo-distance bounds latitudes only,
-    so for it the cells are bands of latitude.
+    no place outside can be nearer; the others go on with four times the radius. The first radius is where k places are
+    expected at the places' mean density, so most queries are answered by one round.
     """
+    shelf = Shelf(queries.sparkSession, "nearest")
     dist = METRICS[metric](F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon"))
-    left = queries.select("query_id", *by, F.col("lat").alias("qlat"), F.col("lon").alias("qlon")).where("qlat is not null and qlon is not null")
-    known = places.select("id", *by, "lat", "lon").where("lat is not null and lon is not null")
-    most = math.pi * geo.EARTH_KM if metric == "haversine" else 400.0 * geo.EARTH_KM
-    km, done = start_km if metric == "haversine" else start_km * geo.EARTH_KM / DEGREE, None
+    own = lambda df: [c for c in keep if c in df.columns]
+    left = queries.select("query_id", *by, *own(queries), F.col("lat").alias("qlat"), F.col("lon").alias("qlon")).where("qlat is not null and qlon is not null")
+    known = places.select("id", *by, "lat", "lon", *(c for c in own(places) if c not in ("lat", "lon"))).where("lat is not null and lon is not null")
+    sums = lambda y, x: {"n": F.count(F.lit(1)), **{f"{f.__name__}_{c}": f(c) for f in (F.min, F.max) for c in (y, x)}}
+    left, asked = shelf.measured(left, "queries", **sums("qlat", "qlon"))
+    groups = {"groups": F.approx_count_distinct(F.struct(*by))} if by else {}
+    groups["spots"] = F.approx_count_distinct(F.struct(F.floor(F.col("lat") * 100), F.floor(F.col("lon") * 100)))
+    known, there = shelf.measured(known, "places", **sums("lat", "lon"), **groups)
+    kind = f"query_id {left.schema['query_id'].dataType.simpleString()}"
+    carried = [c for c in keep if c in left.columns or c in known.columns]
+    if not asked["n"] or not there["n"]:
+        empty = ", ".join([kind, f"id {known.schema['id'].dataType.simpleString()}", "dist double", *(f"`{c}` {(left if c in left.columns else known).schema[c].dataType.simpleString()}" for c in carried), "rank bigint"])
+        return queries.sparkSession.createDataFrame([], empty)
+    unit, most = (DEGREE, math.pi * geo.EARTH_KM) if metric == "haversine" else (geo.EARTH_KM, 800.0 * geo.EARTH_KM)
+    km = start_km if start_km is not None else max(1e-3, unit * math.sqrt((2 * k + 2) / math.pi / density(there)))
+    todo, done, round_ = asked["n"], None, 0
     while True:
         last = km >= most
+        d = min(km, most)
         if metric == "haversine":
-            size = min(45.0, max(km / DEGREE, 1e-4))
-            a = left.select("*", F.explode(cells(*around(F.col("qlat"), F.col("qlon"), min(km, most)), size)).alias("cell"))
-            b = known.select("*", cell(F.col("lat"), F.col("lon"), size).alias("cell"))
+            a, b = sphere(left, known, d)
         else:
-            size, d = km / geo.EARTH_KM, km / geo.EARTH_KM
-            a = left.select("*", F.explode(F.sequence(F.floor((F.col("qlat") - d + 90.0) / size), F.floor((F.col("qlat") + d + 90.0) / size))).alias("cell"))
-            b = known.select("*", F.floor((F.col("lat") + 90.0) / size).alias("cell"))
-        hits = a.join(b, ["cell", *by]).withColumn("dist", dist)
+            lo, hi = asked["min_qlat"] - d / unit / 2, asked["max_qlat"] + d / unit / 2
+            a, b = plane(left, known, d / unit, bands=hi - lo > 1 or min(abs(math.cos(lo)), abs(math.cos(hi))) < 0.5)
+        b = F.broadcast(b) if there["n"] <= BROADCAST_PLACES else b
+        hits = a.join(b, ["y", "x", *by]).withColumn("dist", dist)
         hits = hits if last else hits.where(F.col("dist") <= km)
-        ranked = kept(page(hits.select("query_id", "id", "dist"), k))
-        full = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
-        answered = ranked if last else ranked.join(full, "query_id", "left_semi")
+        ranked, seen = shelf.measured(page(hits.select("query_id", "id", "dist", *carried), k), f"hits-{round_}", full=F.count_if(F.col("rank") == k))
+        todo -= seen["full"]
+        if last or not todo:
+            return ranked if done is None else done.unionByName(ranked)
+        full = ranked.where(F.col("rank") == k).select("query_id")
+        answered = ranked.join(full, "query_id", "left_semi")
         done = answered if done is None else done.unionByName(answered)
-        if last:
-            return done
-        left = kept(left.join(full, "query_id", "left_anti"))
-        if not left.limit(1).count():
-            return done
-        km *= 4
+        left = left.join(full, "query_id", "left_anti")
+        km, round_ = km * 4, round_ + 1
+
+
+def density(there: dict) -> float:
+    """Places of a group for each square degree: of the spots of 0.01 degrees that have any, or of the whole box where places stand further apart."""
+    box = max((there["max_lat"] - there["min_lat"]) * (there["max_lon"] - there["min_lon"]), 1e-6)
+    area = box if 2 * there["spots"] > there["n"] else min(box, there["spots"] * 1e-4)
+    return there["n"] / max(1, there.get("groups", 1)) / area
 
 
 def reverse_geocode(queries: DataFrame, places: DataFrame, metric: str = "equirect") -> DataFrame:

@@ -34,6 +34,18 @@ def test_nearest_equals_brute_force(spark, metric, f, box):
         assert [d for _, d in mine] == pytest.approx([d for d, _ in want], abs=2e-6)
 
 
+@pytest.mark.parametrize("metric,f", [("haversine", km), ("equirect", pseudo)])
+def test_nearest_by_groups_without_a_first_radius(spark, metric, f):
+    rng = random.Random(11)
+    places = [(k, "ab"[k % 2], rng.gauss(-6, 0.01) if k % 3 else rng.uniform(-80, 80), rng.gauss(106, 0.01) if k % 3 else rng.uniform(-180, 180), k * 2) for k in range(400)]
+    queries = [(k, "ab"[k % 2], rng.uniform(-6.1, -5.9), rng.uniform(105.9, 106.1)) for k in range(10)] + [(k, "a", rng.uniform(-90, 90), rng.uniform(-180, 180)) for k in range(10, 20)] + [(20, "c", 0.0, 0.0)]
+    got = spatial.nearest(spark.createDataFrame(queries, "query_id long, g string, lat double, lon double"), spark.createDataFrame(places, "id long, g string, lat double, lon double, more long"), 3, metric, by=("g",), keep=("more",)).collect()
+    assert len(got) == 60 and all(r.more == 2 * r.id for r in got)
+    for q, g, a, o in queries[:-1]:
+        mine = [r.dist for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+        assert mine == pytest.approx(sorted(round(f(a, o, y, x), 6) for _, h, y, x, _ in places if h == g)[:3], abs=2e-6)
+
+
 def test_within_and_feature(spark):
     rng = random.Random(3)
     places = [(k, rng.uniform(-6.3, -6.0), rng.uniform(106.5, 107), [f"amenity={k % 3}"]) for k in range(300)]
@@ -88,11 +100,17 @@ def test_transitions(spark):
     got = sorted((r.move_id, r.status) for r in geofence.classify(geofence.steps(moves(spark)), fences(spark)).collect())
     want = [(1, "OUTSIDE"), (2, "OUTSIDE"), (3, "ENTER"), (3, "INSIDE"), (4, "INSIDE"), (5, "EXIT"), (5, "OUTSIDE"), (6, "OUTSIDE"), (7, "CROSS")]
     assert got == want
-    old, geofence.BROADCAST_CIRCLES = geofence.BROADCAST_CIRCLES, 0
-    try:
-        assert sorted((r.move_id, r.status) for r in geofence.classify(geofence.steps(moves(spark)), fences(spark)).collect()) == want
-    finally:
-        geofence.BROADCAST_CIRCLES = old
+
+
+def test_steps_without_a_position(spark):
+    rows = [(1, 7, 1, -6.0, 106.0), (2, 7, 2, None, None), (3, 7, 3, -6.0, 106.0)]
+    moved = geofence.steps(spark.createDataFrame(rows, "move_id long, point_id long, ts long, lat double, lon double").withColumn("ts", F.timestamp_seconds("ts")))
+    for n in (5, 300):
+        circles = spark.createDataFrame([("f", k, -6.0 + k / 10, 106.0, 1.0) for k in range(n)], "fence string, key long, lat double, lon double, radius double")
+        got = sorted((r.move_id, r.key, r.status) for r in geofence.classify(moved, circles).collect())
+        want = [(m, k, s) for m in (1, 3) for k, s in ((0, "ENTER"), (0, "INSIDE"), (1, "OUTSIDE"), (2, "OUTSIDE"))]
+        assert got == want
+    assert geofence.classify(moved, circles.limit(0)).count() == 0
 
 
 def test_stream_over_batches_and_a_restart(spark, tmp_path):
