@@ -37,8 +37,8 @@ PATTERNS = {
 }
 #: Identifier-like tokens: runs of these characters with a digit or an @.
 TOKEN = r"(?<![A-Za-z0-9+@._%-])[A-Za-z+._%-]*+[0-9@][A-Za-z0-9+@._%-]*+"
-#: Items of a block in which positions are summed up, or tokens are held against spans.
-BLOCK = 64
+#: Items of a block in which positions are summed up; tokens of a block that is held against the spans near it, which come from those near a larger block.
+BLOCK, NEAR = 64, (4096, 64)
 #: Rounds over the graph; least confidence of a pattern and belief in an instance; least different instances believed in of a pattern.
 ROUNDS, CONFIDENCE, SEEDS = 3, 0.8, 3
 
@@ -58,9 +58,9 @@ def counted(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
-def blocks(items: Column) -> Column:
-    """The items of an array in arrays of `BLOCK`."""
-    return F.transform(counted(F.ceil(F.size(items) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, BLOCK))
+def blocks(items: Column, size: int) -> Column:
+    """The items of an array in arrays of some size."""
+    return F.transform(counted(F.ceil(F.size(items) / size).cast("int")), lambda b: F.slice(items, b * size + 1, size))
 
 
 def before(values: Column, zero: Column, plus: Callable[[Column, Column], Column]) -> Column:
@@ -74,7 +74,7 @@ def before(values: Column, zero: Column, plus: Callable[[Column, Column], Column
         heads = F.aggregate(F.transform(parts, total), F.array(zero), lambda acc, x: F.concat(acc, F.array(plus(F.element_at(acc, -1), x))))
         return let(heads, lambda h: F.flatten(F.zip_with(parts, F.slice(h, F.lit(1), F.size(parts)), within)))
 
-    return let(values, lambda v: let(blocks(v), all_of))
+    return let(values, lambda v: let(blocks(v, BLOCK), all_of))
 
 
 def located(text: Column, matches: Column, pattern: str) -> Column:
@@ -142,25 +142,34 @@ def _with_patterns(tokens: Column, tail: Column) -> Column:
     return F.transform(tokens, own)
 
 
-def _clear(tokens: Column, spans: Column) -> Column:
-    """Tokens that no span overlaps; both in order of their starts."""
+def _held(tokens: Column, spans: Column, body: Callable[[Column, Column], Column], sizes: tuple[int, ...] = NEAR) -> Column:
+    """What body makes of each block of tokens and the spans that reach into it, one after another; both are in order of their starts."""
 
     def of(block: Column) -> Column:
         low, high = F.get(block, F.lit(0))["start"], F.element_at(block, -1)["end"]
-        return let(F.filter(spans, lambda s: (s["end"] > low) & (s["start"] < high)), lambda near: F.filter(block, lambda t: ~F.exists(near, lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))))
+        near = F.filter(spans, lambda s: (s["end"] > low) & (s["start"] < high))
+        return let(near, lambda n: body(block, n) if len(sizes) == 1 else _held(block, n, body, sizes[1:]))
 
-    return F.flatten(F.transform(blocks(tokens), of))
+    return F.flatten(F.transform(blocks(tokens, sizes[0]), of))
 
 
-def _begun(tokens: Column, spans: Column, kind: str) -> Column:
+def _clear(block: Column, near: Column) -> Column:
+    """Tokens that no span overlaps."""
+    return F.filter(block, lambda t: ~F.exists(near, lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
+
+
+def _begun(block: Column, near: Column) -> Column:
     """array<struct<kind,value,patterns>>: for each span the patterns of the token it begins in."""
 
-    def of(block: Column) -> Column:
-        low, high = F.get(block, F.lit(0))["start"], F.element_at(block, -1)["end"]
-        met = F.filter(spans, lambda s: (s["start"] >= low) & (s["start"] < high))
-        return F.flatten(F.transform(met, lambda s: F.transform(F.filter(block, lambda t: (t["start"] <= s["start"]) & (t["end"] > s["start"])), lambda t: F.struct(F.lit(kind).alias("kind"), s["value"].alias("value"), t["patterns"].alias("patterns")))))
+    def of(t: Column) -> Column:
+        own = F.filter(near, lambda s: (s["start"] >= t["start"]) & (s["start"] < t["end"]))
+        return F.transform(own, lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), t["patterns"].alias("patterns")))
+
+    return F.flatten(F.transform(block, of))
+
 
-    return F.flatten(F.transform(blocks(tokens), of))
+def _of_kind(kind: str):
+    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(kind).alias("kind"))
 
 
 def base(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -173,9 +182,11 @@ def base(docs: DataFrame, text_col: str = "text") -> DataFrame:
     like = lambda s: (F.length(s["value"]) >= 6) & (s["value"].contains("@") | (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= 5))
     trim = lambda v: F.rtrim(v, F.lit("._%+-"))
     trimmed = F.filter(F.transform("__tokens", lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(trim(s["value"]))).alias("end"), trim(s["value"]).alias("value"), s["patterns"].alias("patterns"))), like)
-    every = F.array_sort(F.concat(*(F.col(f"spans_{k}") for k in KINDS)))
-    out = out.withColumn("tokens", F.when(F.size(every) > 0, let(every, lambda e: let(trimmed, lambda t: _clear(t, e)))).otherwise(trimmed))
-    out = out.withColumn("seeds", F.when(F.size(every) > 0, F.concat(*(_begun(F.col("__tokens"), F.col(f"spans_{k}"), k) for k in KINDS))).otherwise(F.array().cast("array<struct<kind:string,value:string,patterns:array<string>>>")))
+    every = F.array_sort(F.concat(*(F.transform(f"spans_{k}", _of_kind(k)) for k in KINDS)))
+    found = lambda e: F.struct(let(trimmed, lambda t: _held(t, e, _clear)).alias("tokens"), _held(F.col("__tokens"), e, _begun).alias("seeds"))
+    alone = F.struct(trimmed.alias("tokens"), F.array().cast("array<struct<kind:string,value:string,patterns:array<string>>>").alias("seeds"))
+    out = out.withColumn("__found", F.when(F.size(F.concat(*(f"spans_{k}" for k in KINDS))) > 0, let(every, found)).otherwise(alone))
+    out = out.withColumns({"tokens": F.col("__found.tokens"), "seeds": F.col("__found.seeds")}).drop("__found")
     return out.drop("__t", "__tokens", "__l_token", "__tail", *(f"__m_{k}" for k in (*KINDS, "token")))
 
 
@@ -241,7 +252,7 @@ def redacted(found: DataFrame, text_col: str = "text") -> Column:
     text = F.col(text_col)
 
     def put(m: Column) -> Column:
-        reach = before(F.transform(m, lambda s: s["end"]), F.lit(0), F.greatest)
+        reach = before(F.transform(m, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
         parts = F.zip_with(m, reach, lambda s, r: F.when(s["start"] >= r, F.concat(F.substring(text, r + 1, s["start"] - r), s["mark"])).otherwise(F.lit("")))
         return F.concat(F.array_join(parts, ""), F.substring(text, F.array_max(F.transform(m, lambda s: s["end"])) + 1, F.length(text)))
 

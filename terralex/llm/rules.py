@@ -29,7 +29,12 @@ from ._arrow import BLACK, U64, bounded, mix, runs, span_hashes, steps, utf8
 
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 LONG, LINKS, KEPT_SHARE = 40, 8, 0.5
-BOILERPLATE = ("cookie", "cookies", "javascript", "copyright", "login", "logout", "subscribe", "newsletter", "sitemap", "privacy", "reserved", "rights", "terms", "menu")
+#: Words of navigation, legal and account lines, in English, German, Spanish and French.
+BOILERPLATE = (
+    "cookie", "cookies", "javascript", "copyright", "login", "logout", "subscribe", "newsletter", "sitemap", "privacy", "reserved", "rights", "terms", "menu",
+    "datenschutz", "impressum", "anmelden", "abmelden", "registrieren", "agb", "urheberrecht", "privacidad", "reservados", "derechos", "suscribirse",
+    "suscribase", "registrarse", "confidentialit\u00e9", "mentions", "abonner", "inscription", "r\u00e9serv\u00e9s", "droits", "connexion",
+)
 
 
 def _set(chars: bytes) -> np.ndarray:

@@ -34,6 +34,8 @@ from ._arrow import U64, bounded, mix, steps, utf8
 
 #: Bytes of a string that counts as repeated; of the strings whose least hash deals windows out; depth of the first sort.
 LENGTH, KMER, SHALLOW = 100, 32, 24
+#: Bytes of text for each bucket.
+BUCKET = 2 << 20
 #: Different runs of a key in one batch from which on they are worked off before they travel.
 COMBINE = 8
 
@@ -321,7 +323,8 @@ def removed(docs: DataFrame, keys: DataFrame, buckets: int, length: int = LENGTH
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary, spans array<struct<start,end>>) for each row. Without `text`, no kept bytes and spans."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))  # a bucket's bytes stay the same as the corpus grows
     rows = bounded(docs).select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spans = removed(rows, counted_keys(rows, buckets), buckets).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary, spans array<struct<start:bigint,end:bigint>>" * text
