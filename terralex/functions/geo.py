@@ -56,6 +56,21 @@ def overlaps(a: str, b: str) -> Column:
     return (F.col(f"{a}lo_lat") < F.col(f"{b}hi_lat")) & (F.col(f"{b}lo_lat") < F.col(f"{a}hi_lat")) & (F.col(f"{a}lo_lon") < F.col(f"{b}hi_lon")) & (F.col(f"{b}lo_lon") < F.col(f"{a}hi_lon"))
 
 
+def same(a: str, b: str) -> Column:
+    """Whether two boxes have the same corners."""
+    return (F.col(f"{a}lo_lat") == F.col(f"{b}lo_lat")) & (F.col(f"{a}lo_lon") == F.col(f"{b}lo_lon")) & (F.col(f"{a}hi_lat") == F.col(f"{b}hi_lat")) & (F.col(f"{a}hi_lon") == F.col(f"{b}hi_lon"))
+
+
+def united(a: str, b: str) -> dict[str, Column]:
+    """The least box around two, by column."""
+    return {f"lo_{x}": F.least(f"{a}lo_{x}", f"{b}lo_{x}") for x in ("lat", "lon")} | {f"hi_{x}": F.greatest(f"{a}hi_{x}", f"{b}hi_{x}") for x in ("lat", "lon")}
+
+
+def box_area(box: str = "") -> Column:
+    """Square degrees of a box."""
+    return (F.col(f"{box}hi_lat") - F.col(f"{box}lo_lat")) * (F.col(f"{box}hi_lon") - F.col(f"{box}lo_lon"))
+
+
 def contains(lat: Column, lon: Column, box: str = "") -> Column:
     """A point in or on a box."""
     return lat.between(F.col(f"{box}lo_lat"), F.col(f"{box}hi_lat")) & lon.between(F.col(f"{box}lo_lon"), F.col(f"{box}hi_lon"))

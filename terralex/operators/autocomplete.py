@@ -9,7 +9,6 @@ from ..functions.text import tokens
 from .index import Index, doc_freq
 from .lm import Model
 from .rank import FIELD_B, K1_FIELDS, NAME_WEIGHT, idf_fields
-from .spell import ranked
 
 
 def prefix_terms(vocabulary: DataFrame, prefix: str) -> DataFrame:
@@ -26,13 +25,12 @@ def expansions(prefixes: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def candidates(queries: DataFrame, vocabulary: DataFrame, model: Model, k: int = 3) -> DataFrame:
     """(query_id, tokens, logp, rank): the k likeliest queries whose last word is a term with the typed prefix."""
-    terms = queries.select("query_id", tokens(F.col("query")).alias("t")).where("size(t) > 0")
-    last = terms.select("query_id", (F.size("t") - 1).alias("pos"), F.element_at("t", -1).alias("prefix"))
-    found = expansions(last, vocabulary).groupBy("prefix").agg(F.array_sort(F.collect_list("term")).alias("options"))
-    options = last.join(found, "prefix").select("query_id", "pos", "options")
-    before = terms.select("query_id", F.posexplode(F.slice("t", F.lit(1), F.size("t") - 1)).alias("pos", "term")).select("query_id", "pos", F.array("term").alias("options"))
-    # a query whose prefix has no term has no candidate
-    return ranked(before.join(options.select("query_id"), "query_id", "left_semi").unionByName(options), model, k)
+    terms = queries.select("query_id", tokens(F.col("query")).alias("t")).where("size(t) > 0").withColumn("prefix", F.element_at("t", -1))
+    # a row for each candidate: only the last word has several options
+    rows = terms.join(expansions(terms, vocabulary), "prefix").select("query_id", "term", F.concat(F.slice("t", F.lit(1), F.size("t") - 1), F.array("term")).alias("tokens")).withColumn("seq_id", F.struct("query_id", "term"))
+    scored = rows.join(model.score(rows.select("seq_id", "tokens")), "seq_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last(F.round("logp", 9)), "term")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "tokens", "logp", "rank")
 
 
 def conjunctive(index: Index, candidates: DataFrame) -> DataFrame:

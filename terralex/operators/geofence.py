@@ -18,10 +18,43 @@ def upsert(changes: DataFrame) -> DataFrame:
     return changes.withColumn("n", F.row_number().over(last)).where("n = 1 and radius is not null").select("fence", "key", "lat", "lon", "radius")
 
 
-def steps(moves: DataFrame) -> DataFrame:
-    """Moves (move_id, point_id, ts, lat, lon) with the position before: null at the first sighting."""
+def created(fences: DataFrame, names: DataFrame) -> DataFrame:
+    """Fences (fence) with new ones; ValueError if a name is taken already or given twice."""
+    taken = names.select("fence").unionByName(fences.select("fence").distinct()).groupBy("fence").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(5).collect()
+    if taken:
+        raise ValueError(f"fences exist already: {sorted(r['fence'] for r in taken)}")
+    return fences.select("fence").unionByName(names.select("fence"))
+
+
+def deleted(fences: DataFrame, circles: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fences and circles without those of the named fences; names that aren't there don't matter."""
+    return tuple(t.join(names.select("fence"), "fence", "left_anti").select(*t.columns) for t in (fences, circles))
+
+
+def known(fences: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows, if all their fences exist; ValueError if not."""
+    missing = rows.select("fence").distinct().join(fences.select("fence"), "fence", "left_anti").limit(5).collect()
+    if missing:
+        raise ValueError(f"no such fence: {sorted(r['fence'] for r in missing)}")
+    return rows
+
+
+def positioned(positions: DataFrame, moves: DataFrame) -> DataFrame:
+    """(point_id, lat, lon): stored positions after moves (move_id, point_id, ts, lat, lon), without any fence being judged."""
+    last = moves.groupBy("point_id").agg(F.max_by(F.struct("lat", "lon"), F.struct("ts", "move_id")).alias("p")).select("point_id", "p.lat", "p.lon")
+    return positions.select("point_id", "lat", "lon").join(last, "point_id", "left_anti").unionByName(last)
+
+
+def steps(moves: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+    """Moves (move_id, point_id, ts, lat, lon) with the position before: null at the first sighting, unless positions (point_id, lat, lon) have one."""
     w = Window.partitionBy("point_id").orderBy("ts", "move_id")
-    return moves.withColumns({"old_lat": F.lag("lat").over(w), "old_lon": F.lag("lon").over(w)})
+    out = moves.withColumns({"old_lat": F.lag("lat").over(w), "old_lon": F.lag("lon").over(w)})
+    if positions is None:
+        return out
+    stored = positions.select("point_id", F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+    first = F.row_number().over(w) == 1
+    out = out.withColumn("__first", first).join(stored, "point_id", "left")
+    return out.withColumns({f"old_{c}": F.when(F.col("__first"), F.col(f"__{c}")).otherwise(F.col(f"old_{c}")) for c in ("lat", "lon")}).drop("__first", "__lat", "__lon")
 
 
 def classify(moved: DataFrame, circles: DataFrame, k: int = NEAREST) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ngrams
 
-START, END, ORDER, DISCOUNT = "<s>", "</s>", 4, 0.4
+START, END, UNK, ORDER, DISCOUNT = "<s>", "</s>", "<unk>", 4, 0.4
 
 
 def padded(tokens: Column, n: int) -> Column:
@@ -29,6 +29,15 @@ def occurrences(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     return marked.select(F.explode(F.concat(*(ngrams(F.col(f"p{n}"), n) for n in orders))).alias("g"))
 
 
+def thresholded(docs: DataFrame, least: int, tokens: str = "tokens") -> DataFrame:
+    """docs with UNK in the place of tokens that occur less than `least` times in all documents. The words go by a join, so the vocabulary may be of any size."""
+    each = docs.select("doc_id", F.posexplode_outer(tokens).alias("pos", "term"))
+    known = each.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("term", F.lit(True).alias("known"))
+    marked = each.join(known, "term", "left").select("doc_id", F.when(F.col("pos").isNotNull(), F.struct("pos", F.when(F.col("known"), F.col("term")).otherwise(F.lit(UNK)).alias("term"))).alias("x"))
+    lists = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return lists.select("doc_id", F.col("x.term").alias(tokens))
+
+
 @dataclass
 class Model:
     """N-gram counts: a stored table (g, c), or the documents that they are taken from when they are needed."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .index import Index, doc_freq
+from .index import Index
 
 #: Fixed values of the models.
 DELTA, K1, B = 1.0, 1.2, 0.98
@@ -48,7 +48,7 @@ def bm25f(index: Index, terms: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): each occurrence of a query term counts; fields saturate one by one."""
     times = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     posted = index.postings_of(times.select("term").distinct())
-    known = times.join(doc_freq(posted), "term").crossJoin(F.broadcast(index.corpus))  # corpus has one row
+    known = times.join(index.frequencies(posted), "term").crossJoin(F.broadcast(index.corpus))  # corpus has one row
     rows, part = _weighted(index, posted, known, {"name": NAME_WEIGHT, "address": ADDRESS_WEIGHT})
     return rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * part * idf_fields(F.col("n"), F.col("df"))).alias("score"))
 
@@ -57,7 +57,7 @@ def _by_document(index: Index, terms: DataFrame) -> DataFrame:
     """Term frequencies over both fields, with document frequency and corpus numbers."""
     times = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     posted = index.postings_of(times.select("term").distinct())
-    tf = posted.join(times.join(doc_freq(posted), "term"), "term").groupBy("query_id", "term", "doc_id", "dl", "times", "df").agg(F.sum("tf").alias("tf"))
+    tf = posted.join(times.join(index.frequencies(posted), "term"), "term").groupBy("query_id", "term", "doc_id", "dl", "times", "df").agg(F.sum("tf").alias("tf"))
     return tf.crossJoin(F.broadcast(index.corpus))
 
 

@@ -166,6 +166,13 @@ def reverse_geocode(queries: DataFrame, places: DataFrame, metric: str = "equire
     return nearest(queries, places, 1, metric).drop("rank")
 
 
+def updated(places: DataFrame, changes: DataFrame) -> DataFrame:
+    """places after changes (their columns and seq): of an id the last change counts; one without a position deletes."""
+    last = Window.partitionBy("id").orderBy(F.desc("seq"))
+    new = changes.withColumn("__n", F.row_number().over(last)).where("__n = 1").select(*places.columns)
+    return places.join(new.select("id"), "id", "left_anti").select(*places.columns).unionByName(new.where("lat is not null and lon is not null"))
+
+
 def box_join(points: DataFrame, boxes: DataFrame, size: float = 0.05) -> DataFrame:
     """Rows of points (id, lo_lat .. hi_lon) and boxes (box_id, b_lo_lat .. b_hi_lon) that overlap strictly, once for each pair."""
     a = points.select("*", F.explode(cells(*(F.col(c) for c in ("lo_lat", "lo_lon", "hi_lat", "hi_lon")), size)).alias("cell"))

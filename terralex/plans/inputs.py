@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators.index import Index
+from ..operators.service import Searcher
+from ..sources.scratch import shared_folder
 from ..sources.tables import spread, table
 
 
@@ -116,3 +120,40 @@ def named_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Nations as ways: one box for each name."""
     n = F.col("n_nationkey").cast("bigint")
     return table(spark, d, "nation").select(n.alias("id"), F.col("n_name").alias("name"), (-6.3 - (n % 5) * 0.1).alias("lo_lat"), (106.1 + F.floor(n / 5) * 0.1).alias("lo_lon"), (-6.0 - (n % 5) * 0.1).alias("hi_lat"), (106.5 + F.floor(n / 5) * 0.1).alias("hi_lon"))
+
+
+def map_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as nodes; some have names, some are historic, some neither."""
+    k = F.col("c_custkey")
+    entries = F.array(F.when(k % 3 == 0, F.struct(F.lit("name").alias("key"), F.col("c_name").alias("value"))), F.when(k % 4 == 0, F.struct(F.lit("historic").alias("key"), F.col("c_mktsegment").alias("value"))), F.when(k % 5 == 0, F.struct(F.lit("tourism").alias("key"), F.lit("chalet").alias("value"))))
+    return table(spark, d, "customer").select(k.alias("id"), lat(k).alias("lat"), lon(k).alias("lon"), F.map_from_entries(F.array_compact(entries)).alias("tags"))
+
+
+def map_ways(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as ways over up to five nodes, some of which aren't there."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pair = lambda key, value, when: F.when(when, F.struct(F.lit(key).alias("key"), value.cast("string").alias("value")))
+    entries = F.array(pair("name", F.concat(F.lit("Way "), k % 50), k % 11 != 0), pair("amenity", F.col("o_orderpriority"), k % 3 == 0), pair("tourism", F.lit("chalet"), k % 13 == 0), pair("highway", F.when(k % 4 == 0, "primary").otherwise("path"), k % 2 == 0), pair("addr:street", F.concat(F.lit("Street "), k % 9), k % 6 == 0))
+    nodes = F.concat(F.array(c, c + 1, c * 2), F.when(k % 2 == 0, F.array(c + 7, F.lit(10**9).cast("bigint"))).otherwise(F.array().cast("array<bigint>")))
+    return table(spark, d, "orders").select(k.alias("id"), nodes.alias("node_ids"), F.map_from_entries(F.array_compact(entries)).alias("tags"))
+
+
+def map_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as administrative relations over some ways; some are of no level, unknown, or something else."""
+    n = F.col("n_nationkey").cast("bigint")
+    entries = F.array(F.struct(F.lit("boundary").alias("key"), F.when(n % 6 == 5, "forest").otherwise("administrative").alias("value")), F.struct(F.lit("name").alias("key"), F.when(n % 7 == 6, F.concat(F.lit("UNKNOWN "), "n_name")).otherwise(F.col("n_name")).alias("value")), F.struct(F.lit("admin_level").alias("key"), F.when(n % 8 == 7, "x").otherwise((n % 9).cast("string")).alias("value")), F.when(n % 2 == 0, F.struct(F.lit("postal_code").alias("key"), (n + 10000).cast("string").alias("value"))))
+    member = lambda kind, ref, role: F.struct(F.lit(kind).alias("type"), ref.alias("ref"), F.lit(role).alias("role"))
+    members = F.array(member("way", n * 4 + 3, "outer"), member("node", n * 4 + 1, "outer"), member("way", n * 4 + 1, "outer"), member("way", n * 4 + 2, "inner"), member("way", n * 1000000 + 999999999, "outer"))
+    return table(spark, d, "nation").select(n.alias("id"), F.map_from_entries(F.array_compact(entries)).alias("tags"), members.alias("members"))
+
+
+def stored(spark: SparkSession, d: str) -> Searcher:
+    """Parts as places with positions: written as an index and model, and loaded."""
+    k = F.col("doc_id")
+    places = parts(spark, d).withColumns({"lat": lat(k), "lon": lon(k), "features": F.array(F.concat(F.lit("size="), (k % 5).cast("string")))})
+    return Searcher.build(spark, places, f"{shared_folder(spark)}/terralex-engine-{uuid.uuid4().hex}")
+
+
+def users(queries: DataFrame) -> DataFrame:
+    k = F.col("query_id")
+    return queries.withColumns({"lat": lat(k * 7), "lon": lon(k * 11)})

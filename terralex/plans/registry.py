@@ -455,7 +455,15 @@ def way_admission(spark, d):
     return mapdata.admitted(i.tagged(spark, d), mapdata.WAY_KEYS).select("id")
 
 
-@query(None)
+_HELD = "{a}.lo_lat >= {b}.lo_lat AND {a}.lo_lon >= {b}.lo_lon AND {a}.hi_lat <= {b}.hi_lat AND {a}.hi_lon <= {b}.hi_lon"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT o_orderkey AS id, o_orderpriority || ' ' || (o_custkey % 50) AS name, 0.001::DOUBLE * (1 + o_orderkey % 40) AS size, -6.0::DOUBLE - ((o_orderkey % 60) % 997) / 1000.0 AS lat, 106.0::DOUBLE + ((o_orderkey % 60) % 1009) / 1000.0 AS lon FROM orders),
+w AS (SELECT id, name, lower(name) AS key, lat - size AS lo_lat, lon - size AS lo_lon, lat + size AS hi_lat, lon + size AS hi_lon, row_number() OVER (PARTITION BY lower(name) ORDER BY id) AS n FROM o),
+f AS (SELECT key, n, id, name, false AS dup, lo_lat, lo_lon, hi_lat, hi_lon FROM w WHERE n = 1
+  UNION ALL SELECT key, n, id, name, inside OR holds, CASE WHEN inside THEN p_lo_lat ELSE lo_lat END, CASE WHEN inside THEN p_lo_lon ELSE lo_lon END, CASE WHEN inside THEN p_hi_lat ELSE hi_lat END, CASE WHEN inside THEN p_hi_lon ELSE hi_lon END
+  FROM (SELECT w.*, f.lo_lat AS p_lo_lat, f.lo_lon AS p_lo_lon, f.hi_lat AS p_hi_lat, f.hi_lon AS p_hi_lon, {_HELD.format(a='w', b='f')} AS inside, {_HELD.format(a='f', b='w')} AS holds FROM f JOIN w ON w.key = f.key AND w.n = f.n + 1))
+SELECT id, name FROM f WHERE NOT dup""")
 def way_dedup(spark, d):
     return dedup.unique_ways(i.ways(spark, d)).select("id", "name")
 
@@ -470,3 +478,122 @@ def node_dedup(spark, d):
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS doc_id FROM orders")
 def dense_ids(spark, d):
     return dedup.numbered(i.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "o_orderkey").select("o_orderkey", "doc_id")
+
+
+# Map extracts: the driver's tables as nodes, ways and relations
+
+
+@query(f"""WITH {q.MAP} SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon, coalesce(nm, '') AS name, coalesce(historic, tourism, '') AS type FROM nodes
+WHERE nm IS NOT NULL AND coalesce(historic, tourism, '') <> 'chalet'""")
+def node_places(spark, d):
+    return mapdata.node_places(i.map_nodes(spark, d)).select("id", *(F.round(c, 6).alias(c) for c in ("lat", "lon")), "name", "type")
+
+
+@query(f"""WITH {q.MAP} SELECT id, nm AS name, coalesce(amenity, highway, tourism, '') AS type, street, round(a[len(a) // 2 + 1], 6) AS lat, round(o[len(o) // 2 + 1], 6) AS lon, round(a[1], 6) AS lo_lat, round(o[1], 6) AS lo_lon, round(a[-1], 6) AS hi_lat, round(o[-1], 6) AS hi_lon
+FROM ways JOIN pts USING (id) WHERE nm IS NOT NULL AND coalesce(amenity, tourism, highway) IS NOT NULL AND coalesce(amenity, highway, tourism, '') <> 'chalet'""")
+def way_places(spark, d):
+    rows = mapdata.way_places(i.map_ways(spark, d), i.map_nodes(spark, d))
+    return rows.select("id", "name", "type", "street", *(F.round(c, 6).alias(c) for c in ("lat", "lon", *dedup.BOX)))
+
+
+@query(f"""WITH {q.MAP}, m AS (SELECT id, nm, radians(o[1]) AS l1, radians(a[1]) AS y1, radians(a[-1]) AS y2, radians(o[-1] - o[1]) AS dl FROM ways JOIN pts USING (id) WHERE nm IS NOT NULL AND highway = 'primary'),
+n AS (SELECT *, cos(y2) * cos(dl) AS bx, cos(y2) * sin(dl) AS b_y FROM m)
+SELECT id, nm AS name, round(degrees(atan2(sin(y1) + sin(y2), sqrt((cos(y1) + bx) * (cos(y1) + bx) + b_y * b_y))), 6) AS lat, round(degrees(l1 + atan2(b_y, cos(y1) + bx)), 6) AS lon FROM n""")
+def street_places(spark, d):
+    return mapdata.streets(i.map_ways(spark, d), i.map_nodes(spark, d)).select("id", "name", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query(f"""WITH {q.MAP}, r AS (SELECT n_nationkey::BIGINT AS area_id, n_name AS name, CAST(n_nationkey % 9 AS INTEGER) AS level, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey + 10000 AS VARCHAR) ELSE '' END AS postcode FROM nation
+  WHERE n_nationkey % 6 <> 5 AND n_nationkey % 7 <> 6 AND n_nationkey % 8 <> 7 AND n_nationkey % 9 BETWEEN 2 AND 7),
+mem AS (SELECT area_id, area_id * 4 + 3 AS way, 0 AS m FROM r UNION ALL SELECT area_id, area_id * 4 + 1, 2 FROM r UNION ALL SELECT area_id, area_id * 1000000 + 999999999, 4 FROM r)
+SELECT area_id, any_value(name) AS name, any_value(level) AS level, any_value(postcode) AS postcode, string_agg(printf('%.6f %.6f', lat, lon), ',' ORDER BY m, pos) AS ring FROM r JOIN mem USING (area_id) JOIN stops s ON s.id = way GROUP BY area_id""")
+def boundary_rings(spark, d):
+    """Outer ways' nodes in the order of members and of each way."""
+    rows = mapdata.boundaries(i.map_relations(spark, d), i.map_ways(spark, d), i.map_nodes(spark, d))
+    ring = F.array_join(F.zip_with("lats", "lons", lambda a, o: F.format_string("%.6f %.6f", a, o)), ",")
+    return rows.select("area_id", "name", "level", "postcode", ring.alias("ring"))
+
+
+# Boxes and distances
+
+
+@query(f"""WITH {q.GEO}, b AS (SELECT *, qlat - 0.05 AS a1, qlat + 0.05 AS a2, qlon - 0.05 AS o1, qlon + 0.05 AS o2 FROM pairs)
+SELECT id, query_id, round({q.equirect('lat', 'lon', 'least(greatest(lat, a1), a2)', 'least(greatest(lon, o1), o2)')}, 6) AS near, round(greatest({', '.join(q.equirect('lat', 'lon', a, o) for a in ('a1', 'a2') for o in ('o1', 'o2'))}), 6) AS far FROM b""")
+def box_distances(spark, d):
+    box = [F.col("qlat") - 0.05, F.col("qlon") - 0.05, F.col("qlat") + 0.05, F.col("qlon") + 0.05]
+    return _pairs(spark, d).select("id", "query_id", *(F.round(f(F.col("lat"), F.col("lon"), *box), 6).alias(n) for f, n in ((geo.to_box, "near"), (geo.from_box, "far"))))
+
+
+@query(f"""WITH {q.GEO}, p AS (SELECT id, radians(lat) AS a, radians(lon) AS l, radians((id * 7) % 360) AS t, (1 + id % 50) / 6371.0 AS d FROM places),
+t AS (SELECT *, asin(sin(a) * cos(d) + cos(a) * sin(d) * cos(t)) AS b FROM p)
+SELECT id, round(degrees(b), 6) AS lat, round(degrees(l + atan2(sin(t) * sin(d) * cos(a), cos(d) - sin(a) * sin(b))), 6) AS lon FROM t""")
+def destinations(spark, d):
+    k = F.col("id")
+    la, lo = geo.destination(F.col("lat"), F.col("lon"), ((k * 7) % 360).cast("double"), (1 + k % 50).cast("double"))
+    return i.places(spark, d).select("id", F.round(la, 6).alias("lat"), F.round(lo, 6).alias("lon"))
+
+
+@query("""WITH b AS (SELECT n_regionkey, -6.3::DOUBLE - (n_nationkey % 5) * 0.1 AS y1, 106.1::DOUBLE + (n_nationkey // 5) * 0.1 AS x1, -6.0::DOUBLE - (n_nationkey % 5) * 0.1 AS y2, 106.5::DOUBLE + (n_nationkey // 5) * 0.1 AS x2, n_nationkey FROM nation)
+SELECT a.n_nationkey AS a, b.n_nationkey AS b, round((greatest(a.y2, b.y2) - least(a.y1, b.y1)) * (greatest(a.x2, b.x2) - least(a.x1, b.x1)), 6) AS area, a.n_nationkey = b.n_nationkey AS same FROM b a JOIN b b ON a.n_regionkey = b.n_regionkey""")
+def box_unions(spark, d):
+    """The box around each two nations of a region."""
+    boxes = i.named_boxes(spark, d).join(i.table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), "n_regionkey"), "id")
+    a, b = (boxes.select("n_regionkey", *(F.col(c).alias(f"{x}_{c}") for c in ("id", *dedup.BOX))) for x in "ab")
+    both = a.join(b, "n_regionkey").withColumns(geo.united("a_", "b_"))
+    return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(geo.box_area(), 6).alias("area"), geo.same("a_", "b_").alias("same"))
+
+
+@query(f"""WITH {q.GEO}, c AS (SELECT event_id AS seq, user_id AS id, -6.0::DOUBLE - (event_id % 997) / 1000.0 AS lat, 106.0::DOUBLE + (event_id % 1009) / 1000.0 AS lon, event_id % 5 <> 0 AS alive FROM events),
+l AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS n FROM c)
+SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM places WHERE id NOT IN (SELECT id FROM c) UNION ALL SELECT id, round(lat, 6), round(lon, 6) FROM l WHERE n = 1 AND alive""")
+def places_updated(spark, d):
+    """Events move the place of their user's number, or delete it."""
+    k = F.col("event_id")
+    changes = i.table(spark, d, "events").select(F.col("user_id").alias("id"), F.when(k % 5 != 0, i.lat(k)).alias("lat"), i.lon(k).alias("lon"), k.alias("seq"))
+    return spatial.updated(i.places(spark, d).select("id", "lat", "lon"), changes).select("id", *(F.round(c, 6).alias(c) for c in ("lat", "lon")))
+
+
+@query(f"WITH {q.INDEX} SELECT field, doc_id, CAST(3 * len AS BIGINT) AS len FROM lens")
+def field_lengths_merge(spark, d):
+    lengths = i.index(spark, d).lengths
+    return ix.merge_lengths([lengths, lengths, lengths])
+
+
+@query(f"""WITH {q.PARTS}, e AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS p FROM (SELECT doc_id, regexp_extract_all(lower(name || ' ' || address), '[a-z0-9]+') AS t FROM docs)),
+k AS (SELECT w FROM e GROUP BY w HAVING count(*) >= 400)
+SELECT doc_id, string_agg(CASE WHEN k.w IS NULL THEN '<unk>' ELSE e.w END, ' ' ORDER BY p) AS words FROM e LEFT JOIN k ON k.w = e.w GROUP BY doc_id""")
+def unknown_words(spark, d):
+    """Tokens of parts that occur less than 400 times are replaced by a mark."""
+    return lm.thresholded(i.token_lists(i.parts(spark, d)), 400).select("doc_id", F.array_join("tokens", " ").alias("words"))
+
+
+# The engine over stored tables
+
+
+_FAR = f"round({q.haversine('u.lat', 'u.lon', 'p.lat', 'p.lon')}, 6) AS distance"
+_SPOTS = f"spots AS (SELECT doc_id, {q._at('doc_id')} FROM docs), users AS (SELECT query_id, {q._at('query_id', 7, 11)} FROM names)"
+
+
+@query(f"WITH {q.PARTS}, {q.MISSPELT}, {q.CORRECTED}, sq AS (SELECT struct_pack(query_id := query_id, cand := cand) AS seq_id, t FROM cands), {q.lm()}, {q.BEST}, qt AS (SELECT query_id, unnest(t) AS term FROM best WHERE rank = 1), {q.BM25F}, {_SPOTS} SELECT query_id, rank, score, doc_id, name, {_FAR} FROM ({q.page()}) h JOIN docs USING (doc_id) JOIN spots p USING (doc_id) JOIN users u USING (query_id)")
+def search_stored(spark, d):
+    """Misspelt part names against a stored index and model, with distances from each user."""
+    return i.stored(spark, d).search(i.users(i.misspelt(spark, d))).select("query_id", "rank", "score", "doc_id", "name", "distance")
+
+
+@query(f"{_COMPLETE}, {q.CONJUNCTIVE}, {_SPOTS} SELECT query_id, place, cand, score, doc_id, name, {_FAR} FROM placed JOIN docs USING (doc_id) JOIN spots p USING (doc_id) JOIN users u USING (query_id) WHERE place <= 10")
+def autocomplete_stored(spark, d):
+    return i.stored(spark, d).complete(i.users(i.typed(spark, d))).select("query_id", "place", "cand", "score", "doc_id", "name", "distance")
+
+
+@query(f"""WITH {q.GEO}, {q.FENCES} SELECT move_id, point_id, fence, key, status FROM judged WHERE fence <> 'f1'""")
+def fence_lifecycle(spark, d):
+    """Fences are made, one is deleted, and the later half of the moves is judged from stored positions after the first."""
+    all_ = i.circles(spark, d)
+    fences = geofence.created(all_.select("fence").distinct().limit(0), all_.select("fence").distinct())
+    fences, circles = geofence.deleted(fences, all_, fences.where("fence = 'f1'"))
+    circles = geofence.known(fences, circles)
+    moves = i.moves(i.table(spark, d, "events"))
+    early, late = moves.where("ts < timestamp'2024-01-15 00:00:00'"), moves.where("ts >= timestamp'2024-01-15 00:00:00'")
+    stored = geofence.positioned(early.select("point_id", "lat", "lon").limit(0), early)
+    first, second = geofence.steps(early), geofence.steps(late, stored)
+    return geofence.classify(first.unionByName(second), circles)

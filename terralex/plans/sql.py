@@ -142,3 +142,10 @@ TAGGED = """raw AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 <> 0 THEN
   CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS amenity, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS shop, CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus END AS landuse FROM orders),
 tagged AS (SELECT id, coalesce(amenity, landuse, shop, '') AS type, CASE WHEN sn IS NOT NULL THEN coalesce(nm, '') || ' (' || sn || ')' ELSE coalesce(nm, '') END AS name,
   concat_ws(',', 'amenity=' || amenity, 'landuse=' || landuse, 'shop=' || shop) AS features FROM raw)"""
+
+MAP = f"""nodes AS (SELECT c_custkey AS id, {_at('c_custkey')}, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS nm, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END AS historic, CASE WHEN c_custkey % 5 = 0 THEN 'chalet' END AS tourism FROM customer),
+ways AS (SELECT o_orderkey AS id, list_concat([o_custkey, o_custkey + 1, o_custkey * 2], CASE WHEN o_orderkey % 2 = 0 THEN [o_custkey + 7, 1000000000] ELSE [] END) AS refs,
+  CASE WHEN o_orderkey % 11 <> 0 THEN 'Way ' || (o_orderkey % 50) END AS nm, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS amenity, CASE WHEN o_orderkey % 13 = 0 THEN 'chalet' END AS tourism,
+  CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'primary' ELSE 'path' END END AS highway, CASE WHEN o_orderkey % 6 = 0 THEN 'Street ' || (o_orderkey % 9) END AS street FROM orders),
+stops AS (SELECT w.id, pos, n.lat, n.lon FROM (SELECT id, unnest(refs) AS ref, unnest(range(len(refs))) AS pos FROM ways) w JOIN nodes n ON n.id = w.ref),
+pts AS (SELECT id, list_sort(list(lat)) AS a, list_sort(list(lon)) AS o FROM stops GROUP BY id)"""
