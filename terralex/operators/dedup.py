@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+
 BOX = ("lo_lat", "lo_lon", "hi_lat", "hi_lon")
 
 
@@ -43,11 +45,9 @@ def unique_nodes(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     return nodes.join(inside.select("id").distinct(), "id", "left_anti")
 
 
-def numbered(places: DataFrame, *order: str) -> DataFrame:
-    """places with dense doc_id from 1 by order, without moving all rows to one task: offsets come from counts of ranges."""
+def numbered(places: DataFrame, *order: str, name: str = "doc_id") -> DataFrame:
+    """places with dense numbers from 1 by order, without moving all rows to one task: offsets come from counts of ranges."""
     sorted_ = places.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
-    from ..sources.scratch import kept
-
     rows = kept(sorted_)
     counts = sorted((r["__p"], r["n"]) for r in rows.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect())  # one number a partition
     before, offsets = 0, []
@@ -55,4 +55,4 @@ def numbered(places: DataFrame, *order: str) -> DataFrame:
         offsets.append((p, before))
         before += n
     table = places.sparkSession.createDataFrame(offsets, "__p int, __o bigint")
-    return rows.join(F.broadcast(table), "__p").withColumn("doc_id", F.col("__o") + F.col("__k") + 1).drop("__p", "__k", "__o")
+    return rows.join(F.broadcast(table), "__p").withColumn(name, F.col("__o") + F.col("__k") + 1).drop("__p", "__k", "__o")

@@ -62,6 +62,10 @@ def piece(term: str = "term") -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PIECES)).cast("int")
 
 
+def piece_of(term: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(term)), F.lit(PIECES)).cast("int")
+
+
 @dataclass
 class Index:
     """The tables that queries read. `docs` has doc_id, name, address and any other columns.

@@ -173,6 +173,14 @@ def updated(places: DataFrame, changes: DataFrame) -> DataFrame:
     return places.join(new.select("id"), "id", "left_anti").select(*places.columns).unionByName(new.where("lat is not null and lon is not null"))
 
 
+def circle_boxes(circles: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Circles (with a radius in km) with boxes b_lo_lat .. b_hi_lon that hold them with a little to spare."""
+    d = F.col("radius") / DEGREE * 1.01
+    flat = F.greatest(F.cos(F.radians(F.least(F.abs(F.col(lat)) + d, F.lit(90.0)))), F.lit(1e-6))
+    half = F.least(d / flat, F.lit(180.0))
+    return circles.withColumns({"b_lo_lat": F.col(lat) - d, "b_hi_lat": F.col(lat) + d, "b_lo_lon": F.col(lon) - half, "b_hi_lon": F.col(lon) + half})
+
+
 def box_join(points: DataFrame, boxes: DataFrame, size: float = 0.05) -> DataFrame:
     """Rows of points (id, lo_lat .. hi_lon) and boxes (box_id, b_lo_lat .. b_hi_lon) that overlap strictly, once for each pair."""
     a = points.select("*", F.explode(cells(*(F.col(c) for c in ("lo_lat", "lo_lon", "hi_lat", "hi_lon")), size)).alias("cell"))

@@ -33,9 +33,13 @@ def choices(terms: DataFrame, vocabulary: DataFrame, most: int = 2) -> DataFrame
 def products(options: DataFrame) -> DataFrame:
     """(query_id, cand, tokens): all ways to take one option for each position, numbered in order."""
     each = options.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "options"))).alias("x"))
-    start = F.array(F.array().cast("array<string>"))
-    crossed = F.aggregate(F.col("x.options"), start, lambda acc, own: F.flatten(F.transform(acc, lambda a: F.transform(own, lambda t: F.concat(a, F.array(t))))))
-    return each.select("query_id", F.posexplode(crossed).alias("cand", "tokens"))
+    # a row is made from its number, whose digits choose the options; the last position is the fastest
+    product = lambda sizes: F.aggregate(sizes, F.lit(1).cast("bigint"), lambda a, b: a * b)
+    sized = each.withColumn("sizes", F.transform("x.options", lambda o: F.size(o).cast("bigint")))
+    rows = sized.withColumn("cand", F.explode(F.sequence(F.lit(0).cast("bigint"), product(F.col("sizes")) - 1)))
+    after = lambda i: product(F.slice("sizes", i + 2, F.size("sizes")))
+    chosen = F.transform(F.col("x.options"), lambda own, i: F.get(own, (F.floor(F.col("cand") / after(i)) % F.size(own)).cast("int")))
+    return rows.select("query_id", F.col("cand").cast("int").alias("cand"), chosen.alias("tokens"))
 
 
 def ranked(options: DataFrame, model: Model, k: int) -> DataFrame:

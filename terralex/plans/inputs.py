@@ -24,12 +24,13 @@ def index(spark: SparkSession, d: str) -> Index:
     return Index.build(docs(spark, d))
 
 
-def searches(spark: SparkSession, d: str) -> DataFrame:
-    """benchmark: an item's first four tokens are a query."""
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 1, 4), " ").alias("query"))
+def stored_index(spark: SparkSession, d: str) -> Index:
+    """The index of documents as tables in the shared folder."""
+    index(spark, d).save(at := f"{shared_folder(spark)}/terralex-index-{uuid.uuid4().hex}")
+    return Index.load(spark, at)
 
 
-def whole_searches(spark: SparkSession, d: str) -> DataFrame:
+def searches(spark: SparkSession, d: str) -> DataFrame:
     """benchmark: all tokens of an item are a query."""
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(tokens(F.col("text")), " ").alias("query"))
 

@@ -89,6 +89,26 @@ def posting_list(spark, d):
     return ix.posting_list(i.index(spark, d).postings, "the").select("field", "doc_id", "tf")
 
 
+@query(f"WITH {q.INDEX} SELECT field, doc_id, tf FROM postings WHERE term = 'and'")
+def posting_list_stored(spark, d):
+    """From a stored index: the filters on part and term reach the scan."""
+    stored = i.stored_index(spark, d)
+    return ix.posting_list(stored.postings.where(F.col("piece") == ix.piece_of("and")), "and").select("field", "doc_id", "tf")
+
+
+@query(f"WITH {q.INDEX} SELECT s.field, n_docs, total, round(avg_len, 6) AS avg_len, n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df) AS n_terms FROM stats s, corpus")
+def stored_statistics(spark, d):
+    stored = i.stored_index(spark, d)
+    terms = stored.terms.agg(F.count(F.lit(1)).alias("n_terms"))
+    return stored.stats.crossJoin(stored.corpus).crossJoin(terms).select("field", "n_docs", "total", F.round("avg_len", 6).alias("avg_len"), "n", F.round("avgdl", 6).alias("avgdl"), "n_terms")  # one row each
+
+
+@query(f"WITH {q.INDEX} SELECT term, field, doc_id, row_number() OVER (ORDER BY term, field, doc_id) AS place FROM postings")
+def postings_in_order(spark, d):
+    """All postings in the order of terms, numbered."""
+    return dedup.numbered(i.index(spark, d).postings.select("term", "field", "doc_id"), "term", "field", "doc_id", name="place")
+
+
 @query("""WITH r AS (SELECT user_id, event_id, event_type,
     row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS run FROM events)
 SELECT user_id, min(event_id) AS "start", event_type, count(*) AS n FROM r GROUP BY user_id, event_type, run""")
@@ -131,40 +151,6 @@ def search_documents(spark, d):
     return rank.with_documents(index, rank.search(index, i.searches(spark, d)))
 
 
-# Ranking by whole benchmark texts
-
-
-@query(f"WITH {q.INDEX}, {q.WHOLE}, {q.BM25F} {q.page()}")
-def bm25f_search_whole(spark, d):
-    return rank.search(i.index(spark, d), i.whole_searches(spark, d))
-
-
-@query(f"WITH {q.INDEX}, {q.WHOLE}, {q.BM25F} {q.page(5, 10)}")
-def bm25f_paged_whole(spark, d):
-    return rank.search(i.index(spark, d), i.whole_searches(spark, d), k=5, offset=10)
-
-
-@query(f"WITH {q.INDEX}, {q.WHOLE_TWICE}, {q.BM25F} {q.page()}")
-def bm25f_repeated_term_whole(spark, d):
-    return rank.search(i.index(spark, d), i.whole_searches(spark, d).withColumn("query", F.concat_ws(" ", "query", "query")))
-
-
-@query(f"WITH {q.INDEX}, {q.WHOLE}, {q.BM25_PLUS} {q.page()}")
-def bm25plus_search_whole(spark, d):
-    return rank.search(i.index(spark, d), i.whole_searches(spark, d), model="BM25_PLUS")
-
-
-@query(f"WITH {q.INDEX}, {q.WHOLE}, {q.TF_IDF} {q.page()}")
-def tfidf_search_whole(spark, d):
-    return rank.search(i.index(spark, d), i.whole_searches(spark, d), model="TF_IDF_COSINE")
-
-
-@query(f"WITH {q.INDEX}, {q.WHOLE}, {q.BM25F} SELECT h.*, name, address FROM ({q.page()}) h JOIN docs USING (doc_id)")
-def search_documents_whole(spark, d):
-    index = i.index(spark, d)
-    return rank.with_documents(index, rank.search(index, i.whole_searches(spark, d)))
-
-
 # Language model
 
 
@@ -207,25 +193,6 @@ def sequence_logprob(spark, d):
     return _model(spark, d).score(seq).withColumn("logp", F.round("logp", 6))
 
 
-_LM_WHOLE = f"WITH {q.TOK}, lt AS (SELECT t FROM tok), {q.WHOLE}, sq AS (SELECT query_id AS seq_id, t FROM qtok), {q.lm()}"
-
-
-@query(f"{_LM_WHOLE} SELECT DISTINCT h3, h2, h1, w, round(p1, 9) AS p1, round(p2, 9) AS p2, round(p3, 9) AS p3, round(p4, 9) AS p4 FROM se")
-def ngram_mle_whole(spark, d):
-    return _model(spark, d).estimates(_contexts(i.whole_searches(spark, d))).select("h3", "h2", "h1", "w", *(F.round(f"p{n}", 9).alias(f"p{n}") for n in range(1, 5)))
-
-
-@query(f"{_LM_WHOLE} SELECT DISTINCT h3, h2, h1, w, round(p, 9) AS p FROM sb")
-def stupid_backoff_whole(spark, d):
-    return _model(spark, d).backoff(_contexts(i.whole_searches(spark, d))).withColumn("p", F.round("p", 9))
-
-
-@query(f"{_LM_WHOLE} SELECT seq_id, round(logp, 6) AS logp FROM sl")
-def sequence_logprob_whole(spark, d):
-    seq = i.whole_searches(spark, d).select(F.col("query_id").alias("seq_id"), tokens(F.col("query")).alias("tokens"))
-    return _model(spark, d).score(seq).withColumn("logp", F.round("logp", 6))
-
-
 # Spelling and autocompletion, over part names
 
 
@@ -337,15 +304,27 @@ def upper_median_center(spark, d):
     return i.places(spark, d).groupBy("c_nationkey").agg(F.round(geo.upper_median(F.collect_list("lat")), 6).alias("lat"), F.round(geo.upper_median(F.collect_list("lon")), 6).alias("lon"))
 
 
-@query(f"WITH {q.GEO} SELECT id, query_id FROM pairs WHERE {q.haversine('qlat', 'qlon', 'lat', 'lon')} <= 0.2 + query_id % 20")
+_CIRCLES = "SELECT p.id, q.query_id, p.lat, p.lon, q.lat AS qlat, q.lon AS qlon, (0.2 + q.query_id % 20)::DOUBLE AS r FROM places p, points q"
+
+
+def _circles(spark, d):
+    return spatial.circle_boxes(i.points(spark, d).select("query_id", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), (F.lit(0.2) + F.col("query_id") % 20).cast("double").alias("radius")), "qlat", "qlon")
+
+
+@query(f"WITH {q.GEO} SELECT id, query_id FROM ({_CIRCLES}) WHERE {q.haversine('qlat', 'qlon', 'lat', 'lon')} <= r")
 def circle_contains(spark, d):
-    return _pairs(spark, d).where(geo.in_circle(F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"), (F.lit(0.2) + F.col("query_id") % 20))).select("id", "query_id")
+    """Places against all circles."""
+    near = spatial.box_join(mapdata.point_boxes(i.places(spark, d), 0.0), _circles(spark, d), 0.1)
+    return near.where(geo.in_circle(F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"), F.col("radius"))).select("id", "query_id")
 
 
-@query(f"WITH {q.GEO}, s AS (SELECT id, query_id, -6.5 AS a1, 106.0 AS o1, lat AS a2, lon AS o2, qlat AS ca, qlon AS co, (0.2 + query_id % 20)::DOUBLE AS r FROM pairs) SELECT id, query_id FROM s WHERE {q.crosses('a1', 'o1', 'a2', 'o2', 'ca', 'co', 'r')}")
+@query(f"WITH {q.GEO}, s AS (SELECT id, query_id, -6.5 AS a1, 106.0 AS o1, lat AS a2, lon AS o2, qlat AS ca, qlon AS co, r FROM ({_CIRCLES})) SELECT id, query_id FROM s WHERE {q.crosses('a1', 'o1', 'a2', 'o2', 'ca', 'co', 'r')}")
 def segment_circle(spark, d):
-    """Lines from one corner of the region to each place, against circles."""
-    return _pairs(spark, d).where(geo.crosses_circle(F.lit(-6.5), F.lit(106.0), F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"), (F.lit(0.2) + F.col("query_id") % 20).cast("double"))).select("id", "query_id")
+    """Lines from one corner of the region to each place, against all circles."""
+    a, o = F.lit(-6.5), F.lit(106.0)
+    lines = i.places(spark, d).select("id", "lat", "lon", F.least(a, "lat").alias("lo_lat"), F.least(o, "lon").alias("lo_lon"), F.greatest(a, "lat").alias("hi_lat"), F.greatest(o, "lon").alias("hi_lon"))
+    near = spatial.box_join(lines, _circles(spark, d), 0.25)
+    return near.where(geo.crosses_circle(a, o, F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"), F.col("radius"))).select("id", "query_id")
 
 
 @query(f"WITH {q.GEO} SELECT id, query_id AS box_id FROM places a, points b WHERE a.lat - 0.02 < b.lat + 0.03 AND b.lat - 0.03 < a.lat + 0.02 AND a.lon - 0.02 < b.lon + 0.03 AND b.lon - 0.03 < a.lon + 0.02")

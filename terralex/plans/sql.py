@@ -11,10 +11,8 @@ df AS (SELECT term, count(DISTINCT doc_id) AS df FROM postings GROUP BY term),
 corpus AS (SELECT count(*) AS n, (SELECT sum(len) FROM lens) / count(*) AS avgdl FROM docs)"""
 INDEX = f"""{POS}, occ AS (SELECT CASE WHEN p <= 8 THEN 'name' ELSE 'address' END AS field, term, doc_id FROM pos),
 docs AS (SELECT doc_id, array_to_string(t[1:8], ' ') AS name, array_to_string(t[9:], ' ') AS address FROM tok), {_TABLES}"""
-SEARCHES = "qtok AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9]+')[1:4] AS t FROM benchmark), qt AS (SELECT query_id, unnest(t) AS term FROM qtok)"
-SEARCHES_TWICE = "qtok AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9]+')[1:4] AS t FROM benchmark), qt AS (SELECT query_id, unnest(list_concat(t, t)) AS term FROM qtok)"
-#: All tokens of a benchmark text.
-WHOLE, WHOLE_TWICE = (x.replace("[1:4] AS t", " AS t") for x in (SEARCHES, SEARCHES_TWICE))
+SEARCHES = "qtok AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark), qt AS (SELECT query_id, unnest(t) AS term FROM qtok)"
+SEARCHES_TWICE = "qtok AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark), qt AS (SELECT query_id, unnest(list_concat(t, t)) AS term FROM qtok)"
 
 BM25F = """times AS (SELECT query_id, term, count(*) AS times FROM qt GROUP BY ALL),
 parts_ AS (SELECT query_id, p.doc_id, times, df, n, (CASE p.field WHEN 'name' THEN 20.0 ELSE 1.0 END)::DOUBLE * tf / (1 + 0.95 * (len / avg_len - 1)) AS w

@@ -25,11 +25,24 @@ def kept(df: DataFrame) -> DataFrame:
     return Shelf(df.sparkSession, "kept").put(df, "rows")
 
 
+#: Folders of this process.
+ROOTS: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all tables that operators of this process have left in the shared folder: results that read them are no longer to be used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    while ROOTS:
+        at = path(ROOTS.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Shelf:
-    """Tables of one run. `drop` removes what later steps no longer read."""
+    """Tables of one run. `drop` removes what later steps no longer read, clear() what results still do."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_folder(spark)}/terralex-{name}-{uuid.uuid4().hex}"
+        ROOTS.append(self.root)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path := f"{self.root}/{name}")
