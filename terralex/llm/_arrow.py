@@ -27,6 +27,12 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def apart(kept: list[str], made: list[str]) -> None:
+    """Raises ValueError if a column that is kept has the name of one that is made; upper and lower case are alike to Spark."""
+    if clash := {c.lower() for c in kept} & {c.lower() for c in made}:
+        raise ValueError(f"columns {sorted(clash)} can't be kept beside the result's")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes (uint8) and offsets (int64, one more than rows) of a string or binary column; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import bounded
+from ._arrow import apart, bounded
 
 #: Bytes of a leaf of the tree: so short a string is encoded by plain merges.
 LEAF = 4
@@ -192,8 +192,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), ids: bool = True) -> DataFrame:
     """(id, *keep, n_tokens, ids array<int>, ids_sha256, decoded_sha256) for each row, whole texts. Without `ids`, no lists."""
-    if clash := {"n_tokens", "ids", "ids_sha256", "decoded_sha256"} & {id_col, *keep}:
-        raise ValueError(f"columns {sorted(clash)} can't be kept beside the result's")
+    apart([id_col, *keep], ["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
     checked(path, pattern)
     picked = bounded(docs).select(id_col, *[c for c in keep if c != id_col], F.col(text_col).cast("string").alias("__text"))
     own = [f for f in picked.schema.fields if f.name != "__text"]

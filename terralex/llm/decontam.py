@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import U64, bounded, runs, span_hashes, steps, utf8
+from ._arrow import U64, apart, bounded, runs, span_hashes, steps, utf8
 from .store import Shelf
 
 #: Words of a window. Bytes of a benchmark whose windows are matched at once.
@@ -345,6 +345,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """(id, *keep, n_words, n_hit, n_items, items_sha256, contaminated, items) for each row of docs; if `near`, also (n_near, near_items): words in and items of exact and proximity matches."""
     shelf = Shelf(docs.sparkSession, "decontam")
     columns = [id_col, *[c for c in keep if c not in (id_col, text_col)], *([text_col] if text_col in keep else [])]
+    apart(columns, ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "n_near", "near_items"])
     keys = [f"c{k}" for k in range(len(columns))]
     rows = docs.select(*((F.col(c).cast("string") if c == text_col and k else F.col(c)).alias(f"c{k}") for k, c in enumerate(columns)), F.col(text_col).cast("string").alias("text"))
     own = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")

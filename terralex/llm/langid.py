@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import bounded, steps, utf8
+from ._arrow import apart, bounded, steps, utf8
 
 #: Expected number of documents of a language that the model learns from, and most languages: the bounds of the training sample.
 SAMPLE_DOCS, MOST_LANGS = 1500, 1000
@@ -182,6 +182,7 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
     text = F.col(text_col).cast("string")
     columns = [id_col, *[c for c in keep if c not in (id_col, text_col)]]
     with_text = int(text_col in keep)
+    apart([*columns, *keep], ["lang_pred", "score", "bits_per_byte"])
     picked = bounded(docs).select(*columns, text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-2]) + f", `{text_col}` string" * with_text + ", lang_pred string, score double, bits_per_byte double"
 

@@ -24,6 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._arrow import apart
 from .store import Shelf
 
 KINDS = ("email", "ip", "card", "phone")
@@ -217,6 +218,7 @@ def discovered(edges: DataFrame, shelf: Shelf, rounds: int = ROUNDS) -> DataFram
 
 def find(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(*keep, spans_email .. spans_phone, more): base spans of each kind and the spans that the contexts add, array<struct<kind,start,end,value>>."""
+    apart(list(keep), ["more", *(f"spans_{k}" for k in KINDS)])
     shelf = Shelf(docs.sparkSession, "pii")
     picked = docs.select(*[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)], F.col(text_col).cast("string").alias("__text"))
     rows = shelf.put(base(picked, "__text").drop(*([] if text_col in keep else ["__text"])).withColumn("row", F.monotonically_increasing_id()), "rows")

@@ -1,7 +1,6 @@
 import hashlib
 import importlib
 
-import pytest
 
 pipeline = importlib.import_module("corpus_pipeline")
 
@@ -52,9 +51,3 @@ def test_odd_rows_and_clashing_columns(spark, odd_docs, sf, tmp_path):
 
 def test_empty_table(spark, no_docs, sf, tmp_path):
     assert applied(spark, no_docs, sf, tmp_path)[-1].count() == 0
-
-
-@pytest.mark.parametrize("k", range(5))
-def test_stage_shape(k):
-    name, stage = pipeline.STAGES[k]
-    assert isinstance(name, str) and callable(stage)

@@ -56,6 +56,52 @@ def test_base_counts_equal_brute_force(spark, sf, odd, no_docs):
     assert rules.clean(no_docs).count() == 0
 
 
+def features(text):
+    """The statistics by their definitions, one text at a time."""
+    raw = (text or "").encode()
+    w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    lines = raw.split(b"\n") if raw else []
+    lines = lines[:-1] if lines and not lines[-1] else lines
+    chars, n = sum(map(len, w)), len(w)
+    share = lambda a, b: (a / max(b, 1)) ** 0.5
+    count = lambda what: sum(c in what for c in raw)
+    upper, lower = count(bytes(range(65, 91))), count(bytes(range(97, 123)))
+    ends = collections.Counter(x[-1:] for x in w)
+    top = max(collections.Counter(w).values(), default=0)
+    return [
+        np.log1p(n), np.log1p(chars / max(n, 1)), share(count(b"#*$%&|<>"), chars), share(upper, upper + lower), share(count(b"0123456789"), chars), share(sum(ends[bytes([c])] for c in b".!?:;\"')],"), n),
+        share(n - len(set(w)), n), share(len(lines) - len(set(lines)), len(lines)), share(top, n), np.log1p(n / max(len(lines), 1)), share(ends[b"."], n), share(ends[b"!"], n),
+    ]
+
+
+def test_statistics_equal_their_definitions(spark, sf, odd):
+    texts = odd + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + ["a\n\nb\n\n", "\n", "A! b. c, 12"]
+    got = {r.doc_id: r.x for r in quality.featured(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == pytest.approx(features(t)), (k, t)
+
+
+def test_scores_come_from_the_statistics(spark):
+    sf = "/root/testdata/sf0.001"
+    from terralex.llm.queries import bucket
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r.score for r in quality.scored(docs, labels, bucket(5) != 0).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = [(r.doc_id, r.quality) for r in labels.where(bucket(5) != 0).orderBy("doc_id").collect() if r.quality in (0, 1) and r.doc_id in texts]
+    y = np.array([q for _, q in known])
+    model = quality.fit(np.array([features(texts[i]) for i, _ in known]), y, float(np.log((y == 1).sum() / (y == 0).sum())))
+    assert got == pytest.approx({i: float(model.score(np.array([features(t)]))[0]) for i, t in texts.items()}, abs=1e-9)
+
+
+def test_lines_with_a_pattern_of_their_own_are_told_apart():
+    x = "a"
+    for _ in range(10):
+        x += x.translate(str.maketrans("ab", "ba"))
+    raw = (x + "\n" + x.translate(str.maketrans("ab", "ba"))).encode()
+    assert rules.judge(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))["n_dup_lines"].tolist() == [0]
+
+
 def test_discriminant_equals_densities():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 1, (300, 3)), rng.normal(1, 2, (200, 3))])
