@@ -38,7 +38,7 @@ def require(**given: object) -> None:
 
 def valid(queries: DataFrame) -> Column:
     """Whether a row (query, and lat and lon if there are any) would be taken as a request."""
-    out = F.col("query").rlike(f"^{QUERY}$")
+    out = F.col("query").rlike(rf"\A{QUERY}\z")
     for c in ("lat", "lon"):
         if c in queries.columns:
             out = out & F.col(c).between(*RANGES[c])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.text import tokens
-from ..operators import address, autocomplete, boolean, dedup, geofence, lm, rank, spatial, spell
+from ..operators import address, autocomplete, boolean, dedup, geofence, lm, rank, service, spatial, spell
 from ..operators import index as ix
 from ..sources import mapdata
 from . import inputs as i
@@ -559,6 +559,21 @@ def search_stored(spark, d):
     return i.stored(spark, d).search(i.users(i.misspelt(spark, d))).select("query_id", "rank", "score", "doc_id", "name", "distance")
 
 
+@query(f"WITH {q.PARTS}, {q.MISSPELT}, {q.CORRECTED}, sq AS (SELECT struct_pack(query_id := query_id, cand := cand) AS seq_id, t FROM cands), {q.lm()}, {q.BEST}, qt AS (SELECT query_id, unnest(t) AS term FROM best WHERE rank = 1), {q.BM25F} SELECT query_id, '{{\"data\":[' || string_agg(to_json(struct_pack(rank := rank, doc_id := doc_id, name := name)), ',' ORDER BY rank) || ']}}' AS body FROM ({q.page()}) h JOIN docs USING (doc_id) GROUP BY query_id")
+def search_responses(spark, d):
+    """The pages of search_stored as JSON, one object a query."""
+    return service.responses(i.stored(spark, d).search(i.misspelt(spark, d)).select("query_id", "rank", "doc_id", "name"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, left(text, CAST(3 + conv_id % 60 AS BIGINT)) AS query, -120.0::DOUBLE + conv_id % 240 AS lat, -200.0::DOUBLE + (conv_id * 7) % 400 AS lon FROM conversations)
+SELECT conv_id, turn, coalesce(regexp_full_match(query, '[A-Za-z0-9_ +,.()]+'), false) AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AS valid FROM r""")
+def valid_requests(spark, d):
+    """Beginnings of turns as queries from places on and off the globe."""
+    c = F.col("conv_id")
+    rows = i.table(spark, d, "conversations").select("conv_id", "turn", F.expr("left(text, cast(3 + conv_id % 60 as int))").alias("query"), (F.lit(-120.0) + c % 240).alias("lat"), (F.lit(-200.0) + (c * 7) % 400).alias("lon"))
+    return rows.select("conv_id", "turn", service.valid(rows).alias("valid"))
+
+
 @query(f"{_COMPLETE}, {q.CONJUNCTIVE}, {_SPOTS} SELECT query_id, place, cand, score, doc_id, name, {_FAR} FROM placed JOIN docs USING (doc_id) JOIN spots p USING (doc_id) JOIN users u USING (query_id) WHERE place <= 10")
 def autocomplete_stored(spark, d):
     return i.stored(spark, d).complete(i.users(i.typed(spark, d))).select("query_id", "place", "cand", "score", "doc_id", "name", "distance")

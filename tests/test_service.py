@@ -57,7 +57,7 @@ def test_requests_are_checked(searcher, call):
 
 
 def test_rows_that_would_be_requests(spark):
-    rows = spark.createDataFrame([(1, "ab (c), d+e.", 0.0), (2, "a;b", 0.0), (3, None, 0.0), (4, "a", 99.0), (5, "a", None), (6, "", 1.0)], "query_id int, query string, lat double")
+    rows = spark.createDataFrame([(1, "ab (c), d+e.", 0.0), (2, "a;b", 0.0), (3, None, 0.0), (4, "a", 99.0), (5, "a", None), (6, "", 1.0), (7, "a\n", 1.0)], "query_id int, query string, lat double")
     assert [r.query_id for r in rows.where(service.valid(rows)).collect()] == [1]
 
 
