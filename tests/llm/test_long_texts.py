@@ -13,7 +13,7 @@ UNIT = "The river runs past the old mill, and box {} holds what was left of it i
 
 @pytest.fixture(scope="module")
 def long_text():
-    return "".join(UNIT.format(k, k % 977) for k in range(125_000))
+    return "".join(UNIT.format(k, k % 977) for k in range(125_000))  # ten megabytes
 
 
 @pytest.fixture(scope="module")
