@@ -95,4 +95,4 @@ def test_whole_benchmark_texts_are_scored(spark, sf):
         t = ["<s>"] * 4 + re.findall("[a-z0-9]+", r.text.lower()) + ["</s>"]
         asked |= {tuple(t[k - 3 : k + 1]) for k in range(4, len(t))}
     assert max(len(r.text.split()) for r in items) > 4
-    assert {(r.h3, r.h2, r.h1, r.w) for r in registry.queries()["stupid_backoff_whole"](spark, sf).collect()} == asked
+    assert {(r.h3, r.h2, r.h1, r.w) for r in registry.queries()["stupid_backoff"](spark, sf).collect()} == asked
