@@ -118,9 +118,10 @@ def ways(spark: SparkSession, d: str) -> DataFrame:
 
 
 def named_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """Nations as ways: one box for each name."""
+    """Nations as ways: one box for each name. Corners are tenths of degrees, divided once: sums of tenths would miss places on a border."""
     n = F.col("n_nationkey").cast("bigint")
-    return table(spark, d, "nation").select(n.alias("id"), F.col("n_name").alias("name"), (-6.3 - (n % 5) * 0.1).alias("lo_lat"), (106.1 + F.floor(n / 5) * 0.1).alias("lo_lon"), (-6.0 - (n % 5) * 0.1).alias("hi_lat"), (106.5 + F.floor(n / 5) * 0.1).alias("hi_lon"))
+    tenths = {"lo_lat": -63 - n % 5, "lo_lon": 1061 + F.floor(n / 5), "hi_lat": -60 - n % 5, "hi_lon": 1065 + F.floor(n / 5)}
+    return table(spark, d, "nation").select(n.alias("id"), F.col("n_name").alias("name"), *((x / 10).alias(c) for c, x in tenths.items()))
 
 
 def map_nodes(spark: SparkSession, d: str) -> DataFrame:
