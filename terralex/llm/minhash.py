@@ -9,10 +9,11 @@ corrected for registers that agree by accident because they are short, and pairs
 
 Equal sets are one class from the start, by a 128-bit sum over the set; a set of one shingle has a digest of its words in it. A band isn't expanded into all its pairs. Its
 members are first tried against one of them, and links make components. Only members of one band that are in different
-components are still open. Small bands are joined; in larger ones, blocks of members meet in one group each, are compared
-as matrices of registers, and send out links only. So no link that the bands show is lost. A block has at most about `BLOCK`
-members and `BLOCK_SHINGLES` shingles, so a group's memory is bounded, but a member is copied to a group for each block of the
-others: rows grow with the square of a band's open members, divided by the size of a block. With 48 bands of 4 registers a
+components are still open. Small bands are joined; larger ones that fit into a block are one group each, and of those that don't,
+two blocks of members are. A group is compared as matrices of registers and sends out links only. So no link that the bands show
+is lost. A block has at most about `BLOCK` members and `BLOCK_SHINGLES` shingles, so a group's memory is bounded. A member of a band
+of one block is sent once, one of a larger band to a group for each block of the others: from there on rows grow with the
+square of a band's open members, divided by the size of a block. With 48 bands of 4 registers a
 pair at J = 0.75 shares no band with probability (1 - 0.75**4)**48 = 1.2e-8.
 
 Edge cases: null and empty texts and texts without words have an empty set and are linked with nothing; a null id is
@@ -36,8 +37,8 @@ from .store import Shelf
 
 #: Words of a shingle; least similarity as a percentage; registers, registers of a band, bits kept after the first one.
 WORDS, PERCENT, REGISTERS, ROWS, MANTISSA = 5, 75, 192, 4, 10
-#: Members of a band that meet at once, and their shingles.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Members of a band that meet at once, and their shingles: registers of 400 bytes and texts are all that a group holds of them.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -200,32 +201,41 @@ def estimated(met: DataFrame) -> DataFrame:
 
 
 def few(rows: DataFrame) -> DataFrame:
-    """Pairs (x, y) of classes of different components a and b in bands of `BLOCK` / 8 open members at most: not more pairs than a fixed number of times the rows."""
-    small = rows.where(F.col("size") <= BLOCK // 8)
+    """Pairs (x, y) of classes of different components a and b in bands of `BLOCK` / 64 open members at most: not more pairs than a fixed number of times the rows."""
+    small = rows.where(F.col("size") <= BLOCK // 64)
     one, two = (small.select("key", F.col("cid").alias(x), F.col("c").alias(c), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")) for x, c in (("x", "a"), ("y", "b")))
     return estimated(one.join(two, "key").where((F.col("x") < F.col("y")) & (F.col("a") != F.col("b")) & similar_size("nx", "ny"))).distinct()
 
 
-def blocks(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between different components a and b in larger bands.
+def dealt(rows: DataFrame) -> DataFrame:
+    """Members of larger bands, once for each group (led, x, y) that they are in.
 
-    A band's members are those of its leading component and the rest. Both are cut into blocks by a hash of the class, so a
-    group is two blocks, whatever the band's size: the rest meets itself and the leading component, which needn't meet itself.
-    Within a group, registers are compared as matrices; a pair is looked at in its first common band only, and not at all
-    once the two components are linked there. What passes is verified on the full sets, and only links come out.
+    A band's members are those of its leading component and the rest. If all fit into one block, the band is a group. Otherwise
+    both are cut into blocks by a hash of the class, so a group is two blocks, whatever the band's size: the rest meets itself and
+    the leading component, which needn't meet itself.
     """
-    large = rows.where(F.col("size") > BLOCK // 8)
+    large = rows.where(F.col("size") > BLOCK // 64)
     led = F.col("c") == F.col("lead")
     need = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
-    counts = large.groupBy("key").agg(need(~led).alias("rest"), need(led).alias("led"))
+    counts = large.groupBy("key").agg(need(~led).alias("rest"), need(led).alias("led"), (need(F.lit(True)) == 1).alias("alone"))
     part = lambda k: F.pmod(F.xxhash64("cid"), k).cast("int")
     group = lambda kind, x, y: F.struct(F.lit(kind).alias("led"), x.alias("x"), y.alias("y"))
     upto = lambda k: F.when(k > 0, F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     own_rest, own_led = part(F.greatest(F.col("rest"), F.lit(1))), part(F.greatest(F.col("led"), F.lit(1)))
+    together = F.array(group(False, F.lit(0), F.lit(0)))
     of_rest = F.concat(F.transform(upto(F.col("rest")), lambda t: group(False, F.least(t, own_rest), F.greatest(t, own_rest))), F.transform(upto(F.col("led")), lambda m: group(True, own_rest, m)))
     of_led = F.transform(upto(F.col("rest")), lambda t: group(True, t, own_led))
-    dealt = large.join(counts, "key").select("key", "band", "cid", "c", "n", "registers", F.when(led, -1).otherwise(own_rest).alias("own"), F.explode(F.when(led, of_led).otherwise(of_rest)).alias("g"))
-    dealt = dealt.join(classes.select("cid", "text"), "cid").select("key", "g.led", "g.x", "g.y", "band", "c", "own", "n", "registers", "text")
+    out = large.join(counts, "key").select("key", "band", "cid", "c", "n", "registers", F.when(led, -1).otherwise(own_rest).alias("own"), F.explode(F.when(F.col("alone"), together).when(led, of_led).otherwise(of_rest)).alias("g"))
+    return out.select("key", "g.led", "g.x", "g.y", "band", "cid", "c", "own", "n", "registers")
+
+
+def blocks(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between different components a and b in larger bands.
+
+    Within a group, registers are compared as matrices; a pair is looked at in its first common band only, and not at all
+    once the two components are linked there. What passes is verified on the full sets, and only links come out.
+    """
+    met = dealt(rows).join(classes.select("cid", "text"), "cid").drop("cid")
 
     def meet(table: pa.Table) -> pa.Table:
         led, x, y, band = (table.column(c)[0].as_py() for c in ("led", "x", "y", "band"))
@@ -234,7 +244,7 @@ def blocks(rows: DataFrame, classes: DataFrame) -> DataFrame:
         keys = regs.view(np.uint64).reshape(len(regs), -1)
         data, offsets = utf8(table.column("text"))
         left = np.flatnonzero(own == x)
-        right = np.flatnonzero(own == (-1 if led else y))
+        right = np.flatnonzero((own == -1) | (own == y) & (not led))  # groups of two blocks of the rest have no -1
         sets: dict[int, np.ndarray] = {}
 
         def full(i: int) -> np.ndarray:
@@ -244,7 +254,7 @@ def blocks(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
         t, joined, chance = PERCENT / 100, set(), spread(n.astype(float))
         for i in left:
-            others = right[right > i] if not led and x == y else right
+            others = right[(right > i) | (own[right] == -1)] if x == y else right
             others = others[(comp[others] != comp[i]) & (100 * np.minimum(n[others], n[i]) >= PERCENT * np.maximum(n[others], n[i]))]
             if not len(others):
                 continue
@@ -256,7 +266,7 @@ def blocks(rows: DataFrame, classes: DataFrame) -> DataFrame:
                     joined.add(pair)
         return pa.table({"a": pa.array([f[0] for f in joined], pa.int64()), "b": pa.array([f[1] for f in joined], pa.int64())})
 
-    return dealt.groupBy("key", "led", "x", "y").applyInArrow(meet, "a bigint, b bigint")
+    return met.groupBy("key", "led", "x", "y").applyInArrow(meet, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

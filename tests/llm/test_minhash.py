@@ -67,6 +67,19 @@ def test_components_equal_brute_force(spark, monkeypatch, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_open_members_of_a_band_of_one_block_are_sent_once(spark, monkeypatch):
+    rows = spark.range(1500).selectExpr("7L as key", "3 as band", "id as cid", "if(id < 900, 0, id) as c", "100L as n", "cast('' as binary) as registers", "1500L as size", "0L as lead")
+    sent = minhash.dealt(rows)
+    assert sent.count() == 1500 and sent.select("led", "x", "y").distinct().count() == 1
+    monkeypatch.setattr(minhash, "BLOCK", 400)
+    groups = {}
+    for r in minhash.dealt(rows).collect():
+        groups.setdefault((r.led, r.x, r.y), []).append(r.cid)
+    assert max(map(len, groups.values())) <= 1000
+    met = {frozenset((a, b)) for g in groups.values() for a in g for b in g if a >= 900 and b >= 900 or (a < 900) != (b < 900)}
+    assert len(met) == 600 * 601 // 2 + 600 * 900
+
+
 def test_odd_texts(spark, odd_docs, no_docs):
     got = minhash.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
