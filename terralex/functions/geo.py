@@ -13,13 +13,30 @@ def num(x: float | Column) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
-def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+def rounded(x: Column, digits: int = 6) -> Column:
+    """round() of doubles by arithmetic, half away from zero, as DuckDB does it: Spark's goes through decimals, which takes far longer than a distance."""
+    t = F.abs(x) * 10.0**digits
+    up = (F.floor(t) + F.when(t - F.floor(t) >= 0.5, 1).otherwise(0)) / 10.0**digits
+    return F.when(t < 2.0**52, F.when(x < 0, 0.0 - up).otherwise(up)).otherwise(x)
+
+
+def haversine_square(lat1: Column, lon1: Column, lat2: Column, lon2: Column, cos1: Column | None = None, cos2: Column | None = None) -> Column:
+    """Square of the sine of half the angle between two points. cos1, cos2: cosines of the latitudes, where a join's sides have them already."""
     half = lambda x: (1.0 - F.cos(x)) / 2.0
-    h = half(F.radians(lat2 - lat1)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(F.radians(lon2 - lon1))
+    cos1, cos2 = F.cos(F.radians(lat1)) if cos1 is None else cos1, F.cos(F.radians(lat2)) if cos2 is None else cos2
+    return half(F.radians(lat2 - lat1)) + cos1 * cos2 * half(F.radians(lon2 - lon1))
+
+
+def haversine_of(h: Column) -> Column:
+    """Kilometres for a haversine_square."""
     # greatest() and least() pass over nulls, so rounding errors are cut off by cases
     return F.asin(F.sqrt(F.when(h > 1.0, 1.0).when(h < 0.0, 0.0).otherwise(h))) * (2.0 * EARTH_KM)
 
 
+def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    return haversine_of(haversine_square(lat1, lon1, lat2, lon2))
+
+
 def equirect(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """A pseudo-distance whose arguments are degrees taken as radians; kept for parity of nearest-neighbour order."""
     x, y = (lon2 - lon1) * F.cos((lat1 + lat2) / 2.0), lat2 - lat1
@@ -33,15 +50,25 @@ def to_box(lat: Column, lon: Column, lo_lat: Column, lo_lon: Column, hi_lat: Col
 
 def from_box(lat: Column, lon: Column, lo_lat: Column, lo_lon: Column, hi_lat: Column, hi_lon: Column) -> Column:
     """Largest pseudo-distance of a point to the corners of a box."""
-    return F.greatest(*(equirect(lat, lon, a, b) for a in (lo_lat, hi_lat) for b in (lo_lon, hi_lon)))
+    def square(a: Column, b: Column) -> Column:
+        x, y = (b - lon) * F.cos((lat + a) / 2.0), a - lat
+        return x * x + y * y
+
+    # roots keep the order, so one is enough
+    return F.sqrt(F.greatest(*(square(a, b) for a in (lo_lat, hi_lat) for b in (lo_lon, hi_lon)))) * EARTH_KM
 
 
 def midpoint(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> tuple[Column, Column]:
     """Latitude and longitude of the middle of the great circle between two points."""
     a, b, d = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
-    x, y = F.cos(b) * F.cos(d), F.cos(b) * F.sin(d)
-    lat = F.atan2(F.sin(a) + F.sin(b), F.sqrt((F.cos(a) + x) * (F.cos(a) + x) + y * y))
-    return F.degrees(lat), F.degrees(F.radians(lon1) + F.atan2(y, F.cos(a) + x))
+    return midpoint_of(F.sin(a), F.cos(a), F.radians(lon1), F.sin(b), F.cos(b), F.cos(d), F.sin(d))
+
+
+def midpoint_of(sin1: Column, cos1: Column, lon1: Column, sin2: Column, cos2: Column, cos_d: Column, sin_d: Column) -> tuple[Column, Column]:
+    """midpoint() from sines and cosines of the latitudes and of the difference of longitudes, and the first longitude in radians."""
+    x, y = cos2 * cos_d, cos2 * sin_d
+    lat = F.atan2(sin1 + sin2, F.sqrt((cos1 + x) * (cos1 + x) + y * y))
+    return F.degrees(lat), F.degrees(lon1 + F.atan2(y, cos1 + x))
 
 
 def destination(lat: Column, lon: Column, bearing: Column, km: Column) -> tuple[Column, Column]:

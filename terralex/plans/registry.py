@@ -12,6 +12,7 @@ from ..functions.text import tokens
 from ..operators import address, autocomplete, boolean, dedup, geofence, lm, rank, service, spatial, spell
 from ..operators import index as ix
 from ..sources import mapdata
+from ..sources.tables import many_to_many
 from . import inputs as i
 from . import sql as q
 
@@ -273,17 +274,27 @@ def posting_union(spark, d):
 # Geometry
 
 
-def _pairs(spark, d):
-    return i.places(spark, d).join(i.points(spark, d).select("query_id", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "s_nationkey"), F.col("c_nationkey") == F.col("s_nationkey"))
+def _pairs(spark, d, of_place=None, of_point=None):
+    """Places and points of a nation. of_place, of_point: columns that are made once for each of them, not for each pair."""
+    places = i.places(spark, d).select("id", "lat", "lon", F.col("c_nationkey").alias("nation")).withColumns(of_place or {})
+    points = i.points(spark, d).select("query_id", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), F.col("s_nationkey").alias("nation")).withColumns(of_point or {})
+    return many_to_many(places, points, "nation")
 
 
 def _four():
     return F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon")
 
 
+def _rounded(rows, *names):
+    # on columns of a projection below: within one expression, each use would compute the distance again
+    return rows.select("id", "query_id", *(geo.rounded(F.col(c)).alias(c) for c in names))
+
+
 @query(f"WITH {q.GEO} SELECT id, query_id, round({q.haversine('qlat', 'qlon', 'lat', 'lon')}, 6) AS km FROM pairs")
 def haversine_pairs(spark, d):
-    return _pairs(spark, d).select("id", "query_id", F.round(geo.haversine(*_four()), 6).alias("km"))
+    pairs = _pairs(spark, d, {"cos2": F.cos(F.radians("lat"))}, {"cos1": F.cos(F.radians("qlat"))})
+    h = pairs.select("id", "query_id", geo.haversine_square(*_four(), F.col("cos1"), F.col("cos2")).alias("h"))
+    return _rounded(h.select("id", "query_id", geo.haversine_of(F.col("h")).alias("km")), "km")
 
 
 @query(f"WITH {q.GEO} SELECT id, query_id, round({q.equirect('qlat', 'qlon', 'lat', 'lon')}, 6) AS km FROM pairs")

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that many_to_many sends to all tasks, at most: 100 bytes each.
+BROADCAST_ROWS = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -13,3 +17,16 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows dealt to all cores where a scan has fewer parts than there are cores, as with one small file; other tables stay as they are read."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def many_to_many(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Inner join whose result is much larger than its sides: left rows are dealt evenly, as few keys or a small file would leave it to few tasks.
+
+    right should be the smaller side. If it is too large for all tasks, each of its rows goes to as many parts as a key is cut into.
+    """
+    n = 4 * left.sparkSession.sparkContext.defaultParallelism
+    if right.count() <= BROADCAST_ROWS:
+        return left.where(F.col(on).isNotNull()).repartition(n).join(F.broadcast(right), on)
+    cut = F.pmod(F.xxhash64(*left.columns), F.lit(n)).cast("int")
+    parts = right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return left.withColumn("__part", cut).repartition(n, on, "__part").join(parts.repartition(n, on, "__part"), [on, "__part"]).drop("__part")

@@ -3,8 +3,13 @@
 import duckdb
 import pytest
 from compare import same_rows
+from pyspark.sql import functions as F
 
+from terralex.functions import geo
 from terralex.plans import registry
+from terralex.sources import tables
+
+PAIRS = ["haversine_pairs"]
 
 
 @pytest.fixture
@@ -28,3 +33,17 @@ def customers(keys):
 def test_nodes_on_the_border_of_a_box_are_in_it(spark, sf, held):
     on_border = spark.range(1, 100_000).where("(id % 997) % 100 = 0 or (id % 1009) % 100 = 0")
     held("node_dedup", customer=customers(on_border), nation=spark.read.parquet(f"{sf}/nation.parquet"))
+
+
+def test_rounding_equals_duckdb(spark):
+    xs = [k / 64e6 for k in range(-200, 200)] + [2.0000005, -1.0000015, 0.4999995, 4.9999999e-7, 1e300, float("inf"), float("nan"), None, 12345.6789015]
+    got = [r.y for r in spark.createDataFrame([(x,) for x in xs], "x double").select(geo.rounded(F.col("x")).alias("y")).collect()]
+    want = [duckdb.execute("select round(?::double, 6)", [x]).fetchone()[0] for x in xs]
+    assert list(map(str, got)) == [str(w + 0.0) if w == 0 else str(w) for w in want]
+
+
+@pytest.mark.parametrize("name", PAIRS)
+def test_pairs_are_made_by_all_cores(spark, sf, held, monkeypatch, name):
+    assert registry.queries()[name](spark, sf).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 10)  # the larger side is cut instead
+    held(name, **{t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "supplier")})
