@@ -299,7 +299,7 @@ def haversine_pairs(spark, d):
 
 @query(f"WITH {q.GEO} SELECT id, query_id, round({q.equirect('qlat', 'qlon', 'lat', 'lon')}, 6) AS km FROM pairs")
 def equirect_pairs(spark, d):
-    return _pairs(spark, d).select("id", "query_id", F.round(geo.equirect(*_four()), 6).alias("km"))
+    return _rounded(_pairs(spark, d).select("id", "query_id", geo.equirect(*_four()).alias("km")), "km")
 
 
 @query(f"""WITH {q.GEO}, m AS (SELECT id, query_id, radians(qlon) AS l1, radians(qlat) AS a, radians(lat) AS b, radians(lon - qlon) AS dl FROM pairs),
