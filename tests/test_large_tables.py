@@ -9,7 +9,7 @@ from terralex.functions import geo
 from terralex.plans import registry
 from terralex.sources import tables
 
-PAIRS = ["haversine_pairs", "equirect_pairs", "box_distances"]
+PAIRS = ["haversine_pairs", "equirect_pairs", "box_distances", "midpoint"]
 
 
 @pytest.fixture
