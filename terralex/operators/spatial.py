@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources.scratch import Shelf
+from ..sources.tables import many_to_many
 
 #: Kilometres of a degree of latitude.
 DEGREE = math.pi * geo.EARTH_KM / 180
@@ -190,6 +191,25 @@ def box_join(points: DataFrame, boxes: DataFrame, size: float = 0.05) -> DataFra
     return a.join(b, "cell").where(geo.overlaps("", "b_") & (F.col("cell") == corner)).drop("cell")
 
 
+def in_circles(places: DataFrame, circles: DataFrame, size: float = 0.1) -> DataFrame:
+    """(id, query_id) of places (id, lat, lon) and the circles (query_id, qlat, qlon, radius) they are in, as geo.in_circle() has it.
+
+    A place is in one cell, so it meets a circle once. The chord between two points tells their distance without angles;
+    only where it is too near the radius to be sure of, the distance itself is computed.
+    """
+    at = lambda a, o: {"x": F.cos(F.radians(a)) * F.cos(F.radians(o)), "y": F.cos(F.radians(a)) * F.sin(F.radians(o)), "z": F.sin(F.radians(a))}
+    key = lambda c: F.shiftleft(c["y"].cast("bigint"), 32) + c["x"].cast("bigint")
+    reach = F.when(F.col("radius") < math.pi * geo.EARTH_KM, F.pow(F.sin(F.col("radius") / (2 * geo.EARTH_KM)), 2)).otherwise(2.0)
+    a = places.select("id", "lat", "lon", key(cell(F.col("lat"), F.col("lon"), size)).alias("cell")).withColumns(at("lat", "lon"))
+    b = circle_boxes(circles.select("query_id", "qlat", "qlon", "radius").where("radius >= 0"), "qlat", "qlon")
+    b = b.select("query_id", "qlat", "qlon", "radius", F.explode(F.transform(cells(*(F.col(f"b_{c}") for c in ("lo_lat", "lo_lon", "hi_lat", "hi_lon")), size), key)).alias("cell"))
+    b = b.withColumns({f"q{k}": v for k, v in at("qlat", "qlon").items()}).withColumns({"sure": reach * (1 - 1e-9) - 1e-13, "most": reach * (1 + 1e-9) + 1e-13})
+    square = lambda k: (F.col(k) - F.col(f"q{k}")) * (F.col(k) - F.col(f"q{k}"))
+    h = (square("x") + square("y") + square("z")) / 4.0
+    exact = geo.in_circle(F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"), F.col("radius"))
+    return many_to_many(a, b, "cell").where((h <= F.col("most")) & ((h <= F.col("sure")) | exact)).select("id", "query_id")
+
+
 def polygon_join(points: DataFrame, areas: DataFrame, size: float = 0.05, strict: bool = False) -> DataFrame:
     """Points (id, lat, lon) with the areas (area_id, lats, lons, ...) they are in: cells, then boxes, then the winding number."""
     boxed = areas.select("*", F.array_min("lats").alias("lo_lat"), F.array_min("lons").alias("lo_lon"), F.array_max("lats").alias("hi_lat"), F.array_max("lons").alias("hi_lon"))

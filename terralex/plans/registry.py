@@ -321,14 +321,13 @@ _CIRCLES = "SELECT p.id, q.query_id, p.lat, p.lon, q.lat AS qlat, q.lon AS qlon,
 
 
 def _circles(spark, d):
-    return spatial.circle_boxes(i.points(spark, d).select("query_id", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), (F.lit(0.2) + F.col("query_id") % 20).cast("double").alias("radius")), "qlat", "qlon")
+    return i.points(spark, d).select("query_id", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), (F.lit(0.2) + F.col("query_id") % 20).cast("double").alias("radius"))
 
 
 @query(f"WITH {q.GEO} SELECT id, query_id FROM ({_CIRCLES}) WHERE {q.haversine('qlat', 'qlon', 'lat', 'lon')} <= r")
 def circle_contains(spark, d):
     """Places against all circles."""
-    near = spatial.box_join(mapdata.point_boxes(i.places(spark, d), 0.0), _circles(spark, d), 0.1)
-    return near.where(geo.in_circle(F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"), F.col("radius"))).select("id", "query_id")
+    return spatial.in_circles(i.places(spark, d), _circles(spark, d))
 
 
 @query(f"WITH {q.GEO}, s AS (SELECT id, query_id, -6.5 AS a1, 106.0 AS o1, lat AS a2, lon AS o2, qlat AS ca, qlon AS co, r FROM ({_CIRCLES})) SELECT id, query_id FROM s WHERE {q.crosses('a1', 'o1', 'a2', 'o2', 'ca', 'co', 'r')}")
@@ -336,7 +335,7 @@ def segment_circle(spark, d):
     """Lines from one corner of the region to each place, against all circles."""
     a, o = F.lit(-6.5), F.lit(106.0)
     lines = i.places(spark, d).select("id", "lat", "lon", F.least(a, "lat").alias("lo_lat"), F.least(o, "lon").alias("lo_lon"), F.greatest(a, "lat").alias("hi_lat"), F.greatest(o, "lon").alias("hi_lon"))
-    near = spatial.box_join(lines, _circles(spark, d), 0.25)
+    near = spatial.box_join(lines, spatial.circle_boxes(_circles(spark, d), "qlat", "qlon"), 0.25)
     return near.where(geo.crosses_circle(a, o, F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"), F.col("radius"))).select("id", "query_id")
 
 

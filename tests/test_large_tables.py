@@ -1,11 +1,17 @@
 """What shows only on larger tables than the driver's small ones."""
 
+import random
+
+import random
+
 import duckdb
 import pytest
 from compare import same_rows
 from pyspark.sql import functions as F
 
 from terralex.functions import geo
+from terralex.operators import spatial
+from terralex.operators import spatial
 from terralex.plans import registry
 from terralex.sources import tables
 
@@ -47,3 +53,23 @@ def test_pairs_are_made_by_all_cores(spark, sf, held, monkeypatch, name):
     assert registry.queries()[name](spark, sf).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
     monkeypatch.setattr(tables, "BROADCAST_ROWS", 10)  # the larger side is cut instead
     held(name, **{t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "supplier")})
+
+
+@pytest.fixture
+def scattered(spark):
+    """Places and circles of all sizes near a point, on both sides of the date line and near a pole, some without a position."""
+    rng = random.Random(5)
+    near = [lambda: (rng.gauss(-6.2, 0.3), rng.gauss(106.2, 0.3)), lambda: (rng.uniform(-60, 60), rng.choice([-180, 180]) * rng.uniform(0.99, 1)), lambda: (rng.uniform(88, 90), rng.uniform(-180, 180))]
+    places = [(k, *near[k % 3]()) for k in range(600)] + [(1000, None, 106.0), (1001, -6.2, 106.2), (1002, -6.5, 106.0)]
+    circles = [(k, *near[k % 5 // 2](), rng.choice([0.2, 2.0, 20.0, 150.0])) for k in range(60)] + [(100, -6.2, 106.2, 0.0), (101, -6.2, 106.2, -1.0), (102, None, 1.0, 5.0), (103, -6.5, 106.0, 10.0), (104, -6.5, 106.0, 0.0)]
+    return spark.createDataFrame(places, "id long, lat double, lon double").cache(), spark.createDataFrame(circles, "query_id long, qlat double, qlon double, radius double").cache()
+
+
+def pairs_of(df):
+    return sorted((r.id, r.query_id) for r in df.collect())
+
+
+def test_places_in_circles_equal_brute_force(scattered):
+    places, circles = scattered
+    want = pairs_of(places.crossJoin(circles).where(geo.in_circle(*(F.col(c) for c in ("lat", "lon", "qlat", "qlon", "radius")))))
+    assert pairs_of(spatial.in_circles(places, circles, 1.0)) == want and len(want) > 500
