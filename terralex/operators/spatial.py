@@ -210,6 +210,42 @@ def in_circles(places: DataFrame, circles: DataFrame, size: float = 0.1) -> Data
     return many_to_many(a, b, "cell").where((h <= F.col("most")) & ((h <= F.col("sure")) | exact)).select("id", "query_id")
 
 
+def rays_and_circles(lat: float, lon: float, ends: DataFrame, circles: DataFrame, n: int = 64) -> DataFrame:
+    """(id, query_id) of the straight lines from one point to ends (id, lat, lon) and the circles (query_id, qlat, qlon, radius) they cross, as geo.crosses_circle() has it.
+
+    Lines are dealt by their direction in n sectors; a circle is in all sectors between its tangents from the point, so a line meets
+    it once. Signs tell whether a line crosses: of the ends' and the nearest point's squared distance, less that of the radius.
+    Only where one is too near zero to be sure of, the crossings themselves are computed; these pairs are written first, as within one
+    filter the long expression would keep the JVM from compiling it.
+    """
+    a, o = F.lit(lat), F.lit(lon)
+    turn = lambda t: F.floor((t + math.pi) * (n / (2 * math.pi))).cast("bigint")
+    # on a plane around the circle's center, in metres, as crosses_circle() has it
+    flat, r = F.cos(F.radians("qlat")), F.col("radius") * 1000.0
+    c = circles.select("query_id", "qlat", "qlon", "radius", (flat * (geo.EARTH_M * math.pi / 180)).alias("kx"), F.lit(geo.EARTH_M * math.pi / 180).alias("ky"), r.alias("r"), flat.alias("flat"))
+    c = c.withColumns({"x1": (o - F.col("qlon")) * F.col("kx"), "y1": (a - F.col("qlat")) * F.col("ky")})
+    c = c.withColumn("far", F.sqrt(F.col("x1") * F.col("x1") + F.col("y1") * F.col("y1")))
+    to, half = F.atan2(-F.col("y1"), -F.col("x1")), F.asin(F.least(F.lit(1.0), F.abs("r") / F.greatest("far", F.lit(1.0)))) + 1e-6
+    degrees = lambda t: F.atan2(F.sin(t) * F.col("flat"), F.cos(t))  # noqa: E731  the direction in degrees, in which lines have theirs
+    first, last = turn(degrees(to - half) - 1e-6), turn(degrees(to + half) + 1e-6)
+    around_ = (F.col("far") <= F.abs("r") * 1.001 + 1.0) | (F.col("flat") < 1e-3) | first.isNull() | last.isNull()
+    sectors = F.when(around_, F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), F.least(F.pmod(last - first, F.lit(n)), F.lit(n - 1).cast("bigint"))), lambda k: F.pmod(first + k, F.lit(n))))
+    c = c.withColumn("c", F.col("x1") * F.col("x1") + F.col("y1") * F.col("y1") - F.col("r") * F.col("r"))
+    c = c.withColumn("near", (F.col("far") * F.col("far") + F.col("r") * F.col("r")) * 1e-9 + 1e-3)
+    c = c.where("qlat is not null and qlon is not null and radius is not null").select("query_id", "qlat", "qlon", "radius", "kx", "ky", "x1", "y1", "r", "c", "near", F.explode(sectors).alias("sector"))
+    lines = ends.where("lat is not null and lon is not null").select("id", "lat", "lon", F.pmod(turn(F.atan2(F.col("lat") - a, F.col("lon") - o)), F.lit(n)).alias("sector"))
+    dx, dy, at = (F.col("lon") - o) * F.col("kx"), (F.col("lat") - a) * F.col("ky"), F.col("c")
+    x2, y2 = F.col("x1") + dx, F.col("y1") + dy
+    end = x2 * x2 + y2 * y2 - F.col("r") * F.col("r")
+    p, q = F.col("x1") * dx + F.col("y1") * dy, dx * dx + dy * dy
+    unsure = (F.abs(at) <= F.col("near")) | (F.abs(end) <= F.col("near")) | (F.abs(p * p - q * at) <= p * p * 1e-8)
+    exact = geo.crosses_circle(a, o, F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"), F.col("radius"))
+    met = ((at < 0) | (end < 0)) & ((at < 0) != (end < 0)) | (at >= 0) & (end >= 0) & (p < 0) & (-p < q) & (p * p > q * at)
+    pairs = many_to_many(lines, c, "sector")
+    close = Shelf(ends.sparkSession, "rays").put(pairs.where(unsure).select("id", "lat", "lon", "query_id", "qlat", "qlon", "radius"), "close")
+    return pairs.where(~unsure & met).select("id", "query_id").unionByName(close.where(exact).select("id", "query_id"))
+
+
 def polygon_join(points: DataFrame, areas: DataFrame, size: float = 0.05, strict: bool = False) -> DataFrame:
     """Points (id, lat, lon) with the areas (area_id, lats, lons, ...) they are in: cells, then boxes, then the winding number."""
     boxed = areas.select("*", F.array_min("lats").alias("lo_lat"), F.array_min("lons").alias("lo_lon"), F.array_max("lats").alias("hi_lat"), F.array_max("lons").alias("hi_lon"))

@@ -333,10 +333,7 @@ def circle_contains(spark, d):
 @query(f"WITH {q.GEO}, s AS (SELECT id, query_id, -6.5 AS a1, 106.0 AS o1, lat AS a2, lon AS o2, qlat AS ca, qlon AS co, r FROM ({_CIRCLES})) SELECT id, query_id FROM s WHERE {q.crosses('a1', 'o1', 'a2', 'o2', 'ca', 'co', 'r')}")
 def segment_circle(spark, d):
     """Lines from one corner of the region to each place, against all circles."""
-    a, o = F.lit(-6.5), F.lit(106.0)
-    lines = i.places(spark, d).select("id", "lat", "lon", F.least(a, "lat").alias("lo_lat"), F.least(o, "lon").alias("lo_lon"), F.greatest(a, "lat").alias("hi_lat"), F.greatest(o, "lon").alias("hi_lon"))
-    near = spatial.box_join(lines, spatial.circle_boxes(_circles(spark, d), "qlat", "qlon"), 0.25)
-    return near.where(geo.crosses_circle(a, o, F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon"), F.col("radius"))).select("id", "query_id")
+    return spatial.rays_and_circles(-6.5, 106.0, i.places(spark, d), _circles(spark, d))
 
 
 @query(f"WITH {q.GEO} SELECT id, query_id AS box_id FROM places a, points b WHERE a.lat - 0.02 < b.lat + 0.03 AND b.lat - 0.03 < a.lat + 0.02 AND a.lon - 0.02 < b.lon + 0.03 AND b.lon - 0.03 < a.lon + 0.02")

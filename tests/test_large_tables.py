@@ -73,3 +73,10 @@ def test_places_in_circles_equal_brute_force(scattered):
     places, circles = scattered
     want = pairs_of(places.crossJoin(circles).where(geo.in_circle(*(F.col(c) for c in ("lat", "lon", "qlat", "qlon", "radius")))))
     assert pairs_of(spatial.in_circles(places, circles, 1.0)) == want and len(want) > 500
+
+
+@pytest.mark.parametrize("n", [8, 64])
+def test_rays_and_circles_equal_brute_force(scattered, n):
+    places, circles = scattered
+    want = pairs_of(places.crossJoin(circles).where(geo.crosses_circle(F.lit(-6.5), F.lit(106.0), *(F.col(c) for c in ("lat", "lon", "qlat", "qlon", "radius")))))
+    assert pairs_of(spatial.rays_and_circles(-6.5, 106.0, places, circles, n)) == want and len(want) > 500
