@@ -55,6 +55,29 @@ def test_pairs_are_made_by_all_cores(spark, sf, held, monkeypatch, name):
     held(name, **{t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "supplier")})
 
 
+def suppliers(keys):
+    return keys.selectExpr("id as s_suppkey", "concat('s', id) as s_name", "cast(id % 25 as int) as s_nationkey")
+
+
+def suppliers(keys):
+    return keys.selectExpr("id as s_suppkey", "concat('s', id) as s_name", "cast(id % 25 as int) as s_nationkey")
+
+
+def test_pairs_are_written_in_runs(spark, held, tmp_path, monkeypatch):
+    """Nations one after another, few points at a time, each time for all places: else the columns of points take several times the room."""
+    monkeypatch.setattr(tables, "RUN", 2, raising=False)
+    held("box_distances", customer=customers(spark.range(1, 20_000)), supplier=suppliers(spark.range(1, 126)))
+    rows = registry.queries()["box_distances"](spark, str(tmp_path)).select(F.spark_partition_id().alias("part"), "id", "query_id").collect()
+    runs = []
+    for r in rows:
+        if not runs or runs[-1][:2] != (r.part, r.id):
+            runs.append((r.part, r.id, []))
+        runs[-1][2].append(r.query_id)
+    assert {len(queries) for *_, queries in runs} == {1, 2}  # five points of a nation
+    turns = [(part, id % 25, tuple(queries)) for part, id, queries in runs]
+    assert sum(t != before for t, before in zip(turns, [None, *turns])) == len(set(turns))
+
+
 @pytest.fixture
 def scattered(spark):
     """Places and circles of all sizes near a point, on both sides of the date line and near a pole, some without a position."""
