@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources.scratch import Shelf
+from ..sources import tables
 from ..sources.tables import many_to_many
 
 #: Kilometres of a degree of latitude.
@@ -246,6 +247,37 @@ def rays_and_circles(lat: float, lon: float, ends: DataFrame, circles: DataFrame
     return pairs.where(~unsure & met).select("id", "query_id").unionByName(close.where(exact).select("id", "query_id"))
 
 
+#: Pairs from which by_middle() deals by middles, and pairs of a task.
+MIDDLES, TASK_PAIRS = 1 << 26, 1 << 23
+
+
+def by_middle(places: DataFrame, points: DataFrame, on: str) -> DataFrame:
+    """many_to_many() of places (lat, lon) and points (query_id, qlat, qlon), in an order in which their middles take little room when written.
+
+    Both are dealt to tiles of an eighth of a degree. Tiles whose rows and columns have the same sums have their middles in one cell of that size: about
+    125000 different latitudes and longitudes of six digits, which a Parquet dictionary of 1 MB holds. A task gets pairs of one cell, or whole small
+    cells. Where there are few pairs, or too many places for all tasks, the order isn't worth its price.
+    """
+    band = lambda x, n: F.coalesce(F.floor(F.col(x) * n), F.lit(0)).cast("int")
+    places = places.withColumns({"py": band("lat", 8), "px": band("lon", 8)})
+    points = points.withColumns({"cy": band("qlat", 8), "cx": band("qlon", 8), "sy": band("qlat", 16), "sx": band("qlon", 16)})
+    tiles, corners = places.groupBy(on, "py", "px").agg(F.count("*").alias("n")), points.groupBy(on, "cy", "cx").agg(F.count("*").alias("m"))
+    sums = [(F.col("cy") + F.col("py")).alias("y"), (F.col("cx") + F.col("px")).alias("x")]
+    cells = tiles.join(corners, on).groupBy(*sums).agg(F.sum(F.col("n") * F.col("m")).alias("pairs")).orderBy("y", "x").collect()
+    if sum(c.pairs for c in cells) < MIDDLES or places.count() > tables.BROADCAST_ROWS:
+        return many_to_many(places.drop("py", "px"), points.drop("cy", "cx", "sy", "sx"), on)
+    parts, n, room = [], 0, 0
+    for c in cells:
+        if c.pairs > room:
+            n, room = n + 1, TASK_PAIRS // 8  # more small cells together would overflow a dictionary
+        parts.append((c.y, c.x, n - 1, cut := -(-c.pairs // TASK_PAIRS)))
+        n, room = n + cut - 1, max(0, room - c.pairs)
+    part = F.col("first") + F.pmod(F.xxhash64("query_id", "qlat", "qlon"), F.col("cut")).cast("int")
+    legs = points.join(F.broadcast(tiles.drop("n")), on).withColumns(dict(zip("yx", sums))).join(F.broadcast(points.sparkSession.createDataFrame(parts, "y int, x int, first int, cut int")), ["y", "x"])
+    legs = tables.in_order(legs.repartitionById(n, part), "y", "x", "py", "px", "sy", "sx", on)
+    return legs.drop("y", "x", "cy", "cx", "sy", "sx", "first", "cut").join(F.broadcast(places), [on, "py", "px"]).drop("py", "px")
+
+
 def polygon_join(points: DataFrame, areas: DataFrame, size: float = 0.05, strict: bool = False) -> DataFrame:
     """Points (id, lat, lon) with the areas (area_id, lats, lons, ...) they are in: cells, then boxes, then the winding number."""
     boxed = areas.select("*", F.array_min("lats").alias("lo_lat"), F.array_min("lons").alias("lo_lon"), F.array_max("lats").alias("hi_lat"), F.array_max("lons").alias("hi_lon"))

@@ -307,7 +307,7 @@ n AS (SELECT *, cos(b) * cos(dl) AS x, cos(b) * sin(dl) AS y FROM m)
 SELECT id, query_id, round(degrees(atan2(sin(a) + sin(b), sqrt((cos(a) + x) * (cos(a) + x) + y * y))), 6) AS lat, round(degrees(l1 + atan2(y, cos(a) + x)), 6) AS lon FROM n""")
 def midpoint(spark, d):
     turned = lambda c, k: {f"sin{k}": F.sin(F.radians(c)), f"cos{k}": F.cos(F.radians(c))}
-    pairs = _pairs(spark, d, turned("lat", 2), turned("qlat", 1) | {"rlon": F.radians("qlon")}).withColumn("diff", F.radians(F.col("lon") - F.col("qlon")))
+    pairs = _pairs(spark, d, turned("lat", 2), turned("qlat", 1) | {"rlon": F.radians("qlon")}, spatial.by_middle).withColumn("diff", F.radians(F.col("lon") - F.col("qlon")))
     la, lo = geo.midpoint_of(*(F.col(c) for c in ("sin1", "cos1", "rlon", "sin2", "cos2")), F.cos("diff"), F.sin("diff"))
     return _rounded(pairs.select("id", "query_id", la.alias("lat"), lo.alias("lon")), "lat", "lon")
 

@@ -5,6 +5,7 @@ import random
 import random
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 from compare import same_rows
 from pyspark.sql import functions as F
@@ -78,6 +79,34 @@ def test_pairs_are_written_in_runs(spark, held, tmp_path, monkeypatch):
     assert sum(t != before for t, before in zip(turns, [None, *turns])) == len(set(turns))
 
 
+@pytest.mark.parametrize("task_pairs", [50, 1 << 23])
+def test_pairs_by_middle_equal_sql(spark, held, monkeypatch, task_pairs):
+    monkeypatch.setattr(spatial, "MIDDLES", 0)
+    monkeypatch.setattr(spatial, "TASK_PAIRS", task_pairs)
+    without = spark.sql("select cast(null as bigint) as id")
+    keys = spark.range(1, 400_000, 401).union(without)
+    unknown = customers(spark.range(3)).selectExpr("c_custkey", "c_name", "cast(null as int) as c_nationkey", "c_mktsegment")
+    nowhere = spark.sql("select cast(null as bigint) as c_custkey, 'c' as c_name, 3 as c_nationkey, 'X' as c_mktsegment")
+    nobody = spark.sql("select cast(null as bigint) as s_suppkey, 's' as s_name, 3 as s_nationkey")
+    held("midpoint", customer=customers(keys).union(unknown).union(nowhere).union(nowhere), supplier=suppliers(spark.range(1, 4_000, 17)).union(nobody))
+
+
+def test_middles_take_little_room(spark, tmp_path, monkeypatch):
+    for name, pairs in (("MIDDLES", 1 << 20), ("TASK_PAIRS", 1 << 18)):
+        monkeypatch.setattr(spatial, name, pairs, raising=False)
+    customers(spark.range(3, 1_000_000, 25).where("id % 997 < 125 and id % 1009 < 126")).write.parquet(f"{tmp_path}/customer.parquet")
+    suppliers(spark.range(3, 80_000, 25)).write.parquet(f"{tmp_path}/supplier.parquet")
+    registry.queries()["midpoint"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    rows, size = 0, {}
+    for f in tmp_path.glob("out/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        rows += meta.num_rows
+        for g in range(meta.num_row_groups):
+            for c in map(meta.row_group(g).column, range(4)):
+                size[c.path_in_schema] = size.get(c.path_in_schema, 0) + c.total_compressed_size
+    assert rows > 1 << 20 and size["lat"] + size["lon"] < 10 * rows  # 16 bytes a row otherwise
+
+
 @pytest.fixture
 def scattered(spark):
     """Places and circles of all sizes near a point, on both sides of the date line and near a pole, some without a position."""
